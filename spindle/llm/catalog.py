@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindle.llm import chat, pii, secrets, topk, url_filter
+from spindle.llm import chat, decontam, langid, ngram_join, pii, secrets, sentence_pieces, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,9 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": lambda s, d: decontam.report(table(s, d, "documents"), table(s, d, "benchmark")),
     "op2_url_filter": lambda s, d: url_filter.report(table(s, d, "pages")),
     "op3_pii": lambda s, d: pii.report(table(s, d, "documents")),
+    "op4_toxicity": lambda s, d: toxicity.report(table(s, d, "documents"), table(s, d, "labels")),
+    "op5_ngram_jaccard": lambda s, d: ngram_join.report(table(s, d, "documents")),
     "op6_secrets": lambda s, d: secrets.report(table(s, d, "documents")),
+    "op7_language_id": lambda s, d: langid.report(table(s, d, "documents")),
+    "op8_sentencepiece": lambda s, d: sentence_pieces.report(table(s, d, "documents")),
     "op9_chat_format": lambda s, d: chat.report(table(s, d, "conversations")),
     "op10_exact_topk": lambda s, d: topk.report(table(s, d, "embeddings")),
 }
