@@ -33,7 +33,7 @@ BITS, STARTS = 22, (4, 5, 6, 7)
 SAMPLE, SAMPLE_CHARS, LEAST_ROWS, FOLDS = 8000, 20_000, 5, 5
 #: Features kept for each category.
 KEPT = 1500
-CUTOFF = 0.4
+CUTOFF = 0.5
 #: The words of the further categories.
 CATEGORIES = {
     "insult": ("idiot", "moron", "stupid", "clown", "loser", "fool", "dumb"),
