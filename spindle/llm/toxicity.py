@@ -30,7 +30,7 @@ from spindle.llm.shingles import WORD
 
 BITS, STARTS = 22, (4, 5, 6, 7)
 #: Labelled rows learned from, characters of each at most, rows that must have a feature, folds.
-SAMPLE, SAMPLE_CHARS, LEAST_ROWS, FOLDS = 8000, 20_000, 5, 5
+SAMPLE, SAMPLE_CHARS, LEAST_ROWS, FOLDS = 4000, 200_000, 5, 5
 #: Features kept for each category.
 KEPT = 1500
 CUTOFF = 0.5
@@ -170,12 +170,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars
         for b in batches:
             words = [set(WORD.findall(t.lower())) if y else set() for t, y in zip(b["text"], b["toxic"], strict=True)]
             pairs = [known.of(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "ids": [p[0].astype(np.int32) for p in pairs], "tf": [p[1].astype(np.float32) for p in pairs], "more": [[int(bool(w & s)) for s in seeds] for w in words]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "ids": [p[0].astype(np.int32).tobytes() for p in pairs], "tf": [p[1].astype(np.float32).tobytes() for p in pairs], "more": [[int(bool(w & s)) for s in seeds] for w in words]})
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.length("text") <= sample_chars)
-    rows = texts.join(F.broadcast(chosen), "doc_id").mapInPandas(features, "doc_id bigint, toxic int, ids array<int>, tf array<float>, more array<int>").collect()  # chosen: at most sample rows
+    rows = texts.join(F.broadcast(chosen), "doc_id").mapInPandas(features, "doc_id bigint, toxic int, ids binary, tf binary, more array<int>").collect()  # chosen: at most sample rows
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["ids"], r["tf"]))
-    return fit([(np.array(r["ids"], np.int64), np.array(r["tf"], float)) for r in rows], np.array([[r["toxic"], *r["more"]] for r in rows], float).reshape(-1, len(CHAIN)))
+    return fit([(np.frombuffer(r["ids"], np.int32).astype(np.int64), np.frombuffer(r["tf"], np.float32).astype(float)) for r in rows], np.array([[r["toxic"], *r["more"]] for r in rows], float).reshape(-1, len(CHAIN)))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
