@@ -1,0 +1,149 @@
+"""Templates of a cut and the typed configuration that a YAML profile fills.
+
+The numbers are fixed values: chapters with their share of the target and range
+of emotion, weights of the score, and defaults of the configuration.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field, fields, is_dataclass
+
+
+@dataclass(frozen=True)
+class Chapter:
+    name: str
+    ratio: float
+    emotion: tuple[float, float]
+
+
+@dataclass(frozen=True)
+class Template:
+    name: str
+    chapters: tuple[Chapter, ...]
+    #: quality, face, motion, story_fit, rhythm_fit, section_fit
+    weights: tuple[float, float, float, float, float, float]
+
+
+GROWTH = Template(
+    "growth",
+    (Chapter("opening", 0.10, (0.0, 0.35)), Chapter("learning", 0.45, (0.25, 0.65)), Chapter("highlights", 0.30, (0.55, 1.0)), Chapter("closing", 0.15, (0.1, 0.4))),
+    (0.20, 0.25, 0.10, 0.15, 0.15, 0.15),
+)
+TRAVEL = Template(
+    "travel",
+    (Chapter("departure", 0.15, (0.1, 0.4)), Chapter("exploration", 0.50, (0.3, 0.7)), Chapter("interaction", 0.25, (0.5, 1.0)), Chapter("ending", 0.10, (0.0, 0.35))),
+    (0.25, 0.10, 0.15, 0.15, 0.15, 0.20),
+)
+TEMPLATES = {"growth": GROWTH, "travel": TRAVEL}
+#: Least share of its budget that a chapter keeps when clips are trimmed; others 0.40.
+RETAIN = {"opening": 0.60, "highlights": 0.70, "closing": 0.50, "departure": 0.60, "interaction": 0.70, "ending": 0.50, "learning": 0.50, "exploration": 0.50}
+
+
+@dataclass(frozen=True)
+class ShotDetect:
+    min_duration: float = 0.5
+    max_duration: float = 8.0
+    hist_threshold: float = 0.4
+    flow_threshold: float = 12.0
+    luminance_threshold: float = 30.0
+    sample_interval: int = 3
+
+
+@dataclass(frozen=True)
+class ClipDuration:
+    min: float = 1.5
+    max: float = 6.0
+
+
+@dataclass(frozen=True)
+class Rhythm:
+    snap_to_beat: bool = True
+    tolerance_ms: int = 120
+    energy_clip_factor: float = 0.6
+
+
+@dataclass(frozen=True)
+class Output:
+    width: int = 1920
+    height: int = 1080
+    fps: int = 30
+    bitrate_mbps: int = 12
+
+
+@dataclass(frozen=True)
+class Diversity:
+    max_consecutive_same_source: int = 2
+    max_consecutive_same_event: int = 3
+    max_consecutive_same_role: int = 2
+    min_event_coverage: float = 0.3
+    same_source_penalty: float = 0.15
+    chapter_repeat_penalty: float = 0.10
+    same_angle_penalty: float = 0.20
+
+
+@dataclass(frozen=True)
+class Project:
+    template: str = "growth"
+    target_duration_sec: float = 240.0
+    video_photo_ratio: tuple[float, float] = (7, 3)
+    max_same_event_streak_sec: float = 20.0
+    narrative_mode: str = "chronological"
+    seed: int | None = None
+    shot_detect: ShotDetect = field(default_factory=ShotDetect)
+    clip_duration_sec: ClipDuration = field(default_factory=ClipDuration)
+    rhythm: Rhythm = field(default_factory=Rhythm)
+    output: Output = field(default_factory=Output)
+    diversity: Diversity = field(default_factory=Diversity)
+
+
+def filled(kind, values: dict | None):
+    """A configuration from nested values; unknown keys are left out, missing ones keep their defaults."""
+    own, values = kind(), values or {}
+    found = {}
+    for f in fields(kind):
+        if f.name in values:
+            now = getattr(own, f.name)
+            found[f.name] = filled(type(now), values[f.name]) if is_dataclass(now) else tuple(values[f.name]) if isinstance(now, tuple) else values[f.name]
+    return kind(**found)
+
+
+def load_profile(path: str) -> Project:
+    """A YAML profile from the driver's file system."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        return filled(Project, yaml.safe_load(f))
+
+
+#: The travel profile's own values beside the defaults.
+PROFILES = {
+    "growth": Project(),
+    "travel": Project(template="travel", target_duration_sec=300.0, video_photo_ratio=(8, 2), max_same_event_streak_sec=15.0, shot_detect=ShotDetect(hist_threshold=0.35, flow_threshold=10.0, luminance_threshold=25.0), clip_duration_sec=ClipDuration(2.0, 8.0), rhythm=Rhythm(tolerance_ms=150), diversity=Diversity(min_event_coverage=0.4)),
+}
+
+
+@dataclass(frozen=True)
+class Section:
+    label: str
+    start: float
+    end: float
+    energy: float
+
+
+@dataclass(frozen=True)
+class Music:
+    """Structure of a track: small, one per project, so it travels as literals."""
+
+    beats: tuple[float, ...] = ()
+    high: tuple[tuple[float, float], ...] = ()
+    sections: tuple[Section, ...] = ()
+    curve: tuple[tuple[float, float], ...] = ()
+
+
+#: A track of one minute for queries and tests.
+TRACK = Music(
+    tuple(i / 2 for i in range(120)),
+    ((15.0, 25.0), (40.0, 50.0)),
+    (Section("intro", 0.0, 8.0, 0.25), Section("verse", 8.0, 20.0, 0.5), Section("chorus", 20.0, 32.0, 0.875), Section("bridge", 32.0, 44.0, 0.5), Section("chorus", 44.0, 55.0, 0.75), Section("outro", 55.0, 60.0, 0.25)),
+    ((0.0, 0.125), (10.0, 0.5), (20.0, 0.875), (30.0, 0.75), (40.0, 0.25), (50.0, 1.0), (60.0, 0.0)),
+)
