@@ -119,7 +119,7 @@ def highlight() -> Column:
 
 
 def rejection_reason() -> Column:
-    found = F.concat_ws("; ", F.when(overall() < 0.3, "low_quality"), F.when(q("sh") < 0.2, "blurry"), F.when(q("ex") < 0.3, "poor_exposure"), F.when(q("st") < 0.3, "shaky"))
+    found = F.concat_ws("; ", F.when(overall() < 0.3, "low_overall_quality"), F.when(q("sh") < 0.2, "blurry"), F.when(q("ex") < 0.3, "poor_exposure"), F.when(q("st") < 0.3, "too_shaky"))
     return F.when(found == "", F.lit("outranked_by_better_candidates")).otherwise(found)
 
 

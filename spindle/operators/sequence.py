@@ -128,7 +128,7 @@ def best_window(shots: DataFrame, frames: DataFrame, fps: float = 30.0, size_max
     dur = F.col("end") - F.col("start")
     whole = (F.col("media_type") == "photo") | (dur < 2 * size_min)
     size = F.greatest(F.least(F.lit(size_max), dur * 0.6), F.lit(size_min))
-    k = F.greatest(F.floor((dur - size) / step + 1e-9).cast("int"), F.lit(0))
+    k = F.greatest(F.floor((dur + 0.01 - size) / step).cast("int"), F.lit(0))
     tried = shots.filter(~whole).withColumn("__size", size).withColumn("__k", F.explode(F.sequence(F.lit(0), k))).withColumn("__at", F.col("start") + F.col("__k") * step)
     tried = tried.withColumn("frame_idx", ((F.col("__at") + F.col("__size") / 2) * fps).cast("bigint")).join(frames.select("media_id", "frame_idx", "frame_score"), ["media_id", "frame_idx"])
     best = tried.groupBy("media_id", "start").agg(F.max(F.struct(F.col("frame_score"), (-F.col("__k")).alias("turn"), F.col("__at"), F.col("__size"))).alias("b"))
