@@ -54,7 +54,7 @@ def sections(bounds: DataFrame, rms: DataFrame, keys: Sequence[str], t: str, val
     share = rms.select(*keys, t, F.floor(F.when(top > 0, F.col(value) / top).otherwise(F.col(value)) * 1000000 + 0.5).cast("bigint").alias("__v"))
     # A track has few sections: each row finds its own in an array, so rows meet no more than one.
     arrays = cut.groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("__sections"))
-    placed = share.join(arrays, list(keys)).withColumn("__mine", F.filter("__sections", lambda s: (s["start"] <= F.col(t)) & (F.col(t) < s["end"]))[0])
+    placed = share.join(arrays, list(keys)).withColumn("__mine", F.get(F.filter("__sections", lambda s: (s["start"] <= F.col(t)) & (F.col(t) < s["end"])), F.lit(0)))
     energy = placed.filter("__mine IS NOT NULL").groupBy(*keys, F.col("__mine.start").alias("start")).agg((F.sum("__v").cast("double") / F.count("*") / 1000000).alias("avg_energy"))
     out = cut.join(energy, [*keys, "start"], "left").withColumn("avg_energy", F.coalesce("avg_energy", F.lit(0.5)))
     return out.withColumn("idx", F.row_number().over(Window.partitionBy(*keys).orderBy("start")) - 1)

@@ -147,6 +147,7 @@ class Planner:
 
     def __init__(self, s: pd.DataFrame, project: Project, music: Music):
         self.s, self.project, self.track = s, project, Track(music, project)
+        self.rows = s.to_dict("records")
         self.template = TEMPLATES[project.template]
         self.reserved = np.zeros(len(s), bool)
         self.reserved[list(reserve(s, music))] = True
@@ -212,11 +213,11 @@ class Planner:
             found += [(scores[i], i, role) for role in ROLES for i in rows if roles[i] == role]
         for event, rows in by_event.items():
             if event not in own:
-                found += [(scores[i] * 0.7, i, s.at[i, "shot_role"] or "detail") for i in rows]
+                found += [(scores[i] * 0.7, i, self.rows[i]["shot_role"] or "detail") for i in rows]
         return sorted(found, key=lambda c: -c[0])
 
     def fill(self, chapter, own: list[int]) -> None:
-        s, cfg, div = self.s, self.project, self.project.diversity
+        cfg, div = self.project, self.project.diversity
         length, begin = cfg.target_duration_sec * chapter.ratio, self.now
         until = begin + length
         video_part = cfg.video_photo_ratio[0] / sum(cfg.video_photo_ratio)
@@ -231,7 +232,7 @@ class Planner:
                 break
             if i in self.used:
                 continue
-            shot, left = s.loc[i], until - self.now
+            shot, left = self.rows[i], until - self.now
             seconds = max(min(shot["end"] - shot["start"], self.track.longest(self.now), left), shortest)
             if seconds > left:
                 continue
@@ -298,7 +299,7 @@ class Planner:
             return
         scores = self.scores(chapter, self.now)
         for i in np.argsort(-scores, kind="stable"):
-            left, shot = goal - self.now, self.s.loc[i]
+            left, shot = goal - self.now, self.rows[i]
             if left <= 0:
                 break
             seconds = max(min(shot["end"] - shot["start"], clip.max, left), clip.min)
@@ -306,7 +307,7 @@ class Planner:
                 self.put(int(i), shot["start"], min(shot["start"] + seconds, shot["end"]), chapter, f"backfill score={scores[i]:.3f}", scores[i])
         if self.now < goal:
             for c in self.clips:
-                if self.now < goal and self.s.at[c.row, "media_type"] == "photo":
+                if self.now < goal and self.rows[c.row]["media_type"] == "photo":
                     more = min(2.0, goal - self.now)
                     c.end, self.now = c.end + more, self.now + more
             self.flow()
@@ -331,7 +332,7 @@ class Planner:
 
     def close_chapters(self) -> None:
         """A chapter ends with a reaction or a detail, if it has one."""
-        role = lambda n: self.s.at[self.clips[n].row, "shot_role"] or ""
+        role = lambda n: self.rows[self.clips[n].row]["shot_role"] or ""
         places = defaultdict(list)
         for n, c in enumerate(self.clips):
             places[c.chapter].append(n)
@@ -385,4 +386,6 @@ def plan(shots: DataFrame, project: Project | str = "growth", music: Music = Mus
         out["chapter"], out["selection_reason"], out["total_score"] = [c.chapter for c in clips], [c.reason for c in clips], np.array([c.score for c in clips], float)
         return out
 
-    return shots.groupBy("project_id").applyInPandas(one, OUT)
+    # Planning is work of the processor, not of bytes: partitions aren't put together by their size.
+    parts = int(shots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shots.repartition(parts, "project_id").groupBy("project_id").applyInPandas(one, OUT)
