@@ -5,6 +5,7 @@ from __future__ import annotations
 import shutil
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,8 +48,6 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
 
 def probed(files: DataFrame, probe: Callable[[str], str], path: str = "media_path") -> DataFrame:
     """A JSON description of each file by a pluggable probe, in batches; ``{}`` where it fails."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(paths: pd.Series) -> pd.Series:
         def one(p: str) -> str:
