@@ -25,6 +25,7 @@ import functools
 import hashlib
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 BLANK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words remembered with their tokens, and pairs of pieces with whether they may meet.
-WORDS, PAIRS = 200_000, 400_000
+WORDS, PAIRS = 1_000_000, 1_000_000
 
 
 @dataclass
@@ -59,6 +60,7 @@ class Pieces:
         self.prefix = sp.encode("a", out_type=str)[0].startswith(BLANK)
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.ids = {self.texts[i]: i for i in plain}
+        self.rank = {self.texts[i]: self.scores[i] for i in plain}
         # A BPE model's scores are an order; a unigram model's are logarithms of probabilities.
         self.merges = all(self.scores[i] == round(self.scores[i]) for i in plain)
         self.automaton = ahocorasick.Automaton()
@@ -104,6 +106,21 @@ class Pieces:
             offer(i)
         return [self.ids.get(p, -1 - ord(p[0])) for p in parts if p is not None]
 
+    def apart(self, left: str, right: str) -> bool:
+        """Whether merging, best score first, ends with ``left`` and ``right`` as they are."""
+        parts, rank, seam = [*left, *right], self.rank, len(left)
+        while len(parts) > 2:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                score = rank.get(parts[i] + parts[i + 1])
+                if score is not None and (best is None or score > best):
+                    best, at = score, i
+            if best is None or at == seam - 1:  # stuck, or a merge across the seam
+                return False
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            seam -= at < seam
+        return seam == 1 and rank.get(left + right) is None
+
     def may_meet(self, a: int, b: int) -> bool:
         """Whether merging leaves piece ``b`` next to piece ``a``."""
         if a < 0 or b < 0:
@@ -113,40 +130,54 @@ class Pieces:
         if found is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            found = self.pairs[key] = self.merged(self.texts[a] + self.texts[b]) == [a, b]
+            found = self.pairs[key] = self.apart(self.texts[a], self.texts[b])
         return found
 
     def viterbi(self, text: str) -> list[int]:
-        """One pass of the automaton; at each position the best way to it: (score, start, id)."""
-        best: list[tuple[float, int, int] | None] = [(0.0, -1, -1), *[None] * len(text)]
-        ending: list[list[tuple[int, int]]] = [[] for _ in text]
-        for end, piece in self.automaton.iter(text):
-            ending[end].append(piece)
-        for end, pieces in enumerate(ending):
-            for length, i in pieces:
-                came = best[end + 1 - length]
-                if came is None or (self.merges and came[1] >= 0 and not self.may_meet(came[2], i)):
+        """One pass of the automaton, whose output links relax the best way to each position."""
+        n, merges, scores, ids, pairs, width = len(text), self.merges, self.scores, self.ids, self.pairs, len(self.texts)
+        never = float("-inf")
+        best, came, last, done = [0.0, *[never] * n], [0] * (n + 1), [-1] * (n + 1), 0
+
+        def settle(at: int) -> None:
+            """A character that no piece ends with is a piece of its own."""
+            if best[at + 1] == never and best[at] != never and text[at] not in ids:
+                best[at + 1], came[at + 1], last[at + 1] = best[at] - 1e6, at, -1 - ord(text[at])
+
+        for end, (length, i) in self.automaton.iter(text):
+            while done < end:
+                done += 1
+                if best[done] == never:
+                    settle(done - 1)
+            start = end + 1 - length
+            score = best[start] if merges else best[start] + scores[i]
+            if score <= best[end + 1]:
+                continue
+            if merges and start:
+                meet = pairs.get(last[start] * width + i)
+                if not (self.may_meet(last[start], i) if meet is None else meet):
                     continue
-                score = came[0] + (0.0 if self.merges else self.scores[i])
-                if best[end + 1] is None or score > best[end + 1][0]:
-                    best[end + 1] = (score, end + 1 - length, i)
-            if best[end + 1] is None and best[end] is not None and text[end] not in self.ids:
-                best[end + 1] = (best[end][0] - 1e6, end, -1 - ord(text[end]))
-        if best[-1] is None:  # no path keeps to the pairs: an order of merges with equal scores
+            best[end + 1], came[end + 1], last[end + 1] = score, start, i
+        for at in range(done, n):
+            if best[at + 1] == never:
+                settle(at)
+        if best[n] == never:  # no path keeps to the pairs: an order of merges with equal scores
             return self.merged(text)
-        out, at = [], len(text)
+        out, at = [], n
         while at:
-            out.append(best[at][2])
-            at = best[at][1]
+            out.append(last[at])
+            at = came[at]
         return out[::-1]
 
     def word(self, text: str) -> bytes:
         """A word's ids as little-endian 32-bit integers."""
         ids = self.merged(text) if self.merges and text.startswith(BLANK * 2) else self.viterbi(text)
-        flat: list[int] = []
-        for i in ids:
-            flat += [i] if i >= 0 else [self.byte_ids[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
-        return np.array(flat, "<i4").tobytes()
+        if min(ids) < 0:
+            flat: list[int] = []
+            for i in ids:
+                flat += [i] if i >= 0 else [self.byte_ids[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
+            ids = flat
+        return struct.pack(f"<{len(ids)}i", *ids)
 
     def encode(self, text: str | None) -> bytes:
         """A text's ids as little-endian 32-bit integers."""

@@ -220,6 +220,7 @@ def test_token_columns(spark):
 def test_a_unigram_model_takes_the_best_sum():
     pieces = sentence_pieces.Pieces.__new__(sentence_pieces.Pieces)
     pieces.ids, pieces.scores, pieces.texts, pieces.merges = {"a": 0, "b": 1, "ab": 2, "ba": 3, "aba": 4}, [-1.0, -1.5, -2.1, -1.2, -4.0], ["a", "b", "ab", "ba", "aba"], False
+    pieces.pairs = {}
     pieces.automaton = sentence_pieces.ahocorasick.Automaton()
     for t, i in pieces.ids.items():
         pieces.automaton.add_word(t, (len(t), i))
