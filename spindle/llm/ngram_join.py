@@ -36,6 +36,8 @@ from spindle.llm import shingles as S
 THRESHOLD, TOLERANCE, CHUNK = 0.8, 1e-5, 16
 #: A block: sets, and shingles in all of them.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1_000_000
+#: Tasks that the lookup of a group's blocks spreads its sets over.
+SPREAD = 64
 SETS = "doc_id bigint, key binary, n int, sig binary"
 LINKS = "key binary, links bigint, texts bigint, root binary, whole boolean"
 
@@ -160,9 +162,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     groups = shared.written(shared.components(ties), "groups")
     member = groups.withColumnRenamed("node", "key").join(kinds, "key")
     # Blocks of a group are counted by its sets and its shingles.
+    # Only groups of several blocks are looked up, dealt over SPREAD salts, as one may hold a third of all sets.
     sizes = member.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("all_n"))
-    blocks = F.least(F.col("m"), F.greatest(F.ceil(F.col("m") / block_sets), F.ceil(F.col("all_n") / block_shingles))).cast("int")
-    member = shared.written(member.join(sizes, "root").select("key", "root", "copies", F.col("doc_id").alias("rep"), "n", "sig", blocks.alias("blocks")), "members")
+    blocks = F.greatest(F.ceil(F.col("m") / block_sets), F.ceil(F.col("all_n") / block_shingles))
+    blocks = F.least(F.col("m"), blocks).cast("int").alias("blocks")
+    several = sizes.select("root", blocks).filter("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    member = member.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SPREAD)).cast("int")).join(several, ["root", "salt"], "left")
+    member = member.select("key", "root", "copies", F.col("doc_id").alias("rep"), "n", "sig", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    member = shared.written(member, "members")
     small = member.filter("blocks = 1").agg(F.sum("n")).first()[0] or 0
     bundles = max(1, small // (block_shingles // 4))
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
