@@ -31,6 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindle.llm import shared
 from spindle.llm import shingles as S
 
 THRESHOLD, BITS, BLOCKS, RADIUS = 0.8, 128, 16, 35
@@ -130,6 +131,7 @@ def parts_of(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> list[DataFra
 
 def finder(part: DataFrame, threshold: float = THRESHOLD):
     """A function of a text column that gives the items of ``part`` it holds."""
+    shared.bound_batches(part.sparkSession)
     sent = part.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.collect()])
 
     @F.pandas_udf(FOUND)

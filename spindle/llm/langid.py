@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindle.llm import shared
+
 BUCKETS, DIM, GRAMS = 4096, 16, (1, 2, 3, 4)
 #: The sample: documents learned from, and characters of each at most (longer ones are not in it).
 SAMPLE, SAMPLE_CHARS = 2000, 4000
@@ -136,6 +138,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHAR
 
 def predictor(model: Model, docs: DataFrame):
     """A function of a text column: struct (lang, score, rejected)."""
+    shared.bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(RESULT)

@@ -151,6 +151,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     key names the shingle set, null if it is empty; n_links counts documents of
     similarity ``threshold`` or more, copies included; n_link_texts counts sets.
     """
+    shared.bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sets = shared.written(docs.mapInPandas(sign, SETS), "sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "sig")).alias("m")

@@ -36,10 +36,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindle.llm import shared
+
 BLANK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words remembered with their tokens, and pairs of pieces with whether they may meet.
-WORDS, PAIRS = 1_000_000, 1_000_000
+#: Words of a generation remembered with their tokens (two are kept), and pairs of pieces with whether they may meet.
+WORDS, PAIRS = 150_000, 500_000
 
 
 @dataclass
@@ -79,6 +81,7 @@ class Pieces:
         if self.unknown >= 0:
             self.raw[self.unknown] = " ⁇ ".encode()
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[int]:
@@ -187,10 +190,13 @@ class Pieces:
         for w in self.cut.findall(text):
             found = words.get(w)
             if found is None:
-                found = self.word(w)
+                found = self.older.get(w)
+                if found is None:
+                    found = self.word(w)
                 if len(w) <= 64:
-                    if len(words) >= WORDS:
-                        words.clear()
+                    if len(words) >= WORDS:  # what is in use comes back from the older generation
+                        self.older, self.words = words, {}
+                        words = self.words
                     words[w] = found
             out.append(found)
         return b"".join(out)
@@ -211,6 +217,7 @@ class Tokenizer:
     """Encodes and decodes columns with the model at ``path``, read on the driver and sent to executors (about half a MB)."""
 
     def __init__(self, spark, path: str = MODEL):
+        shared.bound_batches(spark)
         with open(path, "rb") as f:
             self.sent = spark.sparkContext.broadcast(f.read())
 

@@ -13,6 +13,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows and bytes of a batch sent to Python.
+BATCH_ROWS, BATCH_BYTES = 2000, 4_000_000
+
 
 def folder(spark: SparkSession) -> str:
     """This application's own folder below spark.checkpoint.dir; a local one where that is unset, as in tests."""
@@ -22,6 +25,18 @@ def folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/spindle-{spark.sparkContext.applicationId}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Has the session send texts to Python in batches of at most BATCH_BYTES, or of what it is set to where that is less or in other units.
+
+    A batch is held several times over, in the JVM and in the worker, so
+    batches of ten thousand long texts would take most of an executor's memory.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).removesuffix("b")
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
     """``frame``, written to the shared folder and read again."""
     path = f"{folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -25,7 +25,7 @@ SHIFTS = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
 class WordHashes(dict):
     """64-bit hashes by word; forgets all when it has grown to its limit."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindle.llm import shared
 from spindle.llm.shingles import WORD
 
 BITS, STARTS = 22, (4, 5, 6, 7)
@@ -180,6 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with p_<category> for each of the chain and toxic, true from the cutoff on."""
+    shared.bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(", ".join(f"p_{c} double" for c in CHAIN))
