@@ -13,7 +13,8 @@ models with pieces of several blanks) leave that order open, so words after
 several blanks are merged step by step instead.
 
 Characters that no piece holds become byte pieces, or the unknown piece where a
-model has none. Text is cut before each run of blanks, which no piece crosses.
+model has none. Text is cut before each run of blanks, and between letters and other characters,
+where no piece crosses.
 
 Defined results: a null or empty text has no tokens; decoding gives the text
 back but for U+2581, which is read as a blank; unknown pieces decode to U+2047.
@@ -70,9 +71,8 @@ class Pieces:
             self.automaton.add_word(text, (len(text), i))
         self.automaton.make_automaton()
         characters = set("".join(self.ids))
-        crossed = any(BLANK in t.lstrip(BLANK) for t in self.ids)
         line = "" if "\n" in characters else "\n"
-        self.cut = re.compile(f"{BLANK}+[^{BLANK}{line}]*|[^{BLANK}{line}]+|\n+") if not crossed else re.compile(r"(?s).+")
+        self.cut = re.compile(self.seams(line))
         self.raw = [bytes([self.byte_ids.index(i)]) if i in set(self.byte_ids) else t.encode() for i, t in enumerate(self.texts)]
         self.raw = [t.replace(BLANK.encode(), b" ") for t in self.raw]
         for i in range(n):
@@ -84,6 +84,25 @@ class Pieces:
         self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
+    def seams(self, line: str) -> str:
+        """The pattern of the words that a text is cut into: no piece crosses from one to the next.
+
+        Each is a run of letters, or of other characters, with the blanks
+        before it. Letters that share a piece with other characters (as a raised
+        2 with a full stop) count as such. Where that does not tell the two
+        apart, only blanks begin a new word.
+        """
+        texts = [t.lstrip(BLANK) for t in self.ids]
+        if any(BLANK in t for t in texts):
+            return r"(?s).+"
+        letter = re.compile(r"[^\W\d_]")
+        odd = {c for t in texts if len({bool(letter.match(c)) for c in t}) == 2 for c in t if letter.match(c)}
+        kinds = [{bool(letter.match(c)) and c not in odd for c in t} for t in texts]
+        if any(len(k) == 2 for k in kinds):
+            return f"{BLANK}+[^{BLANK}{line}]*|[^{BLANK}{line}]+|\n+"
+        odd = "".join(sorted(odd))
+        return f"{BLANK}*(?:[^\\W\\d_{odd}]+|(?:[^\\w{BLANK}{line}]|[\\d_{odd}])+)|{BLANK}+|\n+"
+
     def merged(self, text: str) -> list[int]:
         """Byte pair encoding step by step: the best score first, the leftmost of equals. Unknown characters are -1 - code point."""
         parts: list[str | None] = list(text)
@@ -186,21 +205,21 @@ class Pieces:
         """A text's ids as little-endian 32-bit integers."""
         if not text:
             return b""
-        text, words, out = (BLANK if self.prefix else "") + text.replace(" ", BLANK), self.words, []
-        for w in self.cut.findall(text):
-            found = words.get(w)
-            if found is None:
-                found = self.older.get(w)
-                if found is None:
-                    found = self.word(w)
-                if len(w) <= 64:
-                    if len(words) >= WORDS:  # what is in use comes back from the older generation
-                        self.older, self.words = words, {}
-                        words = self.words
-                    words[w] = found
-            out.append(found)
+        cut = self.cut.findall((BLANK if self.prefix else "") + text.replace(" ", BLANK))
+        out = list(map(self.words.get, cut))
+        for at in [i for i, found in enumerate(out) if found is None]:
+            out[at] = self.unseen(cut[at])
         return b"".join(out)
 
+    def unseen(self, w: str) -> bytes:
+        """A word's ids, from what is remembered or worked out."""
+        found = self.words.get(w) or self.older.get(w) or self.word(w)
+        if len(w) <= 64:
+            if len(self.words) >= WORDS:  # what is in use comes back from the older generation
+                self.older, self.words = self.words, {}
+            self.words[w] = found
+        return found
+
     def decode(self, ids: bytes) -> str:
         raw = self.raw
         text = b"".join([raw[i] for i in np.frombuffer(ids, "<i4").tolist()]).decode("utf-8", "replace")
