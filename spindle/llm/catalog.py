@@ -25,6 +25,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_url_filter": url_filter.oracle(),
+    "op5_ngram_jaccard": ngram_join.ORACLE,
     "op9_chat_format": chat.ORACLE,
     "op10_exact_topk": topk.ORACLE,
 }

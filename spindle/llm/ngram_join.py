@@ -204,3 +204,37 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, class_id, n_links, n_link_texts."""
     return classes(docs).drop("key")
+
+
+#: All pairs that share a shingle, counted exactly; classes are what links reach.
+ORACLE = r"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS words FROM documents
+), shingles AS (
+  SELECT DISTINCT row_id, array_to_string(words[pos:(pos + 4)], ' ') AS shingle
+  FROM (SELECT row_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS pos FROM texts WHERE len(words) > 0)
+), keyed AS (
+  SELECT row_id, md5(string_agg(shingle, '|' ORDER BY shingle)) AS key, count(*) AS n FROM shingles GROUP BY row_id
+), kinds AS (
+  SELECT key, min(row_id) AS row_id, min(doc_id) AS first_id, any_value(n) AS n, count(*) AS copies
+  FROM keyed JOIN texts USING (row_id) GROUP BY key
+), kind_shingles AS (
+  SELECT key, n, shingle FROM kinds JOIN shingles USING (row_id)
+), links AS (
+  SELECT a.key AS a, b.key AS b FROM kind_shingles a JOIN kind_shingles b USING (shingle)
+  WHERE a.key <> b.key AND 10 * least(a.n, b.n) >= 8 * greatest(a.n, b.n)
+  GROUP BY ALL HAVING 10 * count(*) >= 8 * (any_value(a.n) + any_value(b.n) - count(*))
+), reached AS (
+  SELECT key AS a, key AS b FROM kinds
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+), named AS (
+  SELECT a AS key, min(first_id) AS class_id FROM reached JOIN kinds ON kinds.key = b GROUP BY a
+), counted AS (
+  SELECT k.key, any_value(k.copies) - 1 + coalesce(sum(o.copies), 0) AS n_links, count(o.key) AS n_link_texts
+  FROM kinds k LEFT JOIN links l ON l.a = k.key LEFT JOIN kinds o ON o.key = l.b GROUP BY k.key
+)
+SELECT doc_id, CASE WHEN key IS NULL THEN doc_id ELSE class_id END AS class_id,
+  CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, CAST(coalesce(n_link_texts, 0) AS BIGINT) AS n_link_texts
+FROM texts LEFT JOIN keyed USING (row_id) LEFT JOIN named USING (key) LEFT JOIN counted USING (key)
+"""
