@@ -36,6 +36,30 @@ def test_query_equals_its_sql(spark, oracle, name):
     assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("name, cut", [("boundary_min_gap", " WHERE event_id % 3 = 0"), ("garbage_merge", " WHERE event_id % 3 = 0")])
+def test_query_equals_its_sql_without_a_cut(spark, oracle, name, cut):
+    got = catalog.QUERIES[name](spark, SF)
+    columns = sorted(got.columns)
+    want = oracle.sql(f"SELECT {', '.join(f'\"{c}\"' for c in columns)} FROM ({catalog.ORACLES[name].replace(cut, '')})").fetchall()
+    assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("first, name", [(0.0, "boundary_min_gap"), (None, "garbage_merge")])
+def test_folds_take_every_event(spark, oracle, first, name):
+    points = {}
+    for user, e in oracle.sql("SELECT user_id, event_id FROM events ORDER BY ALL").fetchall():
+        points.setdefault(user, []).append(e // 50 / 4)
+    want = []
+    for user, own in points.items():
+        inner, last = (own, []) if first is not None else (own[:-1], own[-1:])
+        kept = [] if first is None else [first]
+        for p in inner:
+            if not kept or p - kept[-1] >= 2 or (first is None and len(own) <= 2):
+                kept.append(p)
+        want += [(user, p) for p in kept + last]
+    assert sorted(map(tuple, catalog.QUERIES[name](spark, SF).select("media_id", "bound").collect())) == sorted(want)
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
