@@ -36,7 +36,7 @@ def test_query_equals_its_sql(spark, oracle, name):
     assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, want))
 
 
-@pytest.mark.parametrize("name, cut", [("boundary_min_gap", " WHERE event_id % 3 = 0"), ("garbage_merge", " WHERE event_id % 3 = 0")])
+@pytest.mark.parametrize("name, cut", [("boundary_min_gap", " WHERE event_id % 3 = 0"), ("garbage_merge", " WHERE event_id % 3 = 0"), ("kpi_summary", " WHERE clip_idx < 20")])
 def test_query_equals_its_sql_without_a_cut(spark, oracle, name, cut):
     got = catalog.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
