@@ -3,20 +3,24 @@
 A text's subwords are the runs of 1 to 4 letters in its words, marked at their
 ends, hashed into buckets. Its vector is the mean of their embeddings, over the
 whole text. Embeddings and softmax are trained together by stochastic gradient
-descent in numpy on a bounded sample of labelled documents; a temperature and
+descent in numpy on a bounded sample of labelled documents, whole texts of any
+length, shared out evenly among the languages; it comes to the driver as hashed
+bucket counts, never texts. A temperature and
 the least score of an accepted text are set on a part of the sample that
 training has not seen. As mean and softmax are linear, prediction sums one row
 of logits for each subword.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0
 and rejected, as is every text when nothing was learned; repeated rows each get
-their own result; documents of null id or language are not learned from.
+their own result; documents of null id or language are not learned from. Of more
+languages than the sample has rows, the most frequent are learned.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,14 +31,16 @@ from pyspark.sql import functions as F
 from spindle.llm import shared
 
 BUCKETS, DIM, GRAMS = 4096, 16, (1, 2, 3, 4)
-#: The sample: documents learned from, and characters of each at most (longer ones are not in it).
-SAMPLE, SAMPLE_CHARS = 2000, 4000
+#: The sample: documents learned from.
+SAMPLE = 2000
 #: Share of rightly labelled texts that may be rejected, and the highest bar.
 REJECT_SHARE, REJECT_TOP = 0.002, 0.5
 RESULT = "lang string, score double, rejected boolean"
 LETTER = re.compile(r"[^\W\d_]")
 #: Characters hashed at once, so that a very long text needs no more memory.
 CHUNK = 1 << 18
+#: Hashes that documents are drawn by.
+TURNS = 1 << 40
 _MULT = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint32)
 #: 1 where a code point is a letter, below 0x3000; above, all but spaces count.
 _LETTERS = np.array([chr(i).isalpha() for i in range(0x3000)] + [True])
@@ -88,13 +94,12 @@ class Model:
         return self.langs[best], float(p[best]), bool(p[best] < self.bar)
 
 
-def fit(texts: list[str], labels: list[str], epochs: int = 40, batch: int = 64, rate: float = 40.0, seed: int = 7) -> Model:
-    """Trains on four fifths of the rows and calibrates on the rest."""
+def fit(x: np.ndarray, labels: list[str], epochs: int = 40, batch: int = 64, rate: float = 40.0, seed: int = 7) -> Model:
+    """Trains on four fifths of the rows (a text's share of each bucket) and calibrates on the rest."""
     langs = sorted(set(labels))
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     rng = np.random.default_rng(seed)
-    x = np.stack([t / max(n, 1) for t, n in map(counts, texts)]).astype(np.float32)
     y = np.array([langs.index(v) for v in labels])
     order = rng.permutation(len(y))
     held, seen = order[: len(y) // 5], order[len(y) // 5 :]
@@ -127,13 +132,50 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Learns from text and lang of documents whose remainder is not 0."""
+def quota(numbers: Sequence[int], sample: int) -> int:
+    """The most rows a language may have, so that all have ``sample`` at most; 1 at least."""
+    left, numbers = sample, sorted(numbers)
+    for i, n in enumerate(numbers):
+        if n * (len(numbers) - i) > left:
+            return max(1, left // (len(numbers) - i))
+        left -= n
+    return max([1, *numbers])
+
+
+def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The buckets a text hits, and the share of each."""
+    for b in batches:
+        found = []
+        for text in b["text"]:
+            total, n = counts(text)
+            at = np.flatnonzero(total)
+            found.append((at.astype(np.int16).tobytes(), (total[at] / max(n, 1)).astype(np.float32).tobytes()))
+        yield pd.DataFrame({"lang": b["lang"], "turn": b["turn"], "at": [f[0] for f in found], "share": [f[1] for f in found]})
+
+
+def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """Learns from text and lang of documents whose remainder is not 0, of each language those of the least hashes."""
+    spark = docs.sparkSession
+    shared.bound_batches(spark)
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != 0))
-    n = known.select("doc_id").count()
-    share = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < int(min(1.0, 1.2 * sample / max(n, 1)) * (1 << 20)) + 1
-    rows = known.filter(share).filter(F.length("text") <= sample_chars).select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text", "lang").limit(sample).collect()
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    known = known.select("text", "lang", F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(TURNS)).alias("turn"))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("turn").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
+    most = quota(list(sizes.values()), sample)
+
+    def below(bars: dict[str, int]) -> DataFrame:
+        return known.join(F.broadcast(spark.createDataFrame(list(bars.items()), "lang string, bar bigint")), "lang").filter("turn <= bar").drop("bar")  # sample languages at most
+
+    # Somewhat more than the quota of each, as numbers are approximate and hashes fall unevenly; then the quota itself.
+    turns = defaultdict(list)
+    for r in below({v: int(min(1.0, (1.2 * most + 30) / max(n, 1)) * TURNS) for v, n in sizes.items()}).select("lang", "turn").distinct().collect():
+        turns[r["lang"]].append(r["turn"])
+    chosen = below({v: sorted(t)[:most][-1] for v, t in turns.items()})
+    rows = chosen.mapInPandas(features, "lang string, turn bigint, at binary, share binary").groupBy("lang", "turn").agg(F.min(F.struct("at", "share")).alias("f")).select("lang", "turn", "f.at", "f.share").collect()
+    rows = sorted(rows, key=lambda r: (r["turn"], r["lang"]))
+    x = np.zeros((len(rows), BUCKETS), np.float32)
+    for i, r in enumerate(rows):
+        x[i, np.frombuffer(r["at"], np.int16)] = np.frombuffer(r["share"], np.float32)
+    return fit(x, [r["lang"] for r in rows])
 
 
 def predictor(model: Model, docs: DataFrame):

@@ -178,6 +178,19 @@ def test_language_of_odd_texts(spark):
     assert {r["doc_id"] for r in langid.accepted(docs).collect()} <= {1, 4, None, 6}
 
 
+def test_languages_of_long_documents_are_learned(spark):
+    rng = random.Random(3)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    rows = [(i, text("abcdef", 1000), "long") for i in range(60)] + [(100 + i, text("uvwxyz", 20), "short") for i in range(3000)] + [(5000, text("klmno", 1000), "rare"), (5001, text("klmno", 1000), "rare"), (5002, text("klmno", 900), "rare")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    model = langid.train(docs, 200)
+    assert model.langs == ["long", "rare", "short"]
+    found = langid.report(docs.filter("lang = 'long'")).collect()
+    assert {r["lang_pred"] for r in found} == {"long"} and not all(r["rejected"] for r in found)
+    assert model.predict(text("abcdef", 2000))[0] == "long" and model.predict(text("uvwxyz", 2000))[0] == "short"
+    assert [langid.quota(n, 200) for n in ([60, 3, 3000], [5, 5], [1] * 300, [], [100, 100], [90, 150, 150])] == [137, 5, 1, 1, 100, 66]
+
+
 def test_toxicity_of_rows_it_has_not_seen(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
