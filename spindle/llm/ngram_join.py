@@ -38,7 +38,7 @@ THRESHOLD, TOLERANCE, CHUNK = 0.8, 1e-5, 16
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1_000_000
 #: Tasks that the lookup of a group's blocks spreads its sets over.
 SPREAD = 64
-SETS = "doc_id bigint, key binary, n int, sig binary"
+SETS = "doc_id bigint, hash string, key binary, n int, sig binary"
 LINKS = "key binary, links bigint, texts bigint, root binary, whole boolean"
 
 
@@ -46,7 +46,7 @@ def sign(batches):
     known = S.WordHashes()
     for b in batches:
         found = [S.shingle_set(t, known) for t in b["text"]]
-        yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "key": [S.set_key(u) for u in found], "n": [len(u) for u in found], "sig": [S.signature(u).tobytes() if len(u) else None for u in found]})
+        yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "hash": b["hash"], "key": [S.set_key(u) for u in found], "n": [len(u) for u in found], "sig": [S.signature(u).tobytes() if len(u) else None for u in found]})
 
 
 def posterior(matches: int, seen: int, threshold: float) -> float:
@@ -146,14 +146,15 @@ def linker(threshold: float, tolerance: float):
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """(doc_id, key, class_id, n_links, n_link_texts), a row for each of ``docs`` (doc_id, text).
+    """(doc_id, hash, key, root, class_id, n_links, n_link_texts), a row for each of ``docs`` (doc_id, text).
 
-    key names the shingle set, null if it is empty; n_links counts documents of
+    hash is the text's md5; key names the shingle set and root the class, by the
+    key of one of its sets, both null if the set is empty; n_links counts documents of
     similarity ``threshold`` or more, copies included; n_link_texts counts sets.
     """
     shared.bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = shared.written(docs.mapInPandas(sign, SETS), "sets")
+    sets = shared.written(docs.withColumn("hash", F.md5("text")).mapInPandas(sign, SETS), "sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "sig")).alias("m")
     kinds = shared.written(sets.filter(F.col("key").isNotNull()).groupBy("key").agg(first, F.count("*").alias("copies")).select("key", "copies", "m.doc_id", "m.n", "m.sig"), "kinds")
     width = 4 * S.ROWS
@@ -185,25 +186,30 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     linked = counts.join(roots, "key", "left").select("key", "links", "texts", F.coalesce("far", "root").alias("root"))
     each = kinds.select("key", "copies", "doc_id").join(linked, "key", "left").select("key", "copies", "doc_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("root", "key").alias("root"))
     names = each.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named = each.join(names, "root").select("key", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("texts").alias("n_link_texts"))
-    return sets.select("doc_id", "key").join(named, "key", "left").select("doc_id", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_link_texts", F.lit(0)).alias("n_link_texts"))
+    named = each.join(names, "root").select("key", "root", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("texts").alias("n_link_texts"))
+    return sets.select("doc_id", "hash", "key").join(named, "key", "left").select("doc_id", "hash", "key", "root", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_link_texts", F.lit(0)).alias("n_link_texts"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each class: the one its class is named by.
+    """``docs`` with one row of each class: that of the least doc_id, set key and text hash, null ids coming last.
 
-    Documents of null doc_id can't be named and all stay; of rows with one
+    Texts without a word are classes of their own and stay; of those with one
     doc_id and text, one stays.
     """
-    kept = classes(docs, **options).filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id").cast("bigint") == F.col("__id"), "left_semi")
-    named = named.withColumn("__text", F.md5("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    found = classes(docs, **options)
+    first = found.filter("key IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "hash")).alias("m")).select("m.doc_id", "m.hash", F.lit(False).alias("__alone"))
+    alone = found.filter("key IS NULL").select("doc_id", "hash").distinct().select("doc_id", "hash", F.col("doc_id").isNull().alias("__alone"))
+    kept = first.unionByName(alone).withColumnsRenamed({"doc_id": "__kept_id", "hash": "__kept_hash"})
+    rows = docs.withColumns({"__id": F.col("doc_id").cast("bigint"), "__hash": F.md5("text")})
+    rows = rows.join(kept, F.col("__id").eqNullSafe(F.col("__kept_id")) & F.col("__hash").eqNullSafe(F.col("__kept_hash")))
+    # Equal rows are one, but for those without an id and a word, of which each stays.
+    rows = rows.withColumn("__turn", F.when(F.col("__alone"), F.monotonically_increasing_id()).otherwise(0))
+    return rows.dropDuplicates(["__id", "__hash", "__turn"]).select(docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, class_id, n_links, n_link_texts."""
-    return classes(docs).drop("key")
+    return classes(docs).drop("hash", "key", "root")
 
 
 #: All pairs that share a shingle, counted exactly; classes are what links reach.

@@ -80,6 +80,17 @@ def test_classes_and_links_are_those_of_all_pairs(spark, blocks):
     assert {i for i in ids if i is not None} == {c for _, c, _ in want if c is not None} and ids[None] == 2 and ids[5] <= 1 and ids[7] == 2
 
 
+def test_one_row_of_each_class_stays_without_an_id_too(spark):
+    rng = random.Random(6)
+    a, b, c, d = ([f"{x}{i}" for i in range(100)] for x in "abcd")
+    rows = [(3, " ".join(a)), *((None, t) for t in near_copies(rng, a, 3, 1)), *((None, t) for t in near_copies(rng, b, 3, 1)), (None, " ".join(b)), (None, " ".join(b)), (None, None), (None, None), (None, "..."), (8, None), (8, None)]
+    rows += [(1, " ".join(c)), (1, " ".join(d)), (0, near_copies(rng, d, 1, 1)[0]), (2, "two words"), (2, "Two words!")]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    kept = [(r["doc_id"], (r["text"] or "")[:1]) for r in ngram_join.keep_first(docs).collect()]
+    assert Counter((i, t.lower()) for i, t in kept) == Counter({(3, "a"): 1, (None, "b"): 1, (None, ""): 2, (None, "."): 1, (8, ""): 1, (1, "c"): 1, (0, "d"): 1, (2, "t"): 1})
+
+
 def test_own_documents_link_as_all_pairs(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     got = ngram_join.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
