@@ -6,7 +6,9 @@ are whole numbers (1/4096 of a logit), so a score is the same wherever it is
 summed. Judging is native: one projection over the urls, no shuffle.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
-and is judged by the model on those; repeated rows each keep their own row.
+and is judged by the model on those; a very long url is read whole; repeated rows
+each keep their own row; the input's own columns of an output's name are kept as
+name_input.
 """
 
 from __future__ import annotations
@@ -18,7 +20,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, SCALE = 2048, 4096
+from spindle.llm import shared
+
+BUCKETS, SCALE = 8192, 4096
+#: The logit above which a url is blocked.
+BAR = 0.5
 #: The mixing factors of the trigram hash.
 MIX = (7919, 104729, 1299709)
 SEED = {"host": 17, "path": 1031}
@@ -32,16 +38,50 @@ RULES = (
     ("block", "org", "/es/"),
 )
 
-# The labelled hosts and paths; every host of a label goes with every path of it.
-BLOCKED_HOSTS = "casino-bonus.example win-free-cash.example adultcams.example cheap-pills-rx.example torrent-crack.example clickbait-prizes.example sexhookup.example viagra-store.example slots-jackpot.example keygen-warez.example".split()
-BLOCKED_PATHS = "/casino/free-spins /xxx/cams /buy-viagra-cheap /win/cash-prize /crack/keygen.exe /adult/hot /poker/bonus?ref=aff /porn/video /pills/no-prescription /jackpot-now".split()
-ALLOWED_HOSTS = "www.library.example docs.python.example news.city.example blog.garden.example m.recipes.example archive.museum.example wiki.science.example school.edu.example shop.books.example en.encyclopedia.example example.com example.net example.org".split()
-ALLOWED_PATHS = "/en/articles/history /de/artikel/42 /docs/tutorial/index.html /fr/825 /news/2024/05/local /wiki/Mathematics /es/noticias/7 /blog/how-to-grow-tomatoes /research/paper.pdf /about/contact / /de/825 /en/17".split()
+# The labelled table, host and path of each url. Endings, numbers and
+# plain paths are alike in both halves, so that what they say is in their words.
+BLOCKED = """
+casino-royale-slots.example.com/en/101 www.onlinecasino.example.org/de/77.html m.casinobonus.example.net/play bestcasinos.example.com/
+freespins-casino.example.org/es/12 live-poker.example.com/fr/8 pokerstars-bonus.example.net/en/9/ www.free-poker.example.org/table
+sportsbets.example.com/en/4411 bet-now.example.net/odds m.bets365.example.org/de/5 betting-tips.example.com/en/63.html live-bets.example.org/fr/1
+bigwin-jackpot.example.com/en/7 win-prizes.example.org/claim www.win-cash.example.net/es/90 jackpot-winner.example.com/de/3 instant-win.example.org/en/2
+free-gifts.example.com/en/55 www.free-iphone.example.net/claim-now freebies-win.example.org/fr/6 get-free-cash.example.com/en/18 free-downloads.example.net/crack
+cheap-meds.example.com/en/31 www.cheapviagra.example.org/buy pills-online.example.net/no-prescription diet-pills.example.com/de/22 buy-cheap-cialis.example.org/en/4
+discount-pills.example.org/fr/41.html rx-pharmacy-cheap.example.net/en/8 weightloss-pills.example.com/es/2 cheap-replica-watches.example.net/en/6
+adult-cams.example.com/en/1 www.adult-chat.example.org/live adultdating.example.net/de/9 free-adult-videos.example.com/fr/3 xxx-tube.example.org/en/5 x-rated.example.net/en/12
+hot-xxx-cams.example.com/es/7 sex-hookup.example.org/en/66 porn-videos.example.net/watch m.adultx.example.com/de/11 nude-cams-x.example.org/en/8
+ads-server.example.com/en/21 click-ads.example.net/redirect www.popads.example.org/en/3 adsnetwork.example.com/track ad-tracker.example.net/pixel.gif
+track-clicks.example.org/en/14 tracking-ads.example.com/fr/5 banner-ads.example.net/de/8 m.adtrack.example.org/en/40 clicktrack.example.com/es/6
+spam-mailer.example.com/en/2 bulk-spam.example.net/list www.linkspam.example.org/de/30 link-farm.example.com/en/19 contentfarm.example.net/fr/9
+seo-spam-links.example.org/en/7 clickfarm-traffic.example.com/es/4 email-spam-list.example.net/en/15 likes-farm.example.org/buy
+payday-loans-fast.example.com/en/9 crypto-doubler.example.net/invest get-rich-quick.example.org/en/3 forex-signals-win.example.com/de/6
+keygen-crack.example.com/en/4 warez-torrents.example.net/crack cracked-games.example.org/fr/2 hot-deals-cheap.example.com/en/33 fake-diploma.example.net/buy
+""".split()
+ALLOWED = """
+www.city-library.example.com/en/101 history-museum.example.org/de/77.html m.garden-blog.example.net/plants mathworld.example.com/
+recipes-daily.example.org/es/12 river-news.example.com/fr/8 astronomy-club.example.net/en/9/ www.open-science.example.org/table
+sports-results.example.com/en/4411 better-health.example.net/tips m.alphabet-school.example.org/de/5 betterworld.example.com/en/63.html diabetes-care.example.org/fr/1
+winter-holidays.example.com/en/7 windows-help.example.org/setup www.wind-power.example.net/es/90 darwin-society.example.com/de/3 twin-cities.example.org/en/2
+freedom-press.example.com/en/55 www.freelance-writers.example.net/jobs freetown-news.example.org/fr/6 free-software.example.com/en/18 carefree-travel.example.net/guide
+chemistry-notes.example.com/en/31 www.cheese-makers.example.org/buy spills-response.example.net/report caterpillar-facts.example.com/de/22 buy-local-books.example.org/en/4
+country-hills.example.org/fr/41.html pharmacy-school.example.net/en/8 pillar-architecture.example.com/es/2 watch-repair.example.net/en/6
+adult-education.example.com/en/1 www.adulthood-study.example.org/live dating-of-rocks.example.net/de/9 video-lessons.example.com/fr/3 tube-map.example.org/en/5 xylophone.example.net/en/12
+hot-springs.example.com/es/7 essex-council.example.org/en/66 sextant-navigation.example.net/read m.hexagon.example.com/de/11 x-ray-physics.example.org/en/8
+roads-authority.example.com/en/21 heads-up-maths.example.net/lesson www.pads-and-pens.example.org/en/3 social-network-study.example.com/paper address-book.example.net/help
+track-and-field.example.org/en/14 tracks-of-animals.example.com/fr/5 bannerman-castle.example.net/de/8 m.railtracks.example.org/en/40 click-beetles.example.com/es/6
+mail-history.example.com/en/2 bulk-carriers.example.net/list www.spanish-course.example.org/de/30 organic-farm.example.com/en/19 farmers-market.example.net/fr/9
+linking-words.example.org/en/7 farmhouse-cooking.example.com/es/4 email-basics.example.net/en/15 likelihood.example.org/read
+day-trips.example.com/en/9 cryptography.example.net/paper richmond-park.example.org/en/3 foreign-languages.example.com/de/6
+keyboard-music.example.com/en/4 wares-of-pottery.example.net/shop board-games.example.org/fr/2 hotels-review.example.com/en/33 diploma-courses.example.net/apply
+library.example.com/en/825 www.weather.example.net/de/17 theatre.example.org/fr/6400.html m.station.example.com/es/3100/ shaped.example.org/en/482 thinking.example.net/en/7817
+blog.nation.example.com/fr/7424.html mother.example.org/es/4918 inherent.example.net/en/2518/ then.example.com/en/1776.html another.example.org/fr/8314 onion.example.net/de/1600
+""".split()
 
 
 def labelled() -> list[tuple[str, str, int]]:
     """The small labelled table: (host, path, 1 to block)."""
-    return [(h, p, 1) for h in BLOCKED_HOSTS for p in BLOCKED_PATHS] + [(h, p, 0) for h in ALLOWED_HOSTS for p in ALLOWED_PATHS]
+    rows = [(u, 1) for u in BLOCKED] + [(u, 0) for u in ALLOWED]
+    return [(u.partition("/")[0], "/" + u.partition("/")[2], y) for u, y in rows]
 
 
 def buckets(text: str, seed: int) -> list[int]:
@@ -102,11 +142,13 @@ def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, st
     """``pages`` with url_host, url_path, url_rule, url_score (logit) and url_verdict."""
     weights, bias = model()
     host, path = host_path(F.col(url))
-    table = F.lit(weights)
-    out = pages.withColumns({"url_host": host, "url_path": path})
-    out = out.withColumns({"__rule": rule_for(F.col("url_host"), F.col("url_path"), rules), "__sum": grams(F.col("url_host"), SEED["host"], table) + grams(F.col("url_path"), SEED["path"], table) + bias})
-    verdict = F.coalesce(F.col("__rule")["verdict"], F.when(F.col("__sum") > 0, "block").otherwise("allow"))
-    return out.withColumns({"url_rule": F.col("__rule")["rule"], "url_score": F.col("__sum") / SCALE, "url_verdict": verdict}).drop("__rule", "__sum")
+    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")  # folded into one literal
+    fits, total = shared.fresh(pages, "fits"), shared.fresh(pages, "total")
+    out = shared.make_room(pages.withColumn(fits, F.struct(host.alias("h"), path.alias("p"))), "url_host", "url_path", "url_rule", "url_score", "url_verdict")
+    out = out.withColumns({"url_host": F.col(fits)["h"], "url_path": F.col(fits)["p"]})
+    out = out.withColumns({fits: rule_for(F.col("url_host"), F.col("url_path"), rules), total: grams(F.col("url_host"), SEED["host"], table) + grams(F.col("url_path"), SEED["path"], table) + bias})
+    verdict = F.coalesce(F.col(fits)["verdict"], F.when(F.col(total) > int(BAR * SCALE), "block").otherwise("allow"))
+    return out.withColumns({"url_rule": F.col(fits)["rule"], "url_score": F.col(total) / SCALE, "url_verdict": verdict}).drop(fits, total)
 
 
 def report(pages: DataFrame) -> DataFrame:
@@ -132,5 +174,5 @@ p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([
   regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages)
 SELECT page_id, host, path, CASE {" ".join(f"WHEN {f} THEN '{r}'" for _, r, f in fits)} END AS rule,
   CASE {" ".join(f"WHEN {f} THEN '{v}'" for v, _, f in fits)}
-  WHEN {total("host", SEED["host"])} + {total("path", SEED["path"])} + {bias} > 0 THEN 'block' ELSE 'allow' END AS verdict
+  WHEN {total("host", SEED["host"])} + {total("path", SEED["path"])} + {bias} > {int(BAR * SCALE)} THEN 'block' ELSE 'allow' END AS verdict
 FROM p, m"""
