@@ -2,9 +2,16 @@
 
 Native: one projection over the texts, no shuffle and no Python on executors.
 
+A span's score begins with what its pattern and checksum are worth. Words on
+either side that name its kind raise it, words that name another kind of number
+lower it. Spans of the base kinds are always reported, with their score; the
+further kinds are reported from THRESHOLD on. ``confident`` keeps what reaches a
+bar of the caller's.
+
 Defined results: a null or empty text has no spans; positions count code
-points, ends are exclusive; repeated rows each keep their own row; columns of
-the input other than the text are passed on untouched.
+points, ends are exclusive; a very long text is read whole; repeated rows each
+keep their own row; columns of the input are passed on untouched, one of the
+output's name as name_input.
 """
 
 from __future__ import annotations
@@ -12,13 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindle.llm import shared
 from spindle.llm import spans as S
 
 KINDS = ("email", "ip", "card", "phone")
 #: A span that no contract fixes is kept from this score on.
 THRESHOLD = 0.6
-#: Characters before a span in which context words count.
-CONTEXT = 48
+#: Characters on either side of a span in which context words count, and what those for and against it are worth.
+CONTEXT, FOR, AGAINST = 48, 0.3, -0.3
 
 # The patterns of the base kinds. A lookbehind (or \G, the end of
 # the match before) keeps the search from starting again inside a run that has
@@ -29,8 +37,14 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Kinds that the method adds.
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 LOCAL = r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
+# Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS", 23: "AE GI IL IQ", 24: "AD CZ ES MD PK RO SA SE SK TN VA", 25: "PT", 26: "IS TR",
+    27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC",
+}
+IBAN = r"(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9])"
 CONTEXT_WORDS = {
     "email": r"\b(?:e-?mail|mail|contact|write)",
     "ip": r"\b(?:ip|host|server|address|client)\b",
@@ -39,6 +53,14 @@ CONTEXT_WORDS = {
     "iban": r"\b(?:iban|bank|account|konto|compte|cuenta)",
     "local": r"\b(?:phone|tel|call|mobile|cell|fax|whatsapp)",
 }
+OTHER_WORDS = {
+    "email": r"\b(?:noreply|no-reply|example)\b",
+    "ip": r"\b(?:version|release|section|chapter|v)\b",
+    "card": r"\b(?:isbn|order|invoice|serial|tracking|part)\b",
+    "phone": r"\b(?:isbn|order|invoice|serial|equals|plus)\b",
+    "iban": r"\b(?:example|serial|part)\b",
+    "local": r"\b(?:isbn|order|invoice|serial|tracking|part)\b",
+}
 
 
 def digits_of(text: Column) -> Column:
@@ -66,56 +88,48 @@ def octets(ip: Column) -> Column:
 
 
 def detect(text: Column, threshold: float = THRESHOLD, context: int = CONTEXT) -> Column:
-    """The spans of a text: array of (start, rank, end, kind, score, base, text), by start, then kind."""
+    """The spans of a text, fixed and more: arrays of (start, rank, end, kind, score, base, text)."""
     text = F.coalesce(text, F.lit(""))
 
     def scored(kind: str, prior: float):
-        return lambda f: F.lit(prior) + F.when(S.context(text, f["start"], context).rlike(CONTEXT_WORDS[kind]), F.lit(0.3)).otherwise(F.lit(0.0))
+        def score(f: Column) -> Column:
+            beside = F.lower(F.concat(f["before"], F.lit("\n"), f["after"]))
+            weigh = lambda words, worth: F.when(beside.rlike(words[kind]), F.lit(worth)).otherwise(F.lit(0.0))
+            return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(prior) + weigh(CONTEXT_WORDS, FOR) + weigh(OTHER_WORDS, AGAINST)))
 
-    def base(pattern: str, kind: str, prior: float, needs: str | None, good=None) -> Column:
-        found = S.find_all(text, pattern, needs=needs)
-        found = found if good is None else F.filter(found, good)
-        score = scored(kind, prior)
-        return F.transform(found, lambda f: S.span(f, KINDS.index(kind), kind, score(f), True))
+        return score
 
-    def added(pattern: str, kind: str, rank: int, prior: float, good=None) -> Column:
-        found = S.find_all(text, pattern)
+    def proposed(pattern: str, kind: str, rank: int, prior: float, base: bool, needs: str | None = None, good=None) -> Column:
+        found = S.find_all(text, pattern, needs=needs, around=context)
         found = found if good is None else F.filter(found, good)
         score = scored(kind, prior)
-        return F.filter(F.transform(found, lambda f: S.span(f, rank, kind, score(f), False)), lambda s: s["score"] >= threshold)
+        return F.transform(found, lambda f: S.span(f, rank, kind, score(f), base))
 
     fixed = F.concat(
-        base(EMAIL, "email", 0.7, "@"),
-        base(IP, "ip", 0.5, None, lambda f: octets(f["text"])),
-        base(CARD, "card", 0.7, None, lambda f: F.length(digits_of(f["text"])).between(12, 19) & luhn(digits_of(f["text"]))),
-        base(PHONE, "phone", 0.6, "+", lambda f: F.length(digits_of(f["text"])).between(9, 15)),
+        proposed(EMAIL, "email", 0, 0.7, True, "@"),
+        proposed(IP, "ip", 1, 0.5, True, good=lambda f: octets(f["text"])),
+        proposed(CARD, "card", 2, 0.7, True, good=lambda f: F.length(digits_of(f["text"])).between(12, 19) & luhn(digits_of(f["text"]))),
+        proposed(PHONE, "phone", 3, 0.6, True, "+", good=lambda f: F.length(digits_of(f["text"])).between(9, 15)),
     )
-    more = F.concat(added(IBAN, "iban", 4, 0.7, lambda f: mod97(f["text"])), added(LOCAL, "local", 5, 0.4))
-    return F.struct(fixed.alias("fixed"), more.alias("more"))
+    more = F.concat(proposed(IBAN, "iban", 4, 0.7, False, good=lambda f: mod97(f["text"])), proposed(LOCAL, "local", 5, 0.4, False))
+    return F.struct(fixed.alias("fixed"), F.filter(more, lambda s: s["score"] >= threshold).alias("more"))
 
 
 def with_spans(docs: DataFrame, text: str = "text", out: str = "pii_spans") -> DataFrame:
     """``docs`` with the column ``out`` of spans; base spans win over added ones they overlap."""
-    raw = "__pii_raw"
-    found = docs.withColumn(raw, detect(F.col(text)))
-    fixed, more = F.col(raw)["fixed"], F.col(raw)["more"]
-    both = F.when((F.size(fixed) == 0) & (F.size(more) == 0), F.array().cast(S.SPANS)).otherwise(
-        F.array_sort(F.concat(fixed, F.filter(more, lambda s: ~S.overlaps_any(s, fixed))))
-    )
-    return found.withColumn(out, both).drop(raw)
+    raw = shared.fresh(docs, "raw")
+    found = shared.make_room(docs.withColumn(raw, detect(F.col(text))), out)
+    return found.withColumn(out, S.together(F.col(raw)["fixed"], F.col(raw)["more"])).drop(raw)
 
 
-def redact(text: Column, spans: Column) -> Column:
-    """``text`` with each run of overlapping spans replaced by ``[KIND]`` of its first."""
+def confident(spans: Column, bar: float) -> Column:
+    """The spans whose score reaches ``bar``, base ones as well."""
+    return F.filter(spans, lambda s: s["score"] >= bar)
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(text, (acc["pos"] + 1).cast("int"), (s["start"] - acc["pos"]).cast("int"))
-        new = F.concat(acc["out"], kept, F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(s["start"] >= acc["pos"], new).otherwise(acc["out"]).alias("out"))
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit("").alias("out"))
-    joined = F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substring(text, (a["pos"] + 1).cast("int"), F.lit(2**31 - 1))))
-    return F.when(F.size(spans) == 0, text).otherwise(joined)
+def redact(text: Column, spans: Column) -> Column:
+    """``text`` with each run of overlapping spans replaced by ``[KIND]`` of its first."""
+    return S.pieces(text, spans, lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
 
 
 def report(docs: DataFrame) -> DataFrame:
