@@ -3,8 +3,12 @@
 1. Every text gives its set of five-word shingles, a key of the set and a
    MinHash signature. Texts with one set are copies and go on as one.
 2. Bands of the signature tie sets that may be similar to the least set of
-   their bucket; components of these ties are the groups within which pairs
-   are compared. Buckets and groups move as rows, nothing is collected.
+   their bucket; components of these ties are groups. Passages that many texts
+   share chain unlike sets into one group, so a group of more than LOOSE sets is
+   parted: within each of its buckets the sets' MinHash values are compared, a
+   byte of each, and only pairs that outlive the pruning tie. Buckets of more
+   than CROWD sets are parted by a second band first. Buckets and groups move as
+   rows, nothing is collected.
 3. A group's sets are dealt into blocks of bounded size; two blocks meet in one
    task. There every pair's MinHash values are compared a few at a time, and a
    pair goes when, for what was seen so far, the posterior probability of its
@@ -14,11 +18,13 @@
    pairs, so the rows stay in proportion to the input.
 
 Two texts of similarity 0.8 miss each other in all 32 bands of 4 with a
-probability of 5e-8, and are pruned with one below the tolerance, 1e-5.
+probability of 5e-8, and are pruned with one below the tolerance, 1e-5; of two in
+a crowded bucket, a second band in common is missed with one of about 1e-5.
 
 Defined results: null texts and texts without a word link to nothing and are
 classes of their own; copies (also repeated rows) link to each other; a class
-is named by its least doc_id, null ids coming last.
+is named by its least doc_id, null ids coming last; a very long text is read
+whole; other columns of the input are not read, and kept by keep_first.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindle.llm import shared
@@ -36,9 +42,11 @@ from spindle.llm import shingles as S
 THRESHOLD, TOLERANCE, CHUNK = 0.8, 1e-5, 16
 #: A block: sets, and shingles in all of them.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1_000_000
-#: Tasks that the lookup of a group's blocks spreads its sets over.
-SPREAD = 64
-SETS = "doc_id bigint, hash string, key binary, n int, sig binary"
+#: Sets of a group from which it is parted, of a bucket's block then, and of a bucket from which a second band parts it, one of the next NEXT.
+LOOSE, BUCKET_BLOCK, CROWD, NEXT = 2048, 1024, 16_384, 8
+#: Sets of a group for each task that the lookup of its blocks is spread over.
+SPREAD = 10_000
+SETS = "doc_id bigint, hash binary, key binary, n int, sig binary"
 LINKS = "key binary, links bigint, texts bigint, root binary, whole boolean"
 
 
@@ -118,8 +126,7 @@ def linker(threshold: float, tolerance: float):
         out, known = [], S.WordHashes()
         for _, rows in part.groupby("root", sort=False):
             sets = [S.shingle_set(t, known) for t in rows["text"]]
-            rows = rows.assign(at=range(len(rows)))[[S.set_key(u) == k for u, k in zip(sets, rows["key"], strict=True)]]  # a doc_id may stand for several texts
-            rows = rows.drop_duplicates("key").sort_values("key").reset_index(drop=True)
+            rows = rows.assign(at=range(len(rows))).sort_values("key").reset_index(drop=True)
             sets = [sets[i] for i in rows["at"]]
             if len(sets) < 2:
                 continue
@@ -145,49 +152,119 @@ def linker(threshold: float, tolerance: float):
     return link
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def bands_of(sig: Column) -> Column:
+    width = 4 * S.ROWS
+    return F.transform(F.sequence(F.lit(0), F.lit(S.HASHES // S.ROWS - 1)), lambda i: F.xxhash64(i, F.substring(sig, i * width + 1, F.lit(width))))
+
+
+def thinned(batches):
+    """A byte of each MinHash value."""
+    for b in batches:
+        yield pd.DataFrame({"key": b["key"], "n": b["n"], "bands": b["bands"], "sig": [(np.frombuffer(s, np.uint32) & np.uint32(255)).astype(np.uint8).tobytes() for s in b["sig"]]})
+
+
+def tier(threshold: float, tolerance: float):
+    """Ties of a bundle of buckets, or of two blocks of a large one: a spanning forest of the pairs that outlive the pruning."""
+    needed = least_matches(threshold, tolerance)
+
+    def ties(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["bucket", "key"], ignore_index=True)
+        sigs = np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(len(part), -1)
+        sizes, keys, block, buckets = part["n"].to_numpy(), part["key"].to_numpy(), part["block"].to_numpy(), part["bucket"].to_numpy()
+        i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
+        edges = np.flatnonzero(np.diff(buckets)) + 1
+        froms, tos = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for lo, hi in zip([0, *edges], [*edges, len(part)], strict=True):
+            left = lo + np.flatnonzero(block[lo:hi] == i)
+            a, b = pruned(sigs, sizes, left, left if i == j else lo + np.flatnonzero(block[lo:hi] == j), threshold, needed)
+            if len(a):
+                root = lo + tied(hi - lo, a - lo, b - lo)
+                at = np.flatnonzero(root != np.arange(lo, hi))
+                froms.append(lo + at)
+                tos.append(root[at])
+        return pd.DataFrame({"a": keys[np.concatenate(froms)], "b": keys[np.concatenate(tos)]})
+
+    return ties
+
+
+def parted(sets: DataFrame, threshold: float, tolerance: float, bucket_block: int, crowd: int) -> DataFrame:
+    """(node, root) of ``sets`` (key, n, sig) that pairs which outlive the pruning tie, by way of the buckets they share."""
+    thin = sets.select("key", "n", "sig", bands_of(F.col("sig")).alias("bands")).mapInPandas(thinned, "key binary, n int, bands array<bigint>, sig binary")
+    rows = thin.select("key", "n", "sig", "bands", F.posexplode("bands").alias("at", "bucket"))
+    sized = lambda r: r.join(r.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"), "bucket")
+    first = sized(rows)
+    near = F.transform(F.sequence(F.lit(1), F.lit(NEXT)), lambda d: F.xxhash64("bucket", F.get("bands", (F.col("at") + d) % (S.HASHES // S.ROWS))))
+    again = sized(first.filter(F.col("m") > crowd).select("key", "n", "sig", F.explode(near).alias("bucket")))
+    every = shared.written(first.filter(F.col("m") <= crowd).select("bucket", "key", "n", "sig", "m").unionByName(again.select("bucket", "key", "n", "sig", "m")), "buckets")
+    blocks = F.ceil(F.col("m") / bucket_block).cast("int")
+    dealt = every.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    bundles = max(1, every.count() // (4 * bucket_block))
+    bundle = F.when(blocks == 1, F.pmod(F.xxhash64("bucket"), F.lit(bundles))).otherwise(F.xxhash64("bucket", "i", "j"))
+    big = F.when(blocks > 1, F.col("bucket"))
+    ties = dealt.withColumns({"bundle": bundle, "big": big}).groupBy("bundle", "big", "i", "j").applyInPandas(tier(threshold, tolerance), "a binary, b binary")
+    found = shared.components(ties)
+    shared.drop(every)
+    return found
+
+
+def groups_of(kinds: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, loose: int = LOOSE, bucket_block: int = BUCKET_BLOCK, crowd: int = CROWD) -> DataFrame:
+    """(node, root) of the sets of ``kinds`` (key, n, sig) that may link: pairs are compared within a root."""
+    rows = kinds.select("key", F.explode(bands_of(F.col("sig"))).alias("band"))
+    leads = rows.groupBy("band").agg(F.min("key").alias("lead"), F.count("*").alias("size")).filter("size > 1").select("band", "lead")
+    groups = shared.written(shared.components(rows.join(leads, "band").select(F.col("key").alias("a"), F.col("lead").alias("b"))), "groups")
+    large = shared.written(groups.groupBy("root").agg(F.count("*").alias("m")).filter(F.col("m") > loose).select("root"), "large")
+    if large.isEmpty():
+        return groups
+    inside = groups.join(large, "root", "left_semi").select(F.col("node").alias("key"))
+    new = parted(kinds.select("key", "n", "sig").join(inside, "key"), threshold, tolerance, bucket_block, crowd)
+    return shared.written(groups.join(large, "root", "left_anti").select("node", "root").unionByName(new), "groups")
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES, **grouping: int) -> DataFrame:
     """(doc_id, hash, key, root, class_id, n_links, n_link_texts), a row for each of ``docs`` (doc_id, text).
 
-    hash is the text's md5; key names the shingle set and root the class, by the
+    hash is the text's SHA-256; key names the shingle set and root the class, by the
     key of one of its sets, both null if the set is empty; n_links counts documents of
     similarity ``threshold`` or more, copies included; n_link_texts counts sets.
     """
     shared.bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = shared.written(docs.withColumn("hash", F.md5("text")).mapInPandas(sign, SETS), "sets")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "sig")).alias("m")
-    kinds = shared.written(sets.filter(F.col("key").isNotNull()).groupBy("key").agg(first, F.count("*").alias("copies")).select("key", "copies", "m.doc_id", "m.n", "m.sig"), "kinds")
-    width = 4 * S.ROWS
-    bands = F.transform(F.sequence(F.lit(0), F.lit(S.HASHES // S.ROWS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))
-    leads = kinds.select("key", F.explode(bands).alias("band")).groupBy("band").agg(F.min("key").alias("lead"), F.count("*").alias("size")).filter("size > 1").select("band", "lead")
-    ties = kinds.select("key", F.explode(bands).alias("band")).join(leads, "band").select(F.col("key").alias("a"), F.col("lead").alias("b"))
-    groups = shared.written(shared.components(ties), "groups")
+    hashed = docs.withColumn("hash", F.unhex(F.sha2("text", 256)))
+    sets = shared.written(hashed.mapInPandas(sign, SETS), "sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "n", "sig")).alias("m")
+    kinds = shared.written(sets.filter(F.col("key").isNotNull()).groupBy("key").agg(first, F.count("*").alias("copies")).select("key", "copies", "m.doc_id", "m.hash", "m.n", "m.sig"), "kinds")
+    groups = groups_of(kinds, threshold, tolerance, **grouping)
     member = groups.withColumnRenamed("node", "key").join(kinds, "key")
-    # Blocks of a group are counted by its sets and its shingles.
-    # Only groups of several blocks are looked up, dealt over SPREAD salts, as one may hold a third of all sets.
-    sizes = member.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("all_n"))
+    # Blocks of a group are counted by its sets and its shingles. Only groups of
+    # several blocks are looked up, over salts, as one may hold a third of all sets.
+    sizes = shared.written(member.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("all_n")), "sizes")
     blocks = F.greatest(F.ceil(F.col("m") / block_sets), F.ceil(F.col("all_n") / block_shingles))
     blocks = F.least(F.col("m"), blocks).cast("int").alias("blocks")
-    several = sizes.select("root", blocks).filter("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    member = member.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SPREAD)).cast("int")).join(several, ["root", "salt"], "left")
-    member = member.select("key", "root", "copies", F.col("doc_id").alias("rep"), "n", "sig", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    member = shared.written(member, "members")
+    salts = max(1, (sizes.agg(F.max("m")).first()[0] or 0) // SPREAD)
+    several = sizes.select("root", blocks).filter("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    member = member.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(several, ["root", "salt"], "left")
+    member = shared.written(member.select("key", "root", "copies", "hash", "n", "sig", F.coalesce("blocks", F.lit(1)).alias("blocks")), "members")
     small = member.filter("blocks = 1").agg(F.sum("n")).first()[0] or 0
     bundles = max(1, small // (block_shingles // 4))
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = member.withColumn("block", own).select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     bundle = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bundles))).otherwise(F.xxhash64("root", "i", "j"))
-    dealt = dealt.select("key", "root", "copies", "rep", "sig", "blocks", "block", "i", "j", bundle.alias("bundle"), F.when(F.col("blocks") > 1, F.col("root")).alias("big"))
-    texts = docs.withColumnRenamed("doc_id", "rep_id").join(dealt, F.col("rep_id").eqNullSafe(F.col("rep"))).drop("rep_id", "rep")
+    dealt = dealt.select("key", "root", "copies", "hash", "sig", "blocks", "block", "i", "j", bundle.alias("bundle"), F.when(F.col("blocks") > 1, F.col("root")).alias("big"))
+    # Equal texts are put together before they are sent, and go by their hash: an id may be null or stand for many texts.
+    texts = hashed.groupBy("hash").agg(F.first("text").alias("text")).join(dealt, "hash")
     links = shared.written(texts.groupBy("bundle", "big", "i", "j").applyInPandas(linker(threshold, tolerance), LINKS), "links")
+    shared.drop(member, sizes, groups)
     counts = links.groupBy("key").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"), F.min("root").alias("root"), F.min("whole").alias("whole"))
     roots = shared.components(links.filter("NOT whole").select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "key", "root": "far"})
     linked = counts.join(roots, "key", "left").select("key", "links", "texts", F.coalesce("far", "root").alias("root"))
     each = kinds.select("key", "copies", "doc_id").join(linked, "key", "left").select("key", "copies", "doc_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("root", "key").alias("root"))
     names = each.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     named = each.join(names, "root").select("key", "root", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("texts").alias("n_link_texts"))
-    return sets.select("doc_id", "hash", "key").join(named, "key", "left").select("doc_id", "hash", "key", "root", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_link_texts", F.lit(0)).alias("n_link_texts"))
+    worded = sets.filter("key IS NOT NULL").select("doc_id", "hash", "key").join(named, "key").select("doc_id", "hash", "key", "root", "class_id", "n_links", "n_link_texts")
+    wordless = sets.filter("key IS NULL").select("doc_id", "hash", "key", F.lit(None).cast("binary").alias("root"), F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(0).cast("bigint").alias("n_link_texts"))
+    return worded.unionByName(wordless)
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
@@ -200,7 +277,7 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     first = found.filter("key IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "hash")).alias("m")).select("m.doc_id", "m.hash", F.lit(False).alias("__alone"))
     alone = found.filter("key IS NULL").select("doc_id", "hash").distinct().select("doc_id", "hash", F.col("doc_id").isNull().alias("__alone"))
     kept = first.unionByName(alone).withColumnsRenamed({"doc_id": "__kept_id", "hash": "__kept_hash"})
-    rows = docs.withColumns({"__id": F.col("doc_id").cast("bigint"), "__hash": F.md5("text")})
+    rows = docs.withColumns({"__id": F.col("doc_id").cast("bigint"), "__hash": F.unhex(F.sha2("text", 256))})
     rows = rows.join(kept, F.col("__id").eqNullSafe(F.col("__kept_id")) & F.col("__hash").eqNullSafe(F.col("__kept_hash")))
     # Equal rows are one, but for those without an id and a word, of which each stays.
     rows = rows.withColumn("__turn", F.when(F.col("__alone"), F.monotonically_increasing_id()).otherwise(0))
