@@ -109,8 +109,8 @@ def ratio_table() -> tuple[int, ...]:
 
 def ratio(token: Column) -> Column:
     """Mean log-likelihood ratio of a token's steps, in nats; 0 for under two characters."""
-    at = F.lit([ALPHABET.find(chr(i)) if chr(i) in ALPHABET else ALPHABET.index("-") for i in range(128)])
-    table, n = F.lit(list(ratio_table())), len(ALPHABET)
+    at = shared.whole_numbers(ALPHABET.find(chr(i)) if chr(i) in ALPHABET else ALPHABET.index("-") for i in range(128))
+    table, n = shared.whole_numbers(ratio_table()), len(ALPHABET)
     codes = F.transform(F.split(token, ""), lambda c: F.element_at(at, F.least(F.ascii(c), F.lit(127)) + 1))
 
     def step(acc: Column, code: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of a batch sent to Python, and the session's settings of them.
@@ -86,6 +86,11 @@ def clear(spark: SparkSession) -> None:
     files.delete(at, True)
 
 
+def whole_numbers(values) -> Column:
+    """An array literal, made from one string: a long one would be a call to the JVM for each value."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
 def fresh(frame: DataFrame, name: str) -> str:
     """``name``, with underscores put before it until ``frame`` has no such column."""
     taken = {c.lower() for c in frame.columns}

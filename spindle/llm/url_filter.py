@@ -142,7 +142,7 @@ def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, st
     """``pages`` with url_host, url_path, url_rule, url_score (logit) and url_verdict."""
     weights, bias = model()
     host, path = host_path(F.col(url))
-    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")  # folded into one literal
+    table = shared.whole_numbers(weights)
     fits, total = shared.fresh(pages, "fits"), shared.fresh(pages, "total")
     out = shared.make_room(pages.withColumn(fits, F.struct(host.alias("h"), path.alias("p"))), "url_host", "url_path", "url_rule", "url_score", "url_verdict")
     out = out.withColumns({"url_host": F.col(fits)["h"], "url_path": F.col(fits)["p"]})
