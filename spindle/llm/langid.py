@@ -10,15 +10,16 @@ the least score of an accepted text are set on a part of the sample that
 training has not seen. As mean and softmax are linear, prediction sums one row
 of logits for each subword.
 
-Defined results: a null text, and one without a letter, is ``und`` with score 0
-and rejected, as is every text when nothing was learned; repeated rows each get
-their own result; documents of null id or language are not learned from. Of more
+Defined results: a null text, and one without a letter (a digit, a fraction, a
+power or a picture is none), is ``und`` with score 0 and rejected, as is every
+text when nothing was learned; repeated rows each get their own result; of the
+input's columns, whatever else they are named, only text, lang and doc_id are
+read; documents of null id or language are not learned from. Of more
 languages than the sample has rows, the most frequent are learned.
 """
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -36,20 +37,19 @@ SAMPLE = 2000
 #: Share of rightly labelled texts that may be rejected, and the highest bar.
 REJECT_SHARE, REJECT_TOP = 0.002, 0.5
 RESULT = "lang string, score double, rejected boolean"
-LETTER = re.compile(r"[^\W\d_]")
 #: Characters hashed at once, so that a very long text needs no more memory.
 CHUNK = 1 << 18
 #: Hashes that documents are drawn by.
 TURNS = 1 << 40
 _MULT = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint32)
-#: 1 where a code point is a letter, below 0x3000; above, all but spaces count.
-_LETTERS = np.array([chr(i).isalpha() for i in range(0x3000)] + [True])
+#: Where a code point is a letter.
+_LETTERS = np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def codes(text: str) -> np.ndarray:
     """Code points in lower case, everything but letters as a blank."""
     c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(_LETTERS[np.minimum(c, 0x3000)], c, np.uint32(32))
+    return np.where(_LETTERS[c], c, np.uint32(32))
 
 
 def counts(text: str) -> tuple[np.ndarray, int]:
@@ -86,9 +86,9 @@ class Model:
     bar: float
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if not text or not self.langs or not LETTER.search(text):
+        total, n = counts(text or "")
+        if not n or not self.langs:
             return "und", 0.0, True
-        total, n = counts(text)
         p = softmax((total @ self.table / max(n, 1) + self.bias)[None])[0]
         best = int(p.argmax())
         return self.langs[best], float(p[best]), bool(p[best] < self.bar)
