@@ -17,7 +17,10 @@ model has none. Text is cut before each run of blanks, and between letters and o
 where no piece crosses.
 
 Defined results: a null or empty text has no tokens; decoding gives the text
-back but for U+2581, which is read as a blank; unknown pieces decode to U+2047.
+back but for U+2581, which is read as a blank; unknown pieces decode to U+2047;
+very long texts are read whole, and so is a word without blanks of any length;
+repeated rows each keep their own row; the input's own columns of an output's
+name are kept as name_input.
 """
 
 from __future__ import annotations
@@ -83,6 +86,7 @@ class Pieces:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
+        self.stepwise: set[str] = set()
 
     def seams(self, line: str) -> str:
         """The pattern of the words that a text is cut into: no piece crosses from one to the next.
@@ -155,8 +159,8 @@ class Pieces:
             found = self.pairs[key] = self.apart(self.texts[a], self.texts[b])
         return found
 
-    def viterbi(self, text: str) -> list[int]:
-        """One pass of the automaton, whose output links relax the best way to each position."""
+    def viterbi(self, text: str) -> list[int] | None:
+        """One pass of the automaton, whose output links relax the best way to each position; None if no way keeps to the pairs."""
         n, merges, scores, ids, pairs, width = len(text), self.merges, self.scores, self.ids, self.pairs, len(self.texts)
         never = float("-inf")
         best, came, last, done = [0.0, *[never] * n], [0] * (n + 1), [-1] * (n + 1), 0
@@ -183,8 +187,8 @@ class Pieces:
         for at in range(done, n):
             if best[at + 1] == never:
                 settle(at)
-        if best[n] == never:  # no path keeps to the pairs: an order of merges with equal scores
-            return self.merged(text)
+        if best[n] == never:  # an order of merges with equal scores
+            return None
         out, at = [], n
         while at:
             out.append(last[at])
@@ -193,7 +197,12 @@ class Pieces:
 
     def word(self, text: str) -> bytes:
         """A word's ids as little-endian 32-bit integers."""
-        ids = self.merged(text) if self.merges and text.startswith(BLANK * 2) else self.viterbi(text)
+        ids = None if self.merges and text.startswith(BLANK * 2) else self.viterbi(text)
+        if ids is None:
+            if len(self.stepwise) >= WORDS:
+                self.stepwise.clear()
+            self.stepwise.add(text)
+            ids = self.merged(text)
         if min(ids) < 0:
             flat: list[int] = []
             for i in ids:
@@ -203,13 +212,17 @@ class Pieces:
 
     def encode(self, text: str | None) -> bytes:
         """A text's ids as little-endian 32-bit integers."""
+        return self.encoded(text)[0]
+
+    def encoded(self, text: str | None) -> tuple[bytes, int]:
+        """A text's ids, and how many of its words were merged step by step instead of by a way through the automaton."""
         if not text:
-            return b""
+            return b"", 0
         cut = self.cut.findall((BLANK if self.prefix else "") + text.replace(" ", BLANK))
         out = list(map(self.words.get, cut))
         for at in [i for i, found in enumerate(out) if found is None]:
             out[at] = self.unseen(cut[at])
-        return b"".join(out)
+        return b"".join(out), sum(map(self.stepwise.__contains__, cut)) if self.stepwise else 0
 
     def unseen(self, w: str) -> bytes:
         """A word's ids, from what is remembered or worked out."""
@@ -263,19 +276,19 @@ class Tokenizer:
         return decode
 
     def digester(self):
-        """A function of a text column: struct (n_tokens, ids_sha256, text_sha256 of the decoded text, round_trip)."""
+        """A function of a text column: struct (n_tokens, ids_sha256, text_sha256 of the decoded text, round_trip, n_stepwise)."""
         sent = self.sent
 
-        @F.pandas_udf("n_tokens bigint, ids_sha256 string, text_sha256 string, round_trip boolean")
+        @F.pandas_udf("n_tokens bigint, ids_sha256 string, text_sha256 string, round_trip boolean, n_stepwise bigint")
         def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             pieces = loaded(sent.value)
             for texts in batches:
                 rows = []
                 for t in texts:
-                    ids = pieces.encode(t)
+                    ids, stepwise = pieces.encoded(t)
                     back = pieces.decode(ids)
-                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == (t or "").replace(BLANK, " ")))
-                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "text_sha256", "round_trip"])
+                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == (t or "").replace(BLANK, " "), stepwise))
+                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "text_sha256", "round_trip", "n_stepwise"])
 
         return digest
 
@@ -283,10 +296,11 @@ class Tokenizer:
 def tokenized(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """``docs`` with token_ids and n_tokens of the text."""
     encode = Tokenizer(docs.sparkSession, path).encoder()
+    docs = shared.make_room(docs, "token_ids", "n_tokens")
     return docs.withColumn("token_ids", encode(F.col("text"))).withColumn("n_tokens", F.size("token_ids").cast("bigint"))
 
 
 def report(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """A row per document: doc_id, n_tokens, ids_sha256 (little-endian 32-bit ids), text_sha256, round_trip."""
+    """A row per document: doc_id, n_tokens, ids_sha256 (little-endian 32-bit ids), text_sha256, round_trip, n_stepwise (words that were merged step by step)."""
     digest = Tokenizer(docs.sparkSession, path).digester()
     return docs.select("doc_id", digest(F.col("text")).alias("d")).select("doc_id", "d.*")
