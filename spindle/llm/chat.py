@@ -11,7 +11,8 @@ brings its turns together, as its text is the result.
 
 Defined results: turns are put in the order of turn, then formatted text, nulls
 first; a null text is empty, a null role is the empty role; repeated rows are
-repeated turns; a null part or type adds nothing.
+repeated turns; a null part or type adds nothing; very long texts are kept whole;
+other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindle.llm import spans as S
+
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>\n", "<|nl|>"
 PLACE = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
@@ -54,7 +57,7 @@ def visit_tokens(part: Column) -> Column:
 
 
 def format_turns(turns: DataFrame, parts: str = "parts", role: str = "role") -> DataFrame:
-    """``turns`` with turn_text, attachments (type, ref, n_tokens, in order) and expanded_tokens."""
+    """``turns`` with turn_text, where its body begins in it, attachments (type, ref, n_tokens, in order) and expanded_tokens."""
     content = F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>"))
     body = F.array_join(F.transform(content, visit_text), "")
     head = F.replace(escape(F.coalesce(F.col(role), F.lit(""))), F.lit("\n"), F.lit(NEWLINE))
@@ -62,26 +65,32 @@ def format_turns(turns: DataFrame, parts: str = "parts", role: str = "role") ->
     refs = F.transform(attached, lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), visit_tokens(p).alias("n_tokens")))
     return turns.withColumns({
         "turn_text": F.concat(F.lit(START), head, F.lit("\n"), body, F.lit(END)),
+        "body_start": (F.length(head) + len(START) + 1).cast("bigint"),
         "attachments": refs,
         "expanded_tokens": F.aggregate(content, F.lit(0).cast("bigint"), lambda a, p: a + F.coalesce(visit_tokens(p), F.lit(0).cast("bigint"))),
     })
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """A row per conversation: conv_id, formatted, attachments, expanded_tokens.
+    """A row per conversation: conv_id, formatted, attachments, expanded_tokens, loss_spans.
 
-    ``turns`` has conv_id, turn, role and either parts or text.
+    ``turns`` has conv_id, turn, role and either parts or text. loss_spans is the
+    loss mask: where what the assistant says is in ``formatted``, as it is
+    written there, in code points, ends exclusive.
     """
     if "parts" not in turns.columns:
         one = F.struct(F.lit("text").alias("type"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *[F.lit(None).cast(t).alias(n) for n, t in (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))])
         turns = turns.withColumn("parts", F.array(one))
     each = format_turns(turns.select("conv_id", "turn", "role", "parts"))
-    grouped = each.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "turn_text", "attachments", "expanded_tokens"))).alias("__t"))
+    grouped = each.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "turn_text", "role", "body_start", "attachments", "expanded_tokens"))).alias("__t"))
+    ends = S.running(F.transform("__t", lambda t: F.length(t["turn_text"]).cast("bigint")), lambda a, b: a + b)
+    mask = F.zip_with("__t", ends, lambda t, e: F.when(t["role"] == "assistant", F.struct((e - F.length(t["turn_text"]) + t["body_start"]).alias("start"), (e - len(END)).alias("end"))))
     return grouped.select(
         "conv_id",
         F.array_join(F.transform("__t", lambda t: t["turn_text"]), "").alias("formatted"),
         F.flatten(F.transform("__t", lambda t: t["attachments"])).alias("attachments"),
         F.aggregate("__t", F.lit(0).cast("bigint"), lambda a, t: a + t["expanded_tokens"]).alias("expanded_tokens"),
+        F.filter(mask, lambda m: m.isNotNull()).alias("loss_spans"),
     )
 
 
@@ -110,7 +119,7 @@ def report(conversations: DataFrame) -> DataFrame:
     """A row per conversation, and conversation -1: digests of what is read back."""
     turns = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
     probe = turns.sparkSession.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    done = format_conversations(turns.unionByName(probe)).select("conv_id", "formatted")
+    done = format_conversations(turns.unionByName(probe))
     read = done.withColumn("__r", read_back(F.col("formatted")))
     read = read.withColumns({"__all": F.array_join(F.transform("__r", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), "__loss": loss_text(F.col("__r"))})
     return read.select(
@@ -120,6 +129,9 @@ def report(conversations: DataFrame) -> DataFrame:
         F.length("__loss").cast("bigint").alias("loss_chars"),
         F.sha2("__loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
+        F.size("attachments").cast("bigint").alias("n_attachments"),
+        "expanded_tokens",
+        F.concat_ws(",", F.transform("loss_spans", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string")))).alias("loss_spans"),
     )
 
 
@@ -127,9 +139,12 @@ ORACLE = rf"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}'),
 f AS (SELECT *, '{START}' || replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), chr(10), '{NEWLINE}') || chr(10)
-  || regexp_replace(t, '<(\\*)\|', '<\\\1|', 'g') || '<|im_end|>' || chr(10) AS fmt FROM c)
+  || regexp_replace(t, '<(\\*)\|', '<\\\1|', 'g') || '<|im_end|>' || chr(10) AS fmt,
+  length(regexp_replace(t, '<(\\*)\|', '<\\\1|', 'g')) AS body FROM c),
+p AS (SELECT *, sum(length(fmt)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, fmt ROWS UNBOUNDED PRECEDING) - {len(END)} AS stop FROM f)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, fmt)) AS turns_sha256,
   length(coalesce(string_agg(CASE WHEN role = 'assistant' THEN t END, '' ORDER BY turn NULLS FIRST, fmt), '')) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN t END, '' ORDER BY turn NULLS FIRST, fmt), '')) AS loss_sha256,
-  length(string_agg(fmt, '')) AS formatted_chars
-FROM f GROUP BY conv_id"""
+  length(string_agg(fmt, '')) AS formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS expanded_tokens,
+  coalesce(string_agg(CASE WHEN role = 'assistant' THEN (stop - body)::BIGINT || ':' || stop::BIGINT END, ',' ORDER BY turn NULLS FIRST, fmt), '') AS loss_spans
+FROM p GROUP BY conv_id"""
