@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from spindle.plans.templates import Chapter, Music, Rhythm, Section, Template
 
 ROLES = ("establishing", "action", "reaction", "detail")
+#: Shares of a chapter up to which, these included, each role is wanted; then the last (fixed values, added up from left to right).
+ARC = ((0.15, "establishing"), (0.15 + 0.40, "action"), (0.15 + 0.40 + 0.30, "reaction"))
 _NAMES = {"sh": "sharpness", "ex": "exposure", "st": "stability", "f": "face_score", "m": "motion_intensity", "h": "highlight_score"}
 
 
@@ -139,6 +141,15 @@ def story_fit(chapter: Column) -> Column:
     )
 
 
+def story_of(template: Template, chapter: str) -> Column:
+    """How well a shot suits a chapter: as the template says, else as the two given templates do."""
+    return template.story(chapter) if template.story else story_fit(F.lit(chapter))
+
+
+def penalties() -> Column:
+    return total(bonus(q("ex") < 0.3, 0.2), bonus(q("sh") < 0.2, 0.15), bonus(q("st") < 0.3, 0.1))
+
+
 #: Roles that a section of a track prefers (fixed values).
 PREFERRED = {"intro": ("establishing", "detail"), "verse": ("establishing", "detail", "reaction"), "chorus": ("action", "reaction"), "bridge": ("reaction", "detail"), "outro": ("detail", "establishing", "reaction")}
 MISMATCH = 0.15
@@ -226,13 +237,15 @@ def shot_score(template: Template, chapter: Column, label: Column, rhythm: Colum
     if sections:
         lift = lift + F.when(chorus, F.lit(0.25)).when(F.lit(False) if reserved is None else reserved, F.lit(-0.1)).otherwise(F.lit(0.0))
     base = base + F.when(q("h") >= 0.5, lift).otherwise(F.lit(0.0))
-    base = base - bonus(q("ex") < 0.3, 0.2) - bonus(q("sh") < 0.2, 0.15) - bonus(q("st") < 0.3, 0.1)
-    return F.greatest(F.lit(0.0), base if preference is None else base + preference)
+    return F.greatest(F.lit(0.0), (base if preference is None else base + preference) - penalties())
 
 
 def arc_role(progress: Column) -> Column:
     """The role wanted at a point of a chapter."""
-    return F.when(progress < 0.15, "establishing").when(progress < 0.15 + 0.40, "action").when(progress < 0.15 + 0.40 + 0.30, "reaction").otherwise("detail")
+    wanted = F.lit(ROLES[-1])
+    for upto, name in reversed(ARC):
+        wanted = F.when(progress <= upto, name).otherwise(wanted)
+    return wanted
 
 
 def frames_of(seconds: Column, fps: int = 30) -> Column:
@@ -242,7 +255,7 @@ def frames_of(seconds: Column, fps: int = 30) -> Column:
 
 def effect_name(transition: Column) -> Column:
     """The editor's name of a transition; a plain cut has none."""
-    return F.when(transition == "cross_dissolve", "Cross Dissolve").when(transition.isin("fade_in", "fade_out", "fade_from_black", "fade_to_black"), "Dip to Black")
+    return F.when(transition.isin("fade_from_black", "fade_to_black"), "Dip to Black").when(transition != "cut", "Cross Dissolve")
 
 
 def chapter_at(template: Template, share: Column) -> Column:
@@ -260,14 +273,33 @@ def in_range(chapter: Chapter, value: Column) -> Column:
     return value.between(*chapter.emotion)
 
 
+#: Range of zoom, and of the pan to either side as a share of the frame (fixed values).
+ZOOM, PAN = (1.0, 1.15), 0.05
+
+
 def pan_zoom(seed: int) -> Column:
-    """Struct of a random pan and zoom for a still, from a seed and the row's place."""
+    """Struct of a random pan and zoom for a still, in or out with equal chances, from a seed and the row's place."""
     between = lambda i, a, b: F.lit(a) + F.rand(seed + i) * (b - a)
-    return F.struct(between(0, 1.0, 1.1).alias("zoom_start"), between(1, 1.1, 1.3).alias("zoom_end"), between(2, -0.05, 0.05).alias("pan_x"), between(3, -0.05, 0.05).alias("pan_y"))
+    inward, far = F.rand(seed) > 0.5, F.lit(ZOOM[0]) + between(1, 0.05, ZOOM[1] - ZOOM[0])
+    drawn = F.struct(inward.alias("i"), far.alias("far"), *[between(2 + k, -PAN, PAN).alias(n) for k, n in enumerate(("start_x", "start_y", "end_x", "end_y"))])
+    # Drawn once: each mention of rand would be another draw.
+    return F.transform(F.array(drawn), lambda d: F.struct(
+        F.when(d["i"], F.lit(ZOOM[0])).otherwise(d["far"]).alias("start_zoom"), F.when(d["i"], d["far"]).otherwise(F.lit(ZOOM[0])).alias("end_zoom"),
+        *[d[n].alias(n) for n in ("start_x", "start_y", "end_x", "end_y")],
+    ))[0]
+
+
+def pan_zoom_filter(motion: Column, duration: Column, width: int = 1920, height: int = 1080, fps: int = 30) -> Column:
+    """The renderer's filter of a pan and zoom (a struct of pan_zoom) over ``duration`` seconds, as text."""
+    frames = (duration * fps).cast("bigint").cast("string")
+    text = lambda c: F.regexp_replace(c.cast("string"), "E-0?", "e-")
+
+    def moving(a: Column, b: Column) -> Column:
+        return F.concat(F.lit("'if(eq(on,1),"), a, F.lit(","), a, F.lit("+(("), b, F.lit("-"), a, F.lit(")/"), frames, F.lit(")*on)'"))
 
+    def offset(size: int, shift: str, zoom: str) -> Column:
+        return (F.lit(size) * (F.lit(0.5) + motion[shift]) - F.lit(size) / (F.lit(2.0) * motion[zoom])).cast("bigint").cast("string")
 
-def pan_zoom_filter(duration_ms: Column, zoom_start: Column, zoom_end: Column, fps: int = 30, width: int = 1920, height: int = 1080) -> Column:
-    """The render filter of a pan and zoom as text."""
-    frames = frames_of(duration_ms / 1000.0, fps)
-    step = F.format_string("%.6f", (zoom_end - zoom_start) / F.greatest(frames, F.lit(1)))
-    return F.concat(F.lit("zoompan=z='"), F.format_string("%.4f", zoom_start), F.lit("+on*"), step, F.lit("':d="), frames.cast("string"), F.lit(f":s={width}x{height}:fps={fps}"))
+    x = moving(offset(width, "start_x", "start_zoom"), offset(width, "end_x", "end_zoom"))
+    y = moving(offset(height, "start_y", "start_zoom"), offset(height, "end_y", "end_zoom"))
+    return F.concat(F.lit("zoompan=z="), moving(text(motion["start_zoom"]), text(motion["end_zoom"])), F.lit(":x="), x, F.lit(":y="), y, F.lit(":d="), frames, F.lit(f":s={width}x{height}:fps={fps}"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from spindle.functions import scores as S
@@ -52,16 +53,24 @@ def violations(clips: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataF
 
 
 def chapter_edges(clips: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
-    """transition_in and transition_out at changes of chapter: dissolve within an event, else fades."""
-    w = _by(keys)
-
-    def kind(other: Column, same: Column, fade: str) -> Column:
-        return F.when(other.isNull() | (other == F.col("chapter")), "cut").when(same == F.col("event_id"), "cross_dissolve").otherwise(fade)
+    """Transitions of half a second put in at changes of chapter that are plain cuts as yet: a dissolve within an event, else fades.
 
-    return clips.withColumns({
-        "transition_in": kind(F.lag("chapter").over(w), F.lag("event_id").over(w), "fade_in"),
-        "transition_out": kind(F.lead("chapter").over(w), F.lead("event_id").over(w), "fade_out"),
+    Columns transition_in, transition_out and transition_duration, where there;
+    edge_fixed marks the clip after each change that was put in.
+    """
+    w = _by(keys)
+    for name, kind in (("transition_in", "cut"), ("transition_out", "cut"), ("transition_duration", 0.0)):
+        clips = clips if name in clips.columns else clips.withColumn(name, F.lit(kind))
+    enters = (F.lag("chapter").over(w) != F.col("chapter")) & (F.lag("transition_out").over(w) == "cut")
+    leaves = (F.lead("chapter").over(w) != F.col("chapter")) & (F.col("transition_out") == "cut")
+    kind = lambda other, fade: F.when(other == F.col("event_id"), "cross_dissolve").otherwise(fade)
+    done = clips.withColumns({
+        "edge_fixed": F.coalesce(enters, F.lit(False)),
+        "__in": F.when(enters, kind(F.lag("event_id").over(w), "fade_in")).otherwise(F.col("transition_in")),
+        "__out": F.when(leaves, kind(F.lead("event_id").over(w), "fade_out")).otherwise(F.col("transition_out")),
+        "__sec": F.when(F.coalesce(enters, F.lit(False)) | F.coalesce(leaves, F.lit(False)), F.lit(0.5)).otherwise(F.col("transition_duration")),
     })
+    return done.withColumns({"transition_in": F.col("__in"), "transition_out": F.col("__out"), "transition_duration": F.col("__sec")}).drop("__in", "__out", "__sec")
 
 
 def cinematic_edges(clips: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
@@ -114,22 +123,25 @@ def emotion_gradient(clips: DataFrame, keys: Sequence[str] = ("project_id",)) ->
     return rows.groupBy(*keys).agg(F.when(F.count("__d") == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - F.lit(2.0) * mean))).alias("emotion_gradient"))
 
 
-def swap_roles(clips: DataFrame, key: str = "project_id", reach: int = 8) -> DataFrame:
+def swap_roles(clips: DataFrame, key: str = "project_id", reach: int = 8, told: bool = False) -> DataFrame:
     """Breaks up threes of one role: the third changes its content with the next clip of another role in its chapter, if one is near.
 
-    A pass per project, as each swap changes what the next step sees.
+    A pass per project, as each swap changes what the next step sees. With
+    ``told`` a project's first clip has the threes that were met, in __triples.
     """
     content = [c for c in CONTENT if c in clips.columns]
+    triples = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("role", T.StringType())]))
 
     def repair(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("clip_idx", ignore_index=True)
-        order, roles, chapters = list(range(len(part))), part["shot_role"].tolist(), part["chapter"].tolist()
+        order, roles, chapters, met = list(range(len(part))), part["shot_role"].tolist(), part["chapter"].tolist(), []
         at = 0
         while at + 2 < len(order):
             three = {roles[order[at + d]] for d in range(3)}
             step = 1
             if len(three) == 1 and (role := three.pop()):
                 third = at + 2
+                met.append((at, role))
                 partner = next((j for j in range(at + 3, min(at + reach, len(order))) if roles[order[j]] != role and chapters[j] == chapters[third]), None)
                 if partner is None:
                     step = 3
@@ -137,6 +149,53 @@ def swap_roles(clips: DataFrame, key: str = "project_id", reach: int = 8) -> Dat
                     order[third], order[partner] = order[partner], order[third]
             at += step
         part[content] = part[content].iloc[order].reset_index(drop=True)
+        if told:
+            part["__triples"] = [met if i == 0 else [] for i in range(len(part))]
         return part
 
-    return clips.groupBy(key).applyInPandas(repair, clips.schema)
+    schema = T.StructType([*clips.schema.fields, T.StructField("__triples", triples)]) if told else clips.schema
+    return clips.groupBy(key).applyInPandas(repair, schema)
+
+
+def _details(swapped: DataFrame, edged: DataFrame, ruled: DataFrame, key: str) -> DataFrame:
+    """(key, step, rule, clip_index, description) of what each rule found, in its order."""
+    triples = swapped.select(key, F.lit(1).alias("step"), F.explode("__triples").alias("t")).select(key, "step", F.lit("consecutive_same_role").alias("rule"), F.col("t.at").alias("clip_index"), F.concat(F.lit("3+ consecutive '"), F.col("t.role"), F.lit("' at clips "), F.col("t.at"), F.lit("-"), F.col("t.at") + 2).alias("description"))
+    breaths = breathless(swapped, [key]).select(key, F.lit(2).alias("step"), "rule", F.col("clip_idx").alias("clip_index"), F.concat(F.lit("3+ consecutive high-action clips ending at "), "clip_idx").alias("description"))
+    jumped = swapped.withColumn("__jump", F.lag("event_id").over(_by([key])) != F.col("event_id"))
+    per = jumped.groupBy(key, "chapter").agg(F.count_if("__jump").alias("n"), F.min(F.when(F.col("__jump"), F.col("clip_idx"))).alias("clip_index"), (F.max("timeline_end") - F.min("timeline_start")).alias("sec"))
+    rate = F.col("n") / F.col("sec")
+    jumps = per.filter((F.col("sec") > 0) & (rate > MAX_JUMPS_PER_SEC)).select(key, F.lit(3).alias("step"), F.lit("cross_event_jump_rate").alias("rule"), "clip_index", F.concat(F.lit("Chapter '"), F.col("chapter"), F.lit("': "), F.col("n").cast("string"), F.lit(" event jumps in "), F.format_string("%.1f", "sec"), F.lit("s (rate="), F.format_string("%.2f", rate), F.lit("/s, max=0.25/s)")).alias("description"))
+    before = lambda c: F.lag(c).over(_by([key]))
+    chapters = edged.withColumn("__before", before("chapter")).filter("edge_fixed").select(key, F.lit(4).alias("step"), F.lit("chapter_transition").alias("rule"), F.col("clip_idx").alias("clip_index"), F.concat(F.lit("Added transition between '"), F.col("__before"), F.lit("' and '"), F.col("chapter"), F.lit("'")).alias("description"))
+    told = ruled.withColumns({"__gap": F.abs(F.col("shot_start") - before("shot_end")), "__delta": F.abs(S.emotion() - F.lag(S.emotion()).over(_by([key]))), "__still": before("media_type") == "photo"}).filter("rule IS NOT NULL")
+    text = F.when(F.col("rule") == "semantic_time_jump", F.concat(F.lit("Time jump "), F.format_string("%.0f", "__gap"), F.lit("s in event "), F.col("event_id").cast("string"))).when(F.col("rule") == "semantic_emotion_contrast", F.concat(F.lit("Emotion contrast "), F.format_string("%.2f", "__delta"))).otherwise(F.when(F.col("__still"), "Media switch: photo\u2192video").otherwise("Media switch: video\u2192photo"))
+    semantic = told.select(key, F.lit(5).alias("step"), "rule", F.col("clip_idx").alias("clip_index"), text.alias("description"))
+    return triples.unionByName(breaths).unionByName(jumps).unionByName(chapters).unionByName(semantic)
+
+
+def apply(clips: DataFrame, key: str = "project_id") -> tuple[DataFrame, DataFrame]:
+    """The rules on planned clips: (clips after them, a report row for each project).
+
+    Threes of a role are broken up, breathless runs marked in the reason, jumps
+    between events counted, then transitions put in at chapters and within them.
+    Projects of under three clips stay as they are, their report is all zeros.
+    """
+    clips = clips.withColumn("__n", F.count("*").over(Window.partitionBy(key)))
+    few, many = clips.filter("__n < 3").drop("__n"), clips.filter("__n >= 3").drop("__n")
+    swapped = swap_roles(many, key, told=True)
+    breath = breathless(swapped, [key]).select(key, "clip_idx", F.lit(" [grammar:needs_breath]").alias("__mark"))
+    marked = swapped.join(breath, [key, "clip_idx"], "left").withColumn("selection_reason", F.concat("selection_reason", F.coalesce("__mark", F.lit("")))).drop("__mark", "__triples")
+    edged = chapter_edges(marked, [key])
+    told = semantic_transitions(edged, [key])
+    done = with_semantic_transitions(edged, [key]).select(few.columns)
+    details = _details(swapped, edged, told, key)
+    counts = details.groupBy(key).agg(
+        *[F.count_if(F.col("step") == k).alias(n) for k, n in enumerate(("consecutive_same_role", "missing_breath_points", "cross_event_jump_violations", "chapter_transitions_fixed", "semantic_transitions_added"), 1)],
+        F.count("*").alias("total_violations"), F.array_sort(F.collect_list(F.struct("step", "clip_index", "rule", "description"))).alias("details"),
+    )
+    both = lambda v, name: violations(v, [key]).select(key, (F.col("same_role") + F.col("needs_breath")).alias(name))
+    report = both(many, "violations_before").join(both(done, "violations_after"), key).join(emotion_gradient(done, [key]).withColumnRenamed("emotion_gradient", "emotion_gradient_score"), key).join(counts, key, "left")
+    every = clips.select(key).distinct().join(report, key, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    numbers = ["consecutive_same_role", "missing_breath_points", "chapter_transitions_fixed", "cross_event_jump_violations", "semantic_transitions_added", "total_violations", "violations_before", "violations_after"]
+    return few.unionByName(done), every.select(key, *map(zero, numbers), F.coalesce("emotion_gradient_score", F.lit(0.0)).alias("emotion_gradient_score"), F.coalesce("details", F.array().cast("array<struct<step:int,clip_index:int,rule:string,description:string>>")).alias("details"))

@@ -4,15 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindle.operators.sequence import islands, min_gap_fold
+from spindle.operators.sequence import exact_mean, islands, min_gap_fold
 
 
-def energy_curve(rms: DataFrame, keys: Sequence[str], frame: str, t: str, value: str, per_point: int) -> DataFrame:
-    """Mean loudness of blocks of ``per_point`` frames, as a share of the track's loudest; time of the block's first frame."""
+def downbeats(beats: Column) -> Column:
+    """Every fourth beat, from the first."""
+    return F.filter(beats, lambda _, i: i % 4 == 0)
+
+
+def frames_a_second(rms: DataFrame, keys: Sequence[str], frame: str, t: str) -> DataFrame:
+    """Per track the frames of about a second, by the time between its first two; 0.023 s where there is one frame."""
+    w = Window.partitionBy(*keys).orderBy(frame)
+    hops = rms.select(*keys, (F.lead(t).over(w) - F.col(t)).alias("__hop"), F.row_number().over(w).alias("__n")).filter("__n = 1")
+    return hops.select(*keys, F.greatest(F.lit(1), (F.lit(1.0) / F.coalesce("__hop", F.lit(0.023))).cast("int")).alias("per_point"))
+
+
+def energy_curve(rms: DataFrame, keys: Sequence[str], frame: str, t: str, value: str, per_point: int | None = None) -> DataFrame:
+    """Mean loudness of blocks of ``per_point`` frames (by default a second's), as a share of the track's loudest; time of the block's first frame."""
+    if per_point is None:
+        rms = rms.join(frames_a_second(rms, keys, frame, t), list(keys))
+    per_point = F.col("per_point") if per_point is None else F.lit(per_point)
     top = F.max(value).over(Window.partitionBy(*keys))
     share = F.when(top > 0, F.col(value) / top).otherwise(F.col(value))
     rows = rms.select(*keys, F.floor(F.col(frame) / per_point).cast("bigint").alias("block"), t, F.floor(share * 1000000 + 0.5).cast("bigint").alias("__v"))
@@ -33,30 +50,80 @@ def merge_boundaries(points: Column, min_sec: float, most: int = 9) -> Column:
     return F.when(F.size(points) < 2, points).when(F.size(kept) > most, even).otherwise(kept)
 
 
-def change_boundaries(rms: DataFrame, keys: Sequence[str], frame: str, t: str, value: str, window: int, share: float = 0.85, gap: float = 8.0) -> DataFrame:
-    """Times where smoothed loudness changes most, at least ``gap`` apart, from 0.0."""
-    by = Window.partitionBy(*keys).orderBy(frame)
-    smooth = rms.withColumn("__s", F.avg(value).over(by.rowsBetween(-((window - 1) // 2), window // 2)))
-    smooth = smooth.withColumn("__d", F.abs(F.lead("__s").over(by) - F.col("__s")))
-    bar = smooth.groupBy(*keys).agg(F.percentile("__d", share).alias("__bar"))
-    peaks = smooth.join(bar, list(keys)).filter(F.col("__d") > F.col("__bar"))
-    return peaks.groupBy(*keys).agg(min_gap_fold(F.array_sort(F.collect_list(t)), gap, 0.0).alias("bounds"))
+def change_boundaries(rms: DataFrame, keys: Sequence[str], frame: str, t: str, value: str, duration: str | None = None, window: int = 50, share: float = 85.0, gap: float = 8.0) -> DataFrame:
+    """(keys, bounds, duration): times where smoothed loudness changes most, at least ``gap`` apart, from 0.0.
+
+    The window is at most a quarter of the track; beyond its ends it is silent.
+    Tracks of under 10 frames, or without such a change, are of one piece.
+    """
+    length = F.col(duration) if duration else F.max(t).over(Window.partitionBy(*keys))
+    rows = rms.select(*keys, F.col(frame).alias("__frame"), F.col(t).cast("double").alias("__t"), F.col(value).cast("double").alias("__v"), length.cast("double").alias("duration"))
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("__frame", ignore_index=True)
+        loud, times, end = part["__v"].to_numpy(), part["__t"].to_numpy(), float(part["duration"].iloc[0])
+        wide, bounds = min(window, len(loud) // 4), [0.0]
+        peaks = np.empty(0, np.int64)
+        if len(loud) >= 10 and wide >= 3:
+            change = np.abs(np.diff(np.convolve(loud, np.ones(wide) / wide, mode="same")))
+            peaks = np.flatnonzero(change > np.percentile(change, share))
+        for p in peaks:
+            if times[p] - bounds[-1] >= gap:
+                bounds.append(float(times[p]))
+        return pd.DataFrame([{**{k: part[k].iloc[0] for k in keys}, "bounds": bounds if len(peaks) else [0.0, end], "duration": end}])
+
+    types = {f.name: f.dataType.simpleString() for f in rms.schema.fields}
+    return rows.groupBy(*keys).applyInPandas(one, ", ".join(f"{k} {types[k]}" for k in keys) + ", bounds array<double>, duration double")
+
+
+def detect_sections(rms: DataFrame, keys: Sequence[str], frame: str, t: str, value: str, points: DataFrame | None = None, duration: str | None = None) -> DataFrame:
+    """Labelled sections of each track: at its structural ``points`` (keys, points) merged to 6 s, else where its loudness changes."""
+    bounds = change_boundaries(rms, keys, frame, t, value, duration)
+    if points is not None:
+        merged = points.select(*keys, merge_boundaries(F.col("points"), 6.0).alias("__merged"))
+        bounds = bounds.join(merged, list(keys), "left").withColumn("bounds", F.coalesce("__merged", "bounds")).drop("__merged")
+    return label_sections(sections(bounds, rms, keys, t, value), keys)
+
+
+def chorus_repeats(found: DataFrame, chroma: DataFrame, keys: Sequence[str], t: str, vector: str, bar: float = 0.85) -> DataFrame:
+    """(keys, idx, grp, repeat_index) of the choruses among labelled sections: alike ones by the cosine of their mean chroma."""
+    own = found.filter("label = 'chorus'").select(*keys, "idx", "start", "end")
+    # A track has few choruses: each frame finds its own in an array.
+    arrays = own.groupBy(*keys).agg(F.collect_list(F.struct("idx", "start", "end")).alias("__c"))
+    placed = chroma.join(arrays, list(keys)).withColumn("idx", F.get(F.filter("__c", lambda s: (s["start"] <= F.col(t)) & (F.col(t) < s["end"])), F.lit(0))["idx"]).filter("idx IS NOT NULL")
+    means = placed.select(*keys, "idx", F.posexplode(vector).alias("__at", "__x")).groupBy(*keys, "idx", "__at").agg(exact_mean(F.col("__x").cast("double")).alias("__x"))
+    vectors = means.groupBy(*keys, "idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__x"))), lambda p: p["__x"]).alias("__v"))
+    every = own.select(*keys, "idx").join(vectors, [*keys, "idx"], "left").withColumn("__v", unit(F.coalesce("__v", F.array().cast("array<double>"))))
+    packed = every.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "__v"))).alias("__all"))
+    out = packed.withColumn("__g", leader_groups(F.transform("__all", lambda a: a["__v"]), bar))
+    return out.select(*keys, F.explode(F.zip_with("__all", "__g", lambda a, g: F.struct(a["idx"].alias("idx"), g["grp"].alias("grp"), g["repeat_index"].alias("repeat_index")))).alias("r")).select(*keys, "r.*")
+
+
+def unit(vector: Column) -> Column:
+    """A vector of length 1; one of zeros stays."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(vector, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)))
 
 
 def sections(bounds: DataFrame, rms: DataFrame, keys: Sequence[str], t: str, value: str) -> DataFrame:
-    """Sections (keys, idx, start, end, avg_energy) between bounds (keys, bounds, duration), energy over [start, end), 0.5 without any."""
+    """Sections (keys, idx, start, end, avg_energy, only) between bounds (keys, bounds, duration), energy over [start, end), 0.5 without any.
+
+    A track all of whose sections are under a second is one section, ``only``.
+    """
     every = F.array_sort(F.array_distinct(F.concat("bounds", F.array("duration"))))
     every = F.when(F.element_at(every, 1) > 0.5, F.concat(F.array(F.lit(0.0)), every)).otherwise(every)
     at = F.when(F.size("__all") > 1, F.sequence(F.lit(1), F.size("__all") - 1)).otherwise(F.array().cast("array<int>"))
-    cut = bounds.withColumn("__all", every).select(*keys, F.explode(F.filter(F.transform(at, lambda i: F.struct(F.element_at("__all", i).alias("start"), F.element_at("__all", i + 1).alias("end"))), lambda s: s["end"] - s["start"] >= 1.0)).alias("s"))
-    cut = cut.select(*keys, "s.start", "s.end")
+    long = F.filter(F.transform(at, lambda i: F.struct(F.element_at("__all", i).alias("start"), F.element_at("__all", i + 1).alias("end"), F.lit(False).alias("only"))), lambda s: s["end"] - s["start"] >= 1.0)
+    one = F.array(F.struct(F.lit(0.0).alias("start"), F.col("duration").alias("end"), F.lit(True).alias("only")))
+    cut = bounds.withColumn("__all", every).withColumn("__long", long).select(*keys, F.explode(F.when(F.size("__long") > 0, F.col("__long")).otherwise(one)).alias("s"))
+    cut = cut.select(*keys, "s.start", "s.end", "s.only")
     top = F.max(value).over(Window.partitionBy(*keys))
     share = rms.select(*keys, t, F.floor(F.when(top > 0, F.col(value) / top).otherwise(F.col(value)) * 1000000 + 0.5).cast("bigint").alias("__v"))
     # A track has few sections: each row finds its own in an array, so rows meet no more than one.
     arrays = cut.groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("__sections"))
     placed = share.join(arrays, list(keys)).withColumn("__mine", F.get(F.filter("__sections", lambda s: (s["start"] <= F.col(t)) & (F.col(t) < s["end"])), F.lit(0)))
     energy = placed.filter("__mine IS NOT NULL").groupBy(*keys, F.col("__mine.start").alias("start")).agg((F.sum("__v").cast("double") / F.count("*") / 1000000).alias("avg_energy"))
-    out = cut.join(energy, [*keys, "start"], "left").withColumn("avg_energy", F.coalesce("avg_energy", F.lit(0.5)))
+    out = cut.join(energy, [*keys, "start"], "left").withColumn("avg_energy", F.when(F.col("only"), F.lit(0.5)).otherwise(F.coalesce("avg_energy", F.lit(0.5))))
     return out.withColumn("idx", F.row_number().over(Window.partitionBy(*keys).orderBy("start")) - 1)
 
 
@@ -65,7 +132,8 @@ def label_sections(found: DataFrame, keys: Sequence[str]) -> DataFrame:
     middle = found.groupBy(*keys).agg(F.percentile("avg_energy", 0.5).alias("__mid"), F.max("idx").alias("__last"))
     length = F.col("end") - F.col("start")
     raw = (
-        F.when((F.col("idx") == 0) & (length < 15), "intro")
+        F.when(F.col("only"), "verse")
+        .when((F.col("idx") == 0) & (length < 15), "intro")
         .when((F.col("idx") == F.col("__last")) & (length < 15), "outro")
         .when(F.col("avg_energy") > F.col("__mid") * 1.15, "chorus")
         .when(F.col("avg_energy") < F.col("__mid") * 0.85, "verse")

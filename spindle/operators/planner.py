@@ -1,26 +1,29 @@
 """The planner: a target-length sequence of clips for each project.
 
-Scores are columns, computed for all shots at once. Choosing is sequential
-within a project (every choice changes what the next may be), so it is a pass
-per project; projects run in parallel. A project's shots are a user's own
-material, thousands of rows, never a corpus.
+What a shot is worth is worked out as columns, for all shots at once: its base
+score, its penalties, how it suits each chapter and each kind of section.
+Choosing is sequential within a project (every choice changes what the next may
+be), so it is a pass per project over those columns; projects run in parallel,
+many in a task. A project's shots are a user's own material, thousands of rows,
+never a corpus; one project can't be split.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from spindle.functions.scores import MISMATCH, PREFERRED, ROLES
-from spindle.plans.templates import PROFILES, RETAIN, TEMPLATES, Music, Project
+from spindle.functions import scores as S
+from spindle.functions.scores import ARC, ROLES
+from spindle.plans.templates import PROFILES, RETAIN, TEMPLATES, Music, Project, Template
 
-#: Shares of a chapter at which the wanted role changes.
-ARC = ((0.15, "establishing"), (0.15 + 0.40, "action"), (0.15 + 0.40 + 0.30, "reaction"))
 CLOSING = {"reaction", "detail"}
 SHOT = ["media_id", "source_id", "media_type", "event_id", "shot_role", "highlight_score", "sharpness", "exposure", "stability", "face_score", "motion_intensity"]
 OUT = (
@@ -29,6 +32,8 @@ OUT = (
     "in_point double, out_point double, shot_start double, shot_end double, transition_in string, transition_out string, transition_duration double, "
     "chapter string, selection_reason string, total_score double"
 )
+#: Bundles of projects for each shuffle partition.
+BUNDLES = 4
 
 
 class Track:
@@ -56,8 +61,15 @@ class Track:
         return next((s.label for s in self.music.sections if s.start <= t < s.end), None)
 
     def energy(self, t: float) -> float:
+        """Linear between the points of the curve, flat beyond its ends, 0.5 without any."""
         curve = self.music.curve
-        return float(np.interp(t, [p[0] for p in curve], [p[1] for p in curve])) if curve else 0.5
+        if not curve:
+            return 0.5
+        at = bisect_left(curve, (t, -math.inf))
+        if at == 0 or at == len(curve):
+            return curve[min(at, len(curve) - 1)][1]
+        (t0, e0), (t1, e1) = curve[at - 1 : at + 1]
+        return e0 + (t - t0) / (t1 - t0) * (e1 - e0) if t1 > t0 else e0
 
     def longest(self, t: float) -> float:
         clip = self.project.clip_duration_sec
@@ -67,65 +79,6 @@ class Track:
         return any(a <= t <= b for a, b in self.music.high)
 
 
-def suits_story(chapter: str, s: pd.DataFrame) -> np.ndarray:
-    sh, ex, st, f, m = (s[c].to_numpy() for c in ("sharpness", "exposure", "stability", "face_score", "motion_intensity"))
-    still = (s["media_type"] == "photo").to_numpy()
-    wide = (s["width"] > s["height"]).to_numpy()
-    match chapter:
-        case "opening":
-            return 0.4 * st + 0.4 * f + 0.2 * ex
-        case "learning":
-            return 0.3 * st + 0.3 * sh + 0.2 * m + 0.2 * f
-        case "highlights":
-            return 0.5 * f + 0.3 * m + 0.2 * sh
-        case "closing":
-            return np.where(still, 0.8, 0.4 * st + 0.3 * ex + 0.3 * f)
-        case "departure":
-            return 0.3 * st + 0.3 * m + 0.2 * ex + 0.2 * f
-        case "exploration":
-            return np.minimum(1.0, 0.3 * sh + 0.3 * m + 0.2 * ex + 0.2 * st + 0.1 * wide)
-        case "interaction":
-            return 0.5 * f + 0.3 * st + 0.2 * sh
-        case "ending":
-            return np.where(still, 0.7, 0.4 * ex + 0.3 * st + 0.3 * sh)
-    return np.full(len(s), 0.5)
-
-
-def suits_section(label: str | None, s: pd.DataFrame) -> np.ndarray:
-    if label not in PREFERRED:
-        return np.full(len(s), 0.5)
-    sh, ex, st, m, h = (s[c].to_numpy() for c in ("sharpness", "exposure", "stability", "motion_intensity", "highlight_score"))
-    role, still = s["shot_role"].to_numpy(), (s["media_type"] == "photo").to_numpy()
-    is_ = lambda *names: np.isin(role, names)
-    value = {
-        "chorus": lambda: 0.3 * m + 0.4 * h + 0.1 * (1 - st) + np.where(is_("action"), 0.35, np.where(is_("reaction") & (h >= 0.5), 0.2, 0.0)) + 0.15 * (h >= 0.6),
-        "verse": lambda: 0.3 * st + 0.2 * sh + 0.1 * ex + np.where(is_("establishing", "detail"), 0.3, np.where(is_("reaction"), 0.15, 0.0)) - 0.1 * (m > 0.7),
-        "intro": lambda: 0.3 * st + 0.2 * ex + np.where(is_("establishing"), 0.4, np.where(is_("detail"), 0.3, 0.0)),
-        "outro": lambda: 0.3 * st + 0.2 * ex + 0.3 * still + 0.25 * is_("detail", "establishing"),
-        "bridge": lambda: 0.2 * st + 0.2 * sh + np.where(is_("reaction"), 0.3, np.where(is_("detail"), 0.2, 0.0)),
-    }[label]()
-    return np.clip(value - np.where((role != "") & ~is_(*PREFERRED[label]), MISMATCH, 0.0), 0, 1)
-
-
-def reserve(s: pd.DataFrame, music: Music) -> set[int]:
-    """Rows kept in mind for choruses: about one highlight for three seconds, other events than earlier choruses' where there is a choice."""
-    pool = s.index[s["highlight_score"] >= 0.3]
-    pool = pool[np.argsort(-s.loc[pool, "highlight_score"].to_numpy(), kind="stable")]
-    taken: set[int] = set()
-    seen: set[int] = set()
-    for section in (x for x in music.sections if x.label == "chorus"):
-        wanted = max(2, int((section.end - section.start) / 3))
-        picky = len(pool) > 2 * wanted
-        own: list[int] = []
-        for strict in (True, False):
-            for i in pool:
-                if len(own) < wanted and i not in taken and not (strict and picky and s.at[i, "event_id"] in seen):
-                    own.append(i)
-                    taken.add(i)
-        seen |= {s.at[i, "event_id"] for i in own}
-    return taken
-
-
 @dataclass
 class Clip:
     row: int
@@ -143,42 +96,61 @@ class Clip:
 
 
 class Planner:
-    """One project's plan. ``s`` has rows in input order, indexed from 0."""
-
-    def __init__(self, s: pd.DataFrame, project: Project, music: Music):
-        self.s, self.project, self.track = s, project, Track(music, project)
-        self.rows = s.to_dict("records")
-        self.template = TEMPLATES[project.template]
-        self.reserved = np.zeros(len(s), bool)
-        self.reserved[list(reserve(s, music))] = True
+    """One project's plan. ``s`` has columns by name, in input order; ``story`` and ``section`` are rows of fits by chapter and by label."""
+
+    def __init__(self, s: dict[str, list], project: Project, template: Template, track: Track, labels: list[str]):
+        self.s, self.project, self.track, self.n = s, project, track, len(s["event_id"])
+        self.template = template
+        self.places = {c.name: k for k, c in enumerate(self.template.chapters)} | {label: k for k, label in enumerate(labels)}
+        self.base, self.penalty, self.preference, self.highlight = (np.array(s[c], float) for c in ("base", "penalty", "preference", "highlight_score"))
+        self.story, self.section = (np.array(s[c], float).reshape(self.n, -1) for c in ("story", "section"))
+        self.keys = list(zip(s["source_id"], s["start"], strict=True))
+        kept = self.reserve()
+        self.reserved = np.array([k in kept for k in self.keys], bool)
+        self.by_event: dict[int, list[int]] = defaultdict(list)
+        for i, e in enumerate(s["event_id"]):
+            self.by_event[e].append(i)
         self.clips: list[Clip] = []
         self.now, self.used, self.source_uses = 0.0, set(), Counter()
 
+    def reserve(self) -> set[tuple]:
+        """Shots kept in mind for choruses: about one highlight for three seconds, other events than earlier choruses' where there is a choice."""
+        h, events = self.highlight, self.s["event_id"]
+        pool = [int(i) for i in np.argsort(-h, kind="stable") if h[i] >= 0.3]
+        taken: set[tuple] = set()
+        seen: set[int] = set()
+        for section in (x for x in self.track.music.sections if x.label == "chorus"):
+            wanted = max(2, int((section.end - section.start) / 3))
+            picky = len(pool) > 2 * wanted
+            own: list[int] = []
+            for strict in (True, False):
+                for i in pool:
+                    if len(own) < wanted and self.keys[i] not in taken and not (strict and picky and events[i] in seen):
+                        own.append(i)
+                        taken.add(self.keys[i])
+            seen |= {events[i] for i in own}
+        return taken
+
     def scores(self, chapter: str, t: float) -> np.ndarray:
-        s, w = self.s, self.template.weights
-        label = self.track.label(t)
-        value = w[0] * ((s["sharpness"] + s["exposure"] + s["stability"]) / 3).to_numpy() + w[1] * s["face_score"].to_numpy() + w[2] * s["motion_intensity"].to_numpy()
-        value = value + w[3] * suits_story(chapter, s) + w[4] * self.track.fit(t) + w[5] * suits_section(label, s)
-        h = s["highlight_score"].to_numpy()
-        lift = 0.1 * h + (0.25 if label == "chorus" else -0.1 * self.reserved if self.track.music.sections else 0.0)
-        value = value + np.where(h >= 0.5, lift, 0.0)
-        value = value - 0.2 * (s["exposure"] < 0.3) - 0.15 * (s["sharpness"] < 0.2) - 0.1 * (s["stability"] < 0.3)
-        return np.maximum(0.0, np.asarray(value + s["preference"]))
+        w, label, h = self.template.weights, self.track.label(t), self.highlight
+        fit = self.section[:, self.places[label]] if label in self.places else 0.5
+        value = self.base + w[3] * self.story[:, self.places[chapter]] + w[4] * self.track.fit(t) + w[5] * fit
+        more = (0.25 if label == "chorus" else np.where(self.reserved, -0.1, 0.0)) if self.track.music.sections else 0.0
+        return np.maximum(0.0, value + np.where(h >= 0.5, h * 0.1 + more, 0.0) + self.preference - self.penalty)
 
     def events(self) -> list[tuple[int, float]]:
         """(event, emotion) in narrative order."""
-        known = self.s[self.s["event_id"] >= 0]
-        if known.empty:
+        s, per = self.s, []
+        for event in sorted(self.by_event):
+            own = self.by_event[event]
+            timed = [(s["at"][i], s["hhmm"][i]) for i in own if s["hhmm"][i]]
+            per.append([event, len(own), sum(s["overall"][i] for i in own) / len(own), sum(s["emotion"][i] for i in own) / len(own), min(timed)[1] if timed else "99:99"])
+        if not per:
             return []
-        per = known.groupby("event_id").agg(n=("overall", "size"), q=("overall", "mean"), e=("emotion", "mean"), hhmm=("hhmm", "min")).reset_index()
-        top = lambda c: float(per[c].max()) or 1.0
-        per["rank"] = 0.4 * per["q"] / top("q") + 0.35 * per["e"] / top("e") + 0.25 * np.minimum(per["n"] / top("n"), 1)
-        per = per.sort_values("rank", ascending=False, kind="stable")
-        if self.project.narrative_mode == "energy_first":
-            per = per.sort_values("e", kind="stable")
-        else:
-            per = per.fillna({"hhmm": "99:99"}).sort_values("hhmm", kind="stable")
-        rows = list(zip(per["event_id"].astype(int), per["e"], strict=True))
+        n, q, e = (max(x[k] for x in per) or 1.0 for k in (1, 2, 3))
+        per.sort(key=lambda x: -(x[2] / q * 0.4 + x[3] / e * 0.35 + min(x[1] / n, 1.0) * 0.25))
+        per.sort(key=lambda x: x[3] if self.project.narrative_mode == "energy_first" else x[4])
+        rows = [(x[0], x[3]) for x in per]
         if self.project.narrative_mode == "hybrid" and len(rows) >= 3:
             peak = rows.pop(max(range(len(rows)), key=lambda i: rows[i][1]))
             rows.insert(int(len(rows) * 0.6), peak)
@@ -202,26 +174,21 @@ class Planner:
 
     def candidates(self, chapter: str, own: list[int]) -> list[tuple[float, int, str]]:
         """(score, row, arc role), best first: the chapter's events in the order of the arc, then all other shots at 0.7."""
-        s, scores = self.s, self.scores(chapter, self.now)
-        roles = np.where(np.isin(s["shot_role"], ROLES), s["shot_role"], "detail")
-        by_event = defaultdict(list)
-        for i, e in enumerate(s["event_id"]):
-            by_event[int(e)].append(i)
-        overall, found = s["overall"].to_numpy(), []
+        scores, roles, overall = self.scores(chapter, self.now).tolist(), self.s["shot_role"], self.s["overall"]
+        found = []
         for event in own:
-            rows = sorted(by_event.get(event, []), key=lambda i: -overall[i])
-            found += [(scores[i], i, role) for role in ROLES for i in rows if roles[i] == role]
-        for event, rows in by_event.items():
+            rows = sorted(self.by_event.get(event, []), key=lambda i: -overall[i])
+            found += [(scores[i], i, role) for role in ROLES for i in rows if (roles[i] if roles[i] in ROLES else "detail") == role]
+        for event, rows in self.by_event.items():
             if event not in own:
-                found += [(scores[i] * 0.7, i, self.rows[i]["shot_role"] or "detail") for i in rows]
+                found += [(scores[i] * 0.7, i, roles[i] or "detail") for i in rows]
         return sorted(found, key=lambda c: -c[0])
 
     def fill(self, chapter, own: list[int]) -> None:
-        cfg, div = self.project, self.project.diversity
+        cfg, div, s = self.project, self.project.diversity, self.s
         length, begin = cfg.target_duration_sec * chapter.ratio, self.now
         until = begin + length
-        video_part = cfg.video_photo_ratio[0] / sum(cfg.video_photo_ratio)
-        caps = {False: length * video_part * 1.2, True: length * (1 - video_part) * 1.2}
+        caps = {still: length * part / sum(cfg.video_photo_ratio) * 1.2 for still, part in zip((False, True), cfg.video_photo_ratio, strict=True)}
         spent, roles, sources = {False: 0.0, True: 0.0}, set(), set()
         last = {"source": None, "event": -1, "role": ""}
         runs, streak, jumps = {"source": 0, "event": 0, "role": 0}, 0.0, 0
@@ -230,13 +197,13 @@ class Planner:
         for score, i, arc in self.candidates(chapter.name, own):
             if self.now >= until:
                 break
-            if i in self.used:
+            if self.keys[i] in self.used:
                 continue
-            shot, left = self.rows[i], until - self.now
-            seconds = max(min(shot["end"] - shot["start"], self.track.longest(self.now), left), shortest)
+            start, end, left = s["start"][i], s["end"][i], until - self.now
+            seconds = max(min(end - start, self.track.longest(self.now), left), shortest)
             if seconds > left:
                 continue
-            here = {"source": shot["source_id"], "event": int(shot["event_id"]), "role": shot["shot_role"] or "unknown"}
+            here = {"source": s["source_id"][i], "event": s["event_id"][i], "role": s["shot_role"][i] or "unknown"}
             # Runs are counted in this order and stay counted when a later check turns the shot away.
             turned_away = False
             for kind in ("source", "streak", "event", "role"):
@@ -254,27 +221,26 @@ class Planner:
             gone = self.now - begin
             if turned_away or (jumps and gone > 0 and jumps / max(gone, 1.0) > 0.25 and here["event"] != last["event"]):
                 continue
-            value = score - div.same_source_penalty * self.source_uses[here["source"]]
-            value -= div.chapter_repeat_penalty * (here["source"] in sources) + div.same_angle_penalty * (here["role"] == last["role"])
-            value += 0.05 * (here["event"] in own)
-            wanted = next((r for share, r in ARC if gone / max(length, 0.1) < share), "detail")
-            if arc == wanted:
-                value += 0.08
-            elif arc in ROLES and ROLES.index(arc) <= ROLES.index(wanted):
-                value += 0.03
-            value += 0.10 * (len(roles) < 2 and arc not in roles)
-            still = shot["media_type"] == "photo"
-            if value < 0.05 or (not still and shot["motion_intensity"] < 0.3 and self.track.loud(self.now)) or spent[still] >= caps[still]:
+            value = score - (div.same_source_penalty * self.source_uses[here["source"]])
+            value -= div.chapter_repeat_penalty if here["source"] in sources else 0.0
+            value -= div.same_angle_penalty if here["role"] == last["role"] else 0.0
+            value += 0.05 if here["event"] in own else 0.0
+            wanted = next((r for upto, r in ARC if gone / max(length, 0.1) <= upto), ROLES[-1])
+            value += 0.08 if arc == wanted else 0.03 if arc in ROLES and ROLES.index(arc) <= ROLES.index(wanted) else 0.0
+            value += 0.10 if len(roles) < 2 and arc not in roles else 0.0
+            still = s["media_type"][i] == "photo"
+            if value < 0.05 or (not still and s["motion_intensity"][i] < 0.3 and self.track.loud(self.now)) or spent[still] >= caps[still]:
                 continue
             self.now = self.track.snapped(self.now)
-            a, b = shot["start"], min(shot["start"] + seconds, shot["end"])
-            windowed = not (pd.isna(shot["best_start"]) or pd.isna(shot["best_end"]))
+            a, b = start, min(start + seconds, end)
+            best = (s["best_start"][i], s["best_end"][i])
+            windowed = all(x is not None and not math.isnan(x) for x in best)
             if windowed:
-                wa, wb = shot["best_start"], min(shot["best_start"] + seconds, shot["best_end"], shot["end"])
-                a, b = (wa, wb) if wb - wa >= shortest else (a, b)
+                wb = min(best[0] + seconds, best[1], end)
+                a, b = (best[0], wb) if wb - best[0] >= shortest else (a, b)
             reason = f"event={here['event']} arc={arc} score={value:.3f}"
-            if windowed and shot["best_start"] != shot["start"]:
-                reason += f" window={shot['best_start']:.1f}-{shot['best_end']:.1f}"
+            if windowed and best[0] != start:
+                reason += f" window={best[0]:.1f}-{best[1]:.1f}"
             self.put(i, a, b, chapter.name, reason, value)
             self.source_uses[here["source"]] += 1
             sources.add(here["source"])
@@ -284,7 +250,7 @@ class Planner:
 
     def put(self, row: int, a: float, b: float, chapter: str, reason: str, score: float) -> None:
         self.clips.append(Clip(row, self.now, self.now + (b - a), a, b, chapter, reason, float(score)))
-        self.used.add(row)
+        self.used.add(self.keys[row])
         self.now = self.clips[-1].end
 
     def flow(self) -> None:
@@ -298,16 +264,16 @@ class Planner:
         if self.now >= goal:
             return
         scores = self.scores(chapter, self.now)
-        for i in np.argsort(-scores, kind="stable"):
-            left, shot = goal - self.now, self.rows[i]
+        for i in np.argsort(-scores, kind="stable").tolist():
+            left, start, end = goal - self.now, self.s["start"][i], self.s["end"][i]
             if left <= 0:
                 break
-            seconds = max(min(shot["end"] - shot["start"], clip.max, left), clip.min)
-            if i not in self.used and seconds <= left:
-                self.put(int(i), shot["start"], min(shot["start"] + seconds, shot["end"]), chapter, f"backfill score={scores[i]:.3f}", scores[i])
+            seconds = max(min(end - start, clip.max, left), clip.min)
+            if self.keys[i] not in self.used and seconds <= left:
+                self.put(i, start, min(start + seconds, end), chapter, f"backfill score={scores[i]:.3f}", scores[i])
         if self.now < goal:
             for c in self.clips:
-                if self.now < goal and self.rows[c.row]["media_type"] == "photo":
+                if self.now < goal and self.s["media_type"][c.row] == "photo":
                     more = min(2.0, goal - self.now)
                     c.end, self.now = c.end + more, self.now + more
             self.flow()
@@ -316,23 +282,23 @@ class Planner:
         """The weakest clips go while over 105 % of the target, as far as their chapters allow."""
         target = self.project.target_duration_sec
         length, held = self.now, Counter()
+        if length <= target * 1.05 or len(self.clips) <= 2:
+            return
         budget = {c.name: target * c.ratio for c in self.template.chapters}
         for c in self.clips:
             held[c.chapter] += c.seconds
-        cut = False
         while length > target * 1.05 and len(self.clips) > 2:
             spare = [(c.score, n) for n, c in enumerate(self.clips) if held[c.chapter] - c.seconds >= budget.get(c.chapter, 0) * RETAIN.get(c.chapter, 0.40)]
             if not spare:
                 break
             gone = self.clips.pop(min(spare)[1])
             held[gone.chapter] -= gone.seconds
-            length, cut = length - gone.seconds, True
-        if cut:
-            self.flow()
+            length -= gone.seconds
+        self.flow()
 
     def close_chapters(self) -> None:
         """A chapter ends with a reaction or a detail, if it has one."""
-        role = lambda n: self.rows[self.clips[n].row]["shot_role"] or ""
+        role = lambda n: self.s["shot_role"][self.clips[n].row] or ""
         places = defaultdict(list)
         for n, c in enumerate(self.clips):
             places[c.chapter].append(n)
@@ -365,27 +331,51 @@ def transitions(chapters: list[str]) -> list[tuple[str, str, float]]:
     return out
 
 
+def scored(shots: DataFrame, template: Template, labels: list[str]) -> DataFrame:
+    """``shots`` with what the planner adds up: base, penalty, and story and section fits by chapter and by label."""
+    wq, wf, wm = template.weights[:3]
+    base = S.total(F.lit(wq) * ((S.q("sh") + S.q("ex") + S.q("st")) / 3.0), F.lit(wf) * S.q("f"), F.lit(wm) * S.q("m"))
+    role = F.coalesce(F.col("shot_role"), F.lit(""))
+    doubles = lambda values: F.array(*values).cast("array<double>")
+    return shots.withColumn("shot_role", role).withColumns({
+        "base": base,
+        "penalty": S.penalties(),
+        "story": doubles([S.story_of(template, c.name) for c in template.chapters]),
+        "section": doubles([S.section_fit(F.lit(label), F.col("shot_role")) for label in labels]),
+    })
+
+
 def plan(shots: DataFrame, project: Project | str = "growth", music: Music = Music()) -> DataFrame:
-    """Clips of every project. ``shots``: project_id, input_idx, media_id, source_id, media_type, width, height, start, end,
-    the five metrics, overall, emotion, highlight_score, shot_role, event_id, hhmm, best_start, best_end, preference."""
-    project = PROFILES[project] if isinstance(project, str) else project
+    """Clips of every project. ``shots``: project_id, input_idx, media_id, source_id, media_type, width, height, start, end, the five
+    metrics, overall, emotion, highlight_score, shot_role, event_id, at (time in microseconds), hhmm, best_start, best_end, preference.
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        s = part.sort_values("input_idx", ignore_index=True)
-        s["shot_role"] = s["shot_role"].fillna("")
-        clips = Planner(s, project, music).plan()
-        rows = [c.row for c in clips]
-        out = s.loc[rows, SHOT].reset_index(drop=True)
-        out.insert(0, "project_id", part["project_id"].iloc[0])
-        out.insert(1, "clip_idx", range(len(clips)))
-        for name, values in {"timeline_start": [c.start for c in clips], "timeline_end": [c.end for c in clips], "in_point": [c.in_point for c in clips], "out_point": [c.out_point for c in clips], "shot_start": s.loc[rows, "start"].to_numpy(), "shot_end": s.loc[rows, "end"].to_numpy()}.items():
-            out[name] = np.asarray(values, float)
+    A shot is known by its source and start: of equal ones the first chosen is used.
+    """
+    project = PROFILES[project] if isinstance(project, str) else project
+    template = TEMPLATES[project.template]
+    bare = replace(template, story=None)  # its fits are columns already
+    labels = sorted({x.label for x in music.sections})
+    track = Track(music, project)
+    names = ["project_id", "input_idx", *SHOT, "start", "end", "overall", "emotion", "at", "hhmm", "best_start", "best_end", "preference", "base", "penalty", "story", "section"]
+
+    def one(project_id: int, s: dict[str, list]) -> pd.DataFrame:
+        clips = Planner(s, project, bare, track, labels).plan()
+        out: dict[str, list] = {"project_id": [project_id] * len(clips), "clip_idx": list(range(len(clips)))}
+        out |= {c: [s[c][x.row] for x in clips] for c in SHOT}
+        out |= {"timeline_start": [c.start for c in clips], "timeline_end": [c.end for c in clips], "in_point": [c.in_point for c in clips], "out_point": [c.out_point for c in clips]}
+        out |= {"shot_start": [s["start"][c.row] for c in clips], "shot_end": [s["end"][c.row] for c in clips]}
         edges = transitions([c.chapter for c in clips])
-        for k, name in enumerate(("transition_in", "transition_out", "transition_duration")):
-            out[name] = [e[k] for e in edges]
-        out["chapter"], out["selection_reason"], out["total_score"] = [c.chapter for c in clips], [c.reason for c in clips], np.array([c.score for c in clips], float)
-        return out
+        out |= {name: [e[k] for e in edges] for k, name in enumerate(("transition_in", "transition_out", "transition_duration"))}
+        return pd.DataFrame(out | {"chapter": [c.chapter for c in clips], "selection_reason": [c.reason for c in clips], "total_score": [c.score for c in clips]})
+
+    def bundle(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["project_id", "input_idx"], ignore_index=True)
+        columns = {c: [None if x is None or x != x else x for x in part[c].tolist()] if c in ("hhmm", "best_start", "best_end", "at") else part[c].tolist() for c in names}
+        ids = part["project_id"].to_numpy()
+        edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        return pd.concat([one(int(ids[a]), {c: v[a:b] for c, v in columns.items()}) for a, b in zip(edges, edges[1:], strict=False)])
 
     # Planning is work of the processor, not of bytes: partitions aren't put together by their size.
     parts = int(shots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shots.repartition(parts, "project_id").groupBy("project_id").applyInPandas(one, OUT)
+    rows = scored(shots, template, labels).select(*names, F.pmod(F.xxhash64("project_id"), F.lit(parts * BUNDLES)).alias("__bundle"))
+    return rows.repartition(parts, "__bundle").groupBy("__bundle").applyInPandas(bundle, OUT)

@@ -14,21 +14,34 @@ BIASES = {"face_bias": "face_score", "motion_bias": "motion_intensity", "stabili
 PREFERRED, AVOIDED, FLOOR = 0.15, -0.20, 0.9
 
 
+def boosted(shots: DataFrame, favourite: Column) -> DataFrame:
+    """Favourites are at least 0.9 sharp, exposed and stable."""
+    return shots.withColumns({c: F.when(favourite, F.greatest(F.col(c), F.lit(FLOOR))).otherwise(F.col(c)) for c in ("sharpness", "exposure", "stability")})
+
+
 def apply_lists(shots: DataFrame, favourites: DataFrame, excluded: DataFrame, on: Sequence[str]) -> DataFrame:
-    """``shots`` without the excluded; favourites are at least 0.9 sharp, exposed and stable. The lists are distinct keys."""
-    marked = shots.join(excluded.select(*on).distinct(), list(on), "left_anti").join(favourites.select(*on).distinct().withColumn("is_favourite", F.lit(True)), list(on), "left")
-    marked = marked.withColumn("is_favourite", F.coalesce("is_favourite", F.lit(False)))
-    return marked.withColumns({c: F.when(F.col("is_favourite"), F.greatest(F.col(c), F.lit(FLOOR))).otherwise(F.col(c)) for c in ("sharpness", "exposure", "stability")})
+    """``shots`` without the excluded; favourites are at least 0.9 sharp, exposed and stable.
+
+    A shot is on a list if any one of its columns ``on`` is among the list's.
+    """
+    marked = shots
+    for c in on:
+        own = lambda rows, c=c: rows.filter(F.col(c).isNotNull()).select(c).distinct()
+        marked = marked.join(own(excluded), c, "left_anti").join(own(favourites).withColumn(f"__{c}", F.lit(True)), c, "left")
+    marked = marked.withColumn("is_favourite", F.coalesce(*[F.col(f"__{c}") for c in on], F.lit(False))).drop(*[f"__{c}" for c in on])
+    return boosted(marked, F.col("is_favourite")).select(*shots.columns, "is_favourite")
 
 
 def learn(shots: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
-    """A profile per key from shots with a ``mark``: favourite, excluded or null. All rows are the pool.
+    """A profile per key from shots with a ``mark``: favourite, excluded or null.
 
-    A bias is half the difference of means: favourites against excluded, else
+    The pool is what the lists leave: all but the excluded, favourites at least
+    0.9 sharp and stable. A bias is half the difference of means: favourites against excluded, else
     favourites against the pool, else the pool against excluded. The photo bias
     compares favourites with the pool, also when there are none.
     """
-    groups = {"fav": F.coalesce(F.col("mark") == "favourite", F.lit(False)), "exc": F.coalesce(F.col("mark") == "excluded", F.lit(False)), "pool": F.lit(True)}
+    groups = {"fav": F.coalesce(F.col("mark") == "favourite", F.lit(False)), "exc": F.coalesce(F.col("mark") == "excluded", F.lit(False)), "pool": ~F.coalesce(F.col("mark") == "excluded", F.lit(False))}
+    shots = boosted(shots, groups["fav"])
     aggs = []
     for g, c in groups.items():
         aggs += [F.count_if(c).alias(f"n_{g}"), F.count_if(c & (F.col("media_type") == "photo")).alias(f"photo_{g}")]
@@ -49,7 +62,7 @@ def learn(shots: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
 def learn_roles(shots: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
     """Bias of each role among a key's favourites: 0.3 times how much more of them than of the pool it is."""
     role = F.when(F.coalesce(F.col("shot_role"), F.lit("")) == "", "unknown").otherwise(F.col("shot_role"))
-    per = shots.withColumn("role", role).groupBy(*keys, "role").agg(F.count_if(F.col("mark") == "favourite").alias("f"), F.count("*").alias("p"))
+    per = shots.filter(~F.coalesce(F.col("mark") == "excluded", F.lit(False))).withColumn("role", role).groupBy(*keys, "role").agg(F.count_if(F.col("mark") == "favourite").alias("f"), F.count("*").alias("p"))
     whole = per.groupBy(*keys).agg(F.sum("f").alias("all_f"), F.sum("p").alias("all_p"))
     joined = per.filter("f > 0").join(whole, list(keys))
     return joined.select(*keys, "role", ((F.col("f") / F.col("all_f") - F.col("p") / F.col("all_p")) * F.lit(0.3)).alias("bias"))

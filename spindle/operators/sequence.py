@@ -35,6 +35,17 @@ def sessionize(rows: DataFrame, keys: Sequence[str], ts: str, order: Sequence[st
     return rows.withColumn(out, F.when(known, F.col("__id")).otherwise(late).cast("bigint")).drop("__new", "__id", "__turn", "__top")
 
 
+def assign_events(shots: DataFrame, keys: Sequence[str], source: str, ts: str, order: str, gap_sec: int = 1800, out: str = "event_id") -> DataFrame:
+    """Numbers events per key by the times of its sources: all shots of a source are of its event.
+
+    A source's time is that of its first shot by ``order``; sources without one
+    are numbered as rows without a time are by ``sessionize``.
+    """
+    first = shots.groupBy(*keys, source).agg(F.min_by(F.struct(F.col(ts).alias("t")), order).alias("__f"), F.min(order).alias("__first"))
+    events = sessionize(first.select(*keys, source, F.col("__f.t").alias("__ts"), "__first"), keys, "__ts", ["__first"], gap_sec, out)
+    return shots.join(events.select(*keys, source, out), [*keys, source])
+
+
 def islands(rows: DataFrame, keys: Sequence[str], order: Sequence[str], inside: Column, t: str) -> DataFrame:
     """Runs of rows where ``inside`` holds: (keys, start, end): end is the time of the next row after it, else of its last."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -55,9 +66,10 @@ def min_gap_fold(points: Column, gap: float, first: float | None = None) -> Colu
 
 
 def garbage_merge(bounds: Column, min_sec: float) -> Column:
-    """Drops bounds too close to the last one kept; the last bound always stays."""
-    inner = F.slice(bounds, 1, F.greatest(F.size(bounds) - 1, F.lit(0)))
-    return F.when(F.size(bounds) <= 2, bounds).otherwise(F.concat(min_gap_fold(inner, min_sec), F.array(F.element_at(bounds, -1))))
+    """Drops bounds too close to the last one kept; the last bound always stays, and takes the place of the first if that alone is kept and too close."""
+    inner, last = F.slice(bounds, 1, F.greatest(F.size(bounds) - 1, F.lit(0))), F.slice(bounds, -1, 1)
+    kept = lambda k: F.when((F.size(k) == 1) & (F.element_at(bounds, -1) - F.element_at(k, 1) < min_sec), last).otherwise(F.concat(k, last))
+    return F.when(F.size(bounds) <= 2, bounds).otherwise(F.transform(F.array(min_gap_fold(inner, min_sec)), kept)[0])
 
 
 def force_split(bounds: Column, max_sec: float) -> Column:
@@ -80,10 +92,10 @@ def shots_of(bounds: Column, min_sec: float) -> Column:
 
 
 def hist_distance(a: Column, b: Column) -> Column:
-    """Bhattacharyya distance of two histograms."""
+    """Bhattacharyya distance of two histograms; 0 if one of them is empty."""
     add = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
     both = add(F.zip_with(a, b, lambda x, y: F.sqrt(x * y)))
-    return F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - both / F.sqrt(add(a) * add(b))))
+    return F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - F.coalesce(F.try_divide(both, F.sqrt(add(a) * add(b))), F.lit(1.0))))
 
 
 def is_boundary(hist: Column, flow: Column, jump: Column, hist_at: float = 0.4, flow_at: float = 12.0, jump_at: float = 30.0) -> Column:
@@ -97,7 +109,7 @@ def detect_shots(frames: DataFrame, keys: Sequence[str], config) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("frame_idx")
     thin = frames.filter(F.pmod(F.col("frame_idx"), F.lit(config.sample_interval)) == 0)
     thin = thin.withColumns({"__h": hist_distance(F.lag("hist").over(w), F.col("hist")), "__l": F.abs(F.col("luma_mean") - F.lag("luma_mean").over(w))})
-    hits = thin.withColumn("__b", F.when(is_boundary(F.col("__h"), F.col("flow_mag"), F.col("__l"), config.hist_threshold, config.flow_threshold, config.luminance_threshold), F.col("ts_sec")))
+    hits = thin.withColumn("__b", F.when(is_boundary(F.col("__h"), F.col("flow_mag"), F.col("__l"), config.histogram_threshold, config.optical_flow_threshold, config.luminance_threshold), F.col("ts_sec")))
     per = hits.groupBy(*keys).agg(F.array_sort(F.collect_list("__b")).alias("__points"), F.max("end_sec").alias("__end"))
     bounds = F.concat(min_gap_fold(F.col("__points"), config.min_duration, 0.0), F.array(F.col("__end")))
     per = per.withColumn("__bounds", bounds).withColumn("__bounds", force_split(F.col("__bounds"), config.max_duration)).withColumn("__bounds", garbage_merge(F.col("__bounds"), config.min_duration))
@@ -134,7 +146,7 @@ def best_window(shots: DataFrame, frames: DataFrame, fps: float = 30.0, size_max
     best = tried.groupBy("media_id", "start").agg(F.max(F.struct(F.col("frame_score"), (-F.col("__k")).alias("turn"), F.col("__at"), F.col("__size"))).alias("b"))
     out = shots.join(best, ["media_id", "start"], "left")
     fallback = F.when(F.col("media_type") == "photo", F.col("highlight_score")).otherwise(F.col("overall"))
-    return out.select(*shots.columns, F.coalesce("b.__at", "start").alias("best_start"), F.coalesce(F.col("b.__at") + F.col("b.__size"), F.col("end")).alias("best_end"), F.coalesce("b.frame_score", fallback).alias("window_score"))
+    return out.select(*shots.columns, F.coalesce("b.__at", "start").alias("best_start"), F.coalesce(F.least(F.col("b.__at") + F.col("b.__size"), F.col("end")), F.col("end")).alias("best_end"), F.coalesce("b.frame_score", fallback).alias("window_score"))
 
 
 def reflow(clips: DataFrame, keys: Sequence[str], order: Sequence[str], duration_ms: str = "duration_ms") -> DataFrame:

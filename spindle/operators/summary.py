@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindle.functions import scores as S
+from spindle.operators import grammar
 from spindle.operators.sequence import exact_mean
 
 HIGHLIGHT = 0.5
@@ -22,14 +23,14 @@ def share(part: Column, whole: Column) -> Column:
 
 def summarize_events(shots: DataFrame, keys: Sequence[str] = ("project_id",), event: str = "event_id") -> DataFrame:
     """Per event: shots, duration, mean quality and emotion, span of the day."""
-    clock = F.date_format("ts", "HH:mm")
+    clock = lambda t: F.date_format(t, "HH:mm")
     found = shots.filter(F.col(event) >= 0).groupBy(*keys, event).agg(
         F.count("*").alias("shot_count"),
         (F.sum("duration_ms") / 1000).alias("total_duration"),
         exact_mean(S.overall()).alias("avg_quality"),
         exact_mean(S.emotion()).alias("emotion_intensity"),
-        F.min(clock).alias("first_hhmm"),
-        F.max(clock).alias("last_hhmm"),
+        clock(F.min("ts")).alias("first_hhmm"),
+        clock(F.max("ts")).alias("last_hhmm"),
     )
     return found.withColumn("time_range", F.coalesce(F.concat("first_hhmm", F.lit(" - "), "last_hhmm"), F.lit("unknown")))
 
@@ -90,8 +91,16 @@ def rhythm_stats(clips: DataFrame, beats: Sequence[float], t: Column, keys: Sequ
 
 
 def section_stats(clips: DataFrame, sections, t: Column, keys: Sequence[str] = ("project_id",)) -> DataFrame:
-    """Per section label: clips and mean motion."""
-    return clips.withColumn("section", S.section_at(sections, t)).filter("section IS NOT NULL").groupBy(*keys, "section").agg(F.count("*").alias("clip_count"), exact_mean(F.col("motion_intensity")).alias("avg_motion"))
+    """A row per section of the track, also those without clips: place, label, bounds, energy, clips that begin in it and their mean motion."""
+    rows = [F.struct(F.lit(i).alias("section_idx"), F.lit(x.label).alias("label"), F.lit(float(x.start)).alias("start"), F.lit(float(x.end)).alias("end"), F.lit(float(x.energy)).alias("avg_energy")) for i, x in enumerate(sections)]
+    if not rows:
+        rows = [F.lit(None).cast("struct<section_idx:int,label:string,start:double,end:double,avg_energy:double>")]
+    every = clips.select(*keys).distinct().select(*keys, F.explode(F.array(*rows)).alias("s")).filter("s IS NOT NULL").select(*keys, "s.*")
+    inside = lambda x: (t >= float(x.start)) & (t < float(x.end))
+    mine = F.array(*[F.when(inside(x), F.lit(i)) for i, x in enumerate(sections)]).cast("array<int>")
+    placed = clips.withColumn("section_idx", F.explode(mine)).filter("section_idx IS NOT NULL")
+    found = placed.groupBy(*keys, "section_idx").agg(F.count("*").alias("clip_count"), exact_mean(F.col("motion_intensity")).alias("avg_motion"))
+    return every.join(found, [*keys, "section_idx"], "left").withColumns({"clip_count": F.coalesce("clip_count", F.lit(0).cast("bigint")), "avg_motion": F.coalesce("avg_motion", F.lit(0.0))})
 
 
 def section_roles(clips: DataFrame, sections, t: Column, keys: Sequence[str] = ("project_id",)) -> DataFrame:
@@ -152,8 +161,9 @@ def story_metrics(clips: DataFrame, shots: DataFrame, sections, t: Column, targe
         share(F.count_if(F.col("highlight_score") >= HIGHLIGHT), F.count("*")).alias("highlight_hit_rate"),
         chorus_lift(sections, t)[2],
     )
-    own = own.join(all_event_counts(shots, keys), list(keys), "left").join(role_coverage(clips, keys), list(keys))
-    return own.select(*keys, "duration_achievement_rate", share(F.col("__events"), F.coalesce("all_events", F.lit(0))).alias("event_coverage_rate"), "repeated_shot_rate", "highlight_hit_rate", F.lit(1.0 if audio else 0.0).alias("audio_presence_rate"), "chapter_role_coverage_rate", "chorus_highlight_lift")
+    found = grammar.violations(clips, keys).select(*keys, (F.col("same_role") + F.col("needs_breath")).alias("grammar_violations"))
+    own = own.join(all_event_counts(shots, keys), list(keys), "left").join(role_coverage(clips, keys), list(keys)).join(found, list(keys))
+    return own.select(*keys, "duration_achievement_rate", share(F.col("__events"), F.coalesce("all_events", F.lit(0))).alias("event_coverage_rate"), "repeated_shot_rate", "highlight_hit_rate", F.lit(1.0 if audio else 0.0).alias("audio_presence_rate"), "grammar_violations", "chapter_role_coverage_rate", "chorus_highlight_lift")
 
 
 def story_structure(clips: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
@@ -163,7 +173,8 @@ def story_structure(clips: DataFrame, keys: Sequence[str] = ("project_id",)) ->
 
 
 def best_alternatives(clips: DataFrame, shots: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
-    """For each clip the best shot of its event that is not used, the first of equals; one may serve again."""
+    """For each clip of a known event the best shot of its event that is not used, the first of equals; one may serve again."""
+    shots = shots.filter("event_id >= 0")
     spare = shots.join(clips.select(*keys, "media_id"), [*keys, "media_id"], "left_anti")
     best = spare.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "event_id").orderBy(F.desc(S.overall()), "media_id"))).filter("__n = 1")
     return clips.select(*keys, "clip_idx", "event_id", "media_id").join(best.select(*keys, "event_id", F.col("media_id").alias("alt_media_id")), [*keys, "event_id"])
@@ -173,15 +184,26 @@ def rejected(clips: DataFrame, shots: DataFrame, keys: Sequence[str] = ("project
     return shots.join(clips.select(*keys, "media_id"), [*keys, "media_id"], "left_anti").withColumn("reason", S.rejection_reason())
 
 
-def markers(clips: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
-    """First clip of each chapter (Blue) and event (Green), and every highlight (Red)."""
+def markers(clips: DataFrame, keys: Sequence[str] = ("project_id",), start: Column | None = None, score: Column | None = None, why: Column | None = None, source: Column | None = None) -> DataFrame:
+    """First clip of each chapter (Blue) and known event (Green), and every highlight (Red) by its reason, with a comment.
 
-    def first(by: str, kind: str, colour: str) -> DataFrame:
-        rows = clips.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, by).orderBy("clip_idx"))).filter("__n = 1")
-        return rows.select(*keys, "clip_idx", F.lit(kind).alias("kind"), F.col(by).cast("string").alias("name"), F.lit(colour).alias("colour"), S.frames_of(F.col("start_ms") / 1000).alias("frame"))
+    ``start`` (seconds), ``score``, ``why`` (the reason of the choice) and
+    ``source`` (a file's name) are columns of a clip, by default those of a plan's clips.
+    """
+    start = F.col("start_ms") / 1000 if start is None else start
+    lit_ = F.coalesce(F.nullif(F.col("highlight_reason"), F.lit("")), F.lit("highlight"))
+    comment = F.concat(F.col("source_id").cast("string") if source is None else source, F.lit(" | score="), F.format_string("%.3f", F.lit(0.0) if score is None else score), F.lit(" | "), F.lit("") if why is None else why)
 
-    shown = clips.filter(F.col("highlight_score") >= HIGHLIGHT).select(*keys, "clip_idx", F.lit("highlight").alias("kind"), F.col("media_id").cast("string").alias("name"), F.lit("Red").alias("colour"), S.frames_of(F.col("start_ms") / 1000).alias("frame"))
-    return first("chapter", "chapter", "Blue").unionByName(first("event_id", "event", "Green")).unionByName(shown)
+    def first(by: str, kind: str, name: Column, note: Column, colour: str) -> DataFrame:
+        rows = clips.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, by).orderBy("clip_idx"))).filter("__n = 1")
+        rows = rows.filter("event_id >= 0") if by == "event_id" else rows.filter(F.coalesce("chapter", F.lit("")) != "")
+        return rows.select(*keys, "clip_idx", F.lit(kind).alias("kind"), name.alias("name"), note.alias("comment"), F.lit(colour).alias("colour"), S.frames_of(start).alias("frame"))
+
+    shown = clips.filter(F.col("highlight_score") >= HIGHLIGHT).select(*keys, "clip_idx", F.lit("highlight").alias("kind"), F.concat(F.lit("Highlight: "), lit_).alias("name"), comment.alias("comment"), F.lit("Red").alias("colour"), S.frames_of(start).alias("frame"))
+    chapter, event = F.col("chapter"), F.col("event_id").cast("string")
+    by_chapter = first("chapter", "chapter", F.concat(F.lit("Chapter: "), chapter), F.concat(F.lit("Chapter start: "), chapter), "Blue")
+    by_event = first("event_id", "event", F.concat(F.lit("Event "), event), F.concat(F.lit("Event "), event, F.lit(" start")), "Green")
+    return by_chapter.unionByName(by_event).unionByName(shown)
 
 
 def notes(clips: DataFrame, keys: Sequence[str] = ("project_id",), top: int = 3, weak: int = 2) -> DataFrame:

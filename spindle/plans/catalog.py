@@ -78,7 +78,7 @@ c AS (SELECT * EXCLUDE n, end_ms - duration_ms AS start_ms, (end_ms - duration_m
   (media_id % 7 * 10)::DOUBLE AS shot_start, media_id % 7 * 10 + duration_ms / 1000e0 AS shot_end FROM o)"""
 _EVENTS = f"""{_sessions()},
 v AS (SELECT project_id, event_id, count(*) AS shot_count, sum(duration_ms) / 1000e0 AS total_duration, {_mean(_OVERALL)} AS avg_quality, {_mean(_EMOTION)} AS emotion_intensity,
-  min(strftime(ts, '%H:%M')) AS first_hhmm, max(strftime(ts, '%H:%M')) AS last_hhmm, min(strftime(ts, '%H:%M')) || ' - ' || max(strftime(ts, '%H:%M')) AS time_range FROM e GROUP BY ALL),
+  strftime(min(ts), '%H:%M') AS first_hhmm, strftime(max(ts), '%H:%M') AS last_hhmm, strftime(min(ts), '%H:%M') || ' - ' || strftime(max(ts), '%H:%M') AS time_range FROM e GROUP BY ALL),
 k AS (SELECT *, 4e-1 * (avg_quality / coalesce(nullif(max(avg_quality) OVER p, 0), 1)) + 35e-2 * (emotion_intensity / coalesce(nullif(max(emotion_intensity) OVER p, 0), 1)) + 25e-2 * least(shot_count / max(shot_count) OVER p, 1e0) AS rank_score FROM v WINDOW p AS (PARTITION BY project_id)),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY project_id ORDER BY rank_score DESC, event_id) AS INTEGER) AS rank_pos FROM k)"""
 
@@ -180,9 +180,31 @@ def paths(s: SparkSession, d: str) -> DataFrame:
 
 query("classify_suffix", f"SELECT page_id, path, CASE WHEN regexp_matches(lower(path), '\\.(mov|mp4|m4v)$') THEN 'video' WHEN regexp_matches(lower(path), '\\.(jpg|jpeg|heic|png|dng)$') THEN 'photo' WHEN regexp_matches(lower(path), '\\.(mp3|wav|m4a)$') THEN 'music' END AS kind FROM ({_PATHS})")(lambda s, d: paths(s, d).withColumn("kind", ingest.media_kind(F.col("path"))))
 query("path_filter", f"SELECT page_id FROM ({_PATHS}) WHERE NOT list_has_any(string_split(path, '/'), ['.venv', 'venv', 'node_modules', '__pycache__', '.git', 'output'])")(lambda s, d: paths(s, d).filter(ingest.allowed(F.col("path"))).select("page_id"))
-_PROBE = """'{"streams":[{"codec_type":"audio"},{"codec_type":"video","width":' || (640 + event_id % 3 * 640) || ',"height":720,"r_frame_rate":"' || CASE event_id % 3 WHEN 0 THEN '30000/1001' WHEN 1 THEN '25/1' ELSE '0/0' END || '"}],"format":{"duration":"' || (event_id % 60) || '.5","tags":{"location":"' || CASE event_id % 2 WHEN 0 THEN '+40.5-074.25+010/' ELSE '+40.5-074.25/' END || '"}}}'"""
-query("extract_metadata", "SELECT event_id, event_id % 60 + 5e-1 AS duration_sec, '' AS creation_time, CAST(640 + event_id % 3 * 640 AS INTEGER) AS width, CAST(720 AS INTEGER) AS height, CASE event_id % 3 WHEN 0 THEN 30000e0 / 1001 WHEN 1 THEN 25e0 ELSE 0e0 END AS fps, CASE event_id % 2 WHEN 0 THEN 405e-1 END AS gps_lat, CASE event_id % 2 WHEN 0 THEN -7425e-2 END AS gps_lon FROM events")(lambda s, d: table(s, d, "events").select("event_id", ingest.metadata(F.expr(_PROBE)).alias("m")).select("event_id", "m.*"))
-query("parse_creation_time", "SELECT event_id, date_trunc('second', ts) AS creation_time FROM events")(lambda s, d: table(s, d, "events").select("event_id", ingest.creation_time(F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).when(F.col("event_id") % 3 == 1, F.date_format("ts", "yyyy:MM:dd HH:mm:ss")).otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))).cast("timestamp_ntz").alias("creation_time")))
+_PROBE = """'{"streams":[{"codec_type":"audio"},{"codec_type":"video","width":' || (640 + event_id % 3 * 640) || ',"height":720,"r_frame_rate":"' || CASE event_id % 3 WHEN 0 THEN '30000/1001' WHEN 1 THEN '25/1' ELSE '0/0' END || '"}],"format":{"duration":"' || (event_id % 60) || '.5","tags":{"' || CASE event_id % 5 WHEN 0 THEN 'location' ELSE 'com.apple.quicktime.location.ISO6709' END || '":"' || CASE event_id % 4 WHEN 0 THEN '+40.5-074.25+010/' WHEN 1 THEN '+40.5-074.25/' WHEN 2 THEN '+40.5+074.25/' ELSE 'at +1+2+3' END || '"}}}'"""
+query("extract_metadata", "SELECT event_id, event_id % 60 + 5e-1 AS duration_sec, '' AS creation_time, CAST(640 + event_id % 3 * 640 AS INTEGER) AS width, CAST(720 AS INTEGER) AS height, CASE event_id % 3 WHEN 0 THEN 30000e0 / 1001 WHEN 1 THEN 25e0 ELSE 0e0 END AS fps, CASE WHEN event_id % 5 <> 0 AND event_id % 2 = 0 THEN 405e-1 END AS gps_lat, CASE WHEN event_id % 5 <> 0 THEN CASE event_id % 4 WHEN 0 THEN -7425e-2 WHEN 2 THEN 7425e-2 END END AS gps_lon FROM events")(lambda s, d: table(s, d, "events").select("event_id", ingest.metadata(F.expr(_PROBE)).alias("m")).select("event_id", "m.*"))
+_STAMPS = ("yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss", "yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS'+02:00'", "yyyy-MM-dd'T'HH:mm:ss'+0200'", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+@query("parse_creation_time", "SELECT event_id, CASE event_id % 7 WHEN 0 THEN date_trunc('second', ts) WHEN 3 THEN date_trunc('second', ts) WHEN 4 THEN date_trunc('millisecond', ts) - INTERVAL 2 HOUR WHEN 5 THEN date_trunc('second', ts) - INTERVAL 2 HOUR WHEN 6 THEN ts END AS creation_time FROM events")
+def parse_creation_time(s, d):
+    """Times as written in five known ways; two others (no zone, colons) are unknown."""
+    i = F.col("event_id") % 7
+    text = F.coalesce(*[F.when(i == k, F.date_format("ts", f)) for k, f in enumerate(_STAMPS)])
+    return table(s, d, "events").select("event_id", ingest.creation_time(text).cast("timestamp_ntz").alias("creation_time"))
+
+
+@query("events_per_source", f"""{_SHOTS}, f AS (SELECT project_id, source_id, min(media_id) AS first_id, arg_min(CASE WHEN media_id % 7 <> 0 THEN epoch_us(ts) ELSE -1 END, media_id) AS us FROM s GROUP BY ALL),
+k AS (SELECT *, CASE WHEN us >= 0 THEN make_timestamp(us) END AS at FROM f),
+g AS (SELECT *, CASE WHEN at IS NOT NULL AND date_diff('microsecond', lag(at) OVER w, at) > {DAY * 1000000} THEN 1 ELSE 0 END AS brk, row_number() OVER w AS turn FROM k WINDOW w AS (PARTITION BY project_id, at IS NULL ORDER BY at, first_id)),
+n AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY project_id, at IS NULL ORDER BY at, first_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS id FROM g),
+x AS (SELECT *, max(CASE WHEN at IS NOT NULL THEN id END) OVER (PARTITION BY project_id) AS top FROM n)
+SELECT s.project_id, s.source_id, s.media_id, CAST(CASE WHEN at IS NOT NULL THEN id ELSE coalesce(top + turn, 0) END AS BIGINT) AS event_id FROM s JOIN x USING (project_id, source_id)""")
+def events_per_source(s, d):
+    """All shots of a source are of one event; the times of some sources are unknown."""
+    rows = shots(s, d).withColumn("ts", F.when(F.col("media_id") % 7 != 0, F.col("ts")))
+    return sequence.assign_events(rows, KEY, "source_id", "ts", "media_id", DAY).select("project_id", "source_id", "media_id", "event_id")
+
+
 query("list_entries", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id % 90 END AS list_event, CASE event_id % 4 WHEN 3 THEN 'clip ' || event_id || '.mp4' END AS list_name FROM events WHERE event_id % 4 IN (0, 3)")(
     lambda s, d: table(s, d, "events").select("event_id", ingest.list_entries(F.when(F.col("event_id") % 4 == 0, F.concat(F.lit(" event:"), F.col("event_id") % 90, F.lit(" trip "))).when(F.col("event_id") % 4 == 1, F.lit("# note")).when(F.col("event_id") % 4 == 2, F.lit("event:x")).otherwise(F.concat(F.lit("clip "), "event_id", F.lit(".mp4 ")))).alias("e")).filter("e IS NOT NULL").select("event_id", F.col("e.event_id").alias("list_event"), F.col("e.name").alias("list_name"))
 )
@@ -213,8 +235,8 @@ query("section_fit", f"{_LABELLED} SELECT media_id, section, {_SECTION} AS fit F
 query("rhythm_fit", f"{_CLIPS} SELECT media_id, {_FIT} AS fit FROM c")(lambda s, d: clips(s, d).select("media_id", S.rhythm_fit(TRACK, F.col("t")).alias("fit")))
 query("shot_score", f"""{_LABELLED} SELECT media_id, greatest(0e0, 2e-1 * ((sharpness + exposure + stability) / 3) + 25e-2 * face_score + 1e-1 * motion_intensity + 15e-2 * ({_STORY}) + 15e-2 * ({_FIT}) + 15e-2 * ({_SECTION})
   + CASE WHEN highlight_score >= 5e-1 THEN 1e-1 * highlight_score + CASE WHEN section = 'chorus' THEN 25e-2 ELSE 0e0 END ELSE 0e0 END
-  - CASE WHEN exposure < 3e-1 THEN 2e-1 ELSE 0e0 END - CASE WHEN sharpness < 2e-1 THEN 15e-2 ELSE 0e0 END - CASE WHEN stability < 3e-1 THEN 1e-1 ELSE 0e0 END) AS score FROM l""")(lambda s, d: clips(s, d).select("media_id", S.shot_score(GROWTH, F.col("chapter"), S.section_at(TRACK.sections, F.col("t")), S.rhythm_fit(TRACK, F.col("t"))).alias("score")))
-query("arc_role", "SELECT event_id, CASE WHEN (event_id % 100)::DOUBLE / 100 < 15e-2 THEN 'establishing' WHEN (event_id % 100)::DOUBLE / 100 < 15e-2 + 4e-1 THEN 'action' WHEN (event_id % 100)::DOUBLE / 100 < 15e-2 + 4e-1 + 3e-1 THEN 'reaction' ELSE 'detail' END AS role FROM events")(lambda s, d: table(s, d, "events").select("event_id", S.arc_role((F.col("event_id") % 100).cast("double") / 100).alias("role")))
+  - (CASE WHEN exposure < 3e-1 THEN 2e-1 ELSE 0e0 END + CASE WHEN sharpness < 2e-1 THEN 15e-2 ELSE 0e0 END + CASE WHEN stability < 3e-1 THEN 1e-1 ELSE 0e0 END)) AS score FROM l""")(lambda s, d: clips(s, d).select("media_id", S.shot_score(GROWTH, F.col("chapter"), S.section_at(TRACK.sections, F.col("t")), S.rhythm_fit(TRACK, F.col("t"))).alias("score")))
+query("arc_role", "SELECT event_id, CASE WHEN (event_id % 100)::DOUBLE / 100 <= 15e-2 THEN 'establishing' WHEN (event_id % 100)::DOUBLE / 100 <= 15e-2 + 4e-1 THEN 'action' WHEN (event_id % 100)::DOUBLE / 100 <= 15e-2 + 4e-1 + 3e-1 THEN 'reaction' ELSE 'detail' END AS role FROM events")(lambda s, d: table(s, d, "events").select("event_id", S.arc_role((F.col("event_id") % 100).cast("double") / 100).alias("role")))
 query("frame_numbers", "SELECT event_id, CAST(round_even(event_id / 60e0 * 30, 0) AS BIGINT) AS frame FROM events")(lambda s, d: table(s, d, "events").select("event_id", S.frames_of(F.col("event_id") / 60).alias("frame")))
 
 # Lookups in a track.
@@ -262,25 +284,36 @@ SELECT track_id, idx, label FROM fold""")(lambda s, d: music.label_sections(sect
 
 @query("merge_boundaries")
 def merge_boundaries(s, d):
-    return rms(s, d).filter("rms > 20").groupBy("track_id").agg(F.array_sort(F.collect_list("t")).alias("points")).select("track_id", F.concat_ws(",", F.transform(music.merge_boundaries(F.col("points"), 6.0), lambda x: x.cast("string"))).alias("bounds"))
+    """The frames of each track as points, merged to 6 s and 9 of them at most."""
+    return rms(s, d).groupBy("track_id").agg(F.array_sort(F.collect_list("t")).alias("points")).select("track_id", F.concat_ws(",", F.transform(music.merge_boundaries(F.col("points"), 6.0), lambda x: x.cast("string"))).alias("bounds"))
 
 
 @query("change_boundaries")
 def change_boundaries(s, d):
-    return music.change_boundaries(rms(s, d), ["track_id"], "frame", "t", "rms", 5).select("track_id", F.concat_ws(",", F.transform("bounds", lambda x: x.cast("string"))).alias("bounds"))
+    return music.change_boundaries(rms(s, d), ["track_id"], "frame", "t", "rms").select("track_id", F.concat_ws(",", F.transform("bounds", lambda x: x.cast("string"))).alias("bounds"))
+
+
+@query("detect_sections")
+def detect_sections(s, d):
+    """Sections by loudness, labelled, of every track."""
+    return music.detect_sections(rms(s, d), ["track_id"], "frame", "t", "rms").select("track_id", "idx", "start", "end", "avg_energy", "label")
+
+
+@query("downbeats", "SELECT user_id AS track_id, count(*) AS beats, (count(*) + 3) // 4 AS downbeats FROM events GROUP BY 1")
+def downbeats(s, d):
+    beats = rms(s, d).groupBy("track_id").agg(F.array_sort(F.collect_list("t")).alias("b"))
+    return beats.select("track_id", F.size("b").cast("bigint").alias("beats"), F.size(music.downbeats(F.col("b"))).cast("bigint").alias("downbeats"))
 
 
 @query("chorus_repeat")
 def chorus_repeat(s, d):
-    """Mean vectors per label as chroma of choruses: groups of alike ones and how often each has come."""
-    rows = table(s, d, "embeddings").select("label", F.posexplode("embedding"))
-    means = rows.groupBy("label", "pos").agg(sequence.exact_mean(F.col("col").cast("double")).alias("x"))
-    vectors = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    unit = vectors.withColumn("v", F.transform("v", lambda x: x / norm))
-    packed = unit.agg(F.array_sort(F.collect_list(F.struct("label", "v"))).alias("all"))  # a row for each label
-    out = packed.select("all", music.leader_groups(F.transform("all", lambda a: a["v"]), 0.3).alias("g"))
-    return out.select(F.explode(F.zip_with("all", "g", lambda a, g: F.struct(a["label"].alias("label"), g["grp"].alias("grp"), g["repeat_index"].alias("repeat_index")))).alias("r")).select("r.*")
+    """Vectors of a label as the chroma of a track, one a second, with a chorus of 8 s after every 4: groups of alike choruses."""
+    w = Window.partitionBy("label").orderBy("vec_id")
+    chroma = table(s, d, "embeddings").select("label", (F.row_number().over(w) - 1).cast("double").alias("t"), F.transform("embedding", lambda x: x.cast("double") + 0.25).alias("v"))
+    idx = F.floor(F.col("t") / 12).cast("int")
+    found = chroma.select("label", idx.alias("idx")).distinct().select(F.col("label"), "idx", (F.col("idx") * 12.0 + 4).alias("start"), (F.col("idx") * 12.0 + 12).alias("end"))
+    named = found.select(F.col("label").alias("track"), "idx", "start", "end", F.lit("chorus").alias("label"))
+    return music.chorus_repeats(named, chroma.withColumnRenamed("label", "track"), ["track"], "t", "v")
 
 
 # Frames and boundaries.
@@ -309,11 +342,11 @@ def boundary_candidates(s, d):
     c = ShotDetect()
     thin = frames(s, d).filter(F.col("frame") % c.sample_interval == 0)
     jump = F.abs(F.col("luma") - F.lag("luma").over(Window.partitionBy("media_id").orderBy("frame")))
-    return thin.withColumn("j", jump).filter(sequence.is_boundary(F.col("h"), F.col("f"), F.col("j"), c.hist_threshold, c.flow_threshold, c.luminance_threshold)).select("media_id", "frame")
+    return thin.withColumn("j", jump).filter(sequence.is_boundary(F.col("h"), F.col("f"), F.col("j"), c.histogram_threshold, c.optical_flow_threshold, c.luminance_threshold)).select("media_id", "frame")
 
 
-# The folds take every event; their SQL still takes every third only, so it is no check of them until its WHERE is dropped.
-_POINTS = "SELECT user_id AS media_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, (event_id // 50)::DOUBLE / 4 AS p FROM events WHERE event_id % 3 = 0"
+# The folds take every event.
+_POINTS = "SELECT user_id AS media_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, (event_id // 50)::DOUBLE / 4 AS p FROM events"
 
 
 def points(s: SparkSession, d: str) -> DataFrame:
@@ -371,16 +404,17 @@ query("exclude_anti", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT
 query("favorites_boost", f"{_SHOTS} SELECT media_id, CASE WHEN q THEN greatest(sharpness, 9e-1) ELSE sharpness END AS sharpness, CASE WHEN q THEN greatest(exposure, 9e-1) ELSE exposure END AS exposure, CASE WHEN q THEN greatest(stability, 9e-1) ELSE stability END AS stability, q AS is_favourite FROM (SELECT s.*, media_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS q FROM s WHERE media_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))")(
     lambda s, d: preference.apply_lists(shots(s, d), listed(s, d, "quality").withColumnRenamed("doc_id", "media_id"), listed(s, d, "toxic").withColumnRenamed("doc_id", "media_id"), ["media_id"]).select("media_id", "sharpness", "exposure", "stability", "is_favourite")
 )
-_GROUPS = {"fav": "mark = 'favourite'", "exc": "mark = 'excluded'", "pool": "TRUE"}
-_AVG = ", ".join(f"sum(CASE WHEN {c} THEN CAST(floor({q} * 1000000 + 5e-1) AS BIGINT) END)::DOUBLE / nullif(count(*) FILTER ({c}), 0) / 1000000 AS {q}_{g}" for g, c in _GROUPS.items() for q in preference.BIASES.values())
+_GROUPS = {"fav": "mark = 'favourite'", "exc": "mark = 'excluded'", "pool": "coalesce(mark, '') <> 'excluded'"}
+_LIFTED = {q: f"CASE WHEN mark = 'favourite' THEN greatest({q}, 9e-1) ELSE {q} END" if q in ("sharpness", "stability") else q for q in preference.BIASES.values()}
+_AVG = ", ".join(f"sum(CASE WHEN {c} THEN CAST(floor(({_LIFTED[q]}) * 1000000 + 5e-1) AS BIGINT) END)::DOUBLE / nullif(count(*) FILTER ({c}), 0) / 1000000 AS {q}_{g}" for g, c in _GROUPS.items() for q in preference.BIASES.values())
 _BIAS = ", ".join(f"CASE WHEN n_fav > 0 AND n_exc > 0 THEN ({q}_fav - {q}_exc) * 5e-1 WHEN n_fav > 0 THEN ({q}_fav - {q}_pool) * 5e-1 WHEN n_exc > 0 THEN ({q}_pool - {q}_exc) * 5e-1 ELSE 0e0 END AS {b}" for b, q in preference.BIASES.items())
-_PROFILE = f"""{_MARKED}, a AS (SELECT project_id, count(*) FILTER (mark = 'favourite') AS n_fav, count(*) FILTER (mark = 'excluded') AS n_exc, count(*) AS n_pool, count(*) FILTER (mark = 'favourite' AND media_type = 'photo') AS p_fav, count(*) FILTER (media_type = 'photo') AS p_pool, {_AVG},
+_PROFILE = f"""{_MARKED}, a AS (SELECT project_id, count(*) FILTER (mark = 'favourite') AS n_fav, count(*) FILTER (mark = 'excluded') AS n_exc, count(*) FILTER (coalesce(mark, '') <> 'excluded') AS n_pool, count(*) FILTER (mark = 'favourite' AND media_type = 'photo') AS p_fav, count(*) FILTER (media_type = 'photo' AND coalesce(mark, '') <> 'excluded') AS p_pool, {_AVG},
   list_sort(list(DISTINCT event_id) FILTER (mark = 'favourite')) AS pe, list_sort(list(DISTINCT event_id) FILTER (mark = 'excluded')) AS ae FROM k GROUP BY 1),
-prof AS (SELECT project_id, {_BIAS}, (p_fav::DOUBLE / greatest(n_fav, 1) - p_pool::DOUBLE / n_pool) * 3e-1 AS photo_bias, coalesce(pe, []) AS pe, coalesce(ae, []) AS ae, n_fav + n_exc AS sample_count FROM a)"""
+prof AS (SELECT project_id, {_BIAS}, (p_fav::DOUBLE / greatest(n_fav, 1) - p_pool::DOUBLE / greatest(n_pool, 1)) * 3e-1 AS photo_bias, coalesce(pe, []) AS pe, coalesce(ae, []) AS ae, n_fav + n_exc AS sample_count FROM a)"""
 query("learn_preferences", f"{_PROFILE} SELECT project_id, face_bias, motion_bias, stability_bias, sharpness_bias, photo_bias, array_to_string(pe, ',') AS preferred, array_to_string(ae, ',') AS avoided, sample_count FROM prof")(
     lambda s, d: preference.learn(marked(s, d)).select("project_id", *preference.BIASES, "photo_bias", F.concat_ws(",", F.col("preferred_events").cast("array<string>")).alias("preferred"), F.concat_ws(",", F.col("avoided_events").cast("array<string>")).alias("avoided"), "sample_count")
 )
-query("learn_role_bias", f"""{_MARKED}, p AS (SELECT project_id, shot_role AS role, count(*) FILTER (mark = 'favourite') AS f, count(*) AS n FROM k GROUP BY ALL), w AS (SELECT project_id, sum(f) AS af, sum(n) AS an FROM p GROUP BY 1)
+query("learn_role_bias", f"""{_MARKED}, p AS (SELECT project_id, shot_role AS role, count(*) FILTER (mark = 'favourite') AS f, count(*) AS n FROM k WHERE coalesce(mark, '') <> 'excluded' GROUP BY ALL), w AS (SELECT project_id, sum(f) AS af, sum(n) AS an FROM p GROUP BY 1)
 SELECT project_id, role, (f::DOUBLE / af::DOUBLE - n::DOUBLE / an::DOUBLE) * 3e-1 AS bias FROM p JOIN w USING (project_id) WHERE f > 0""")(lambda s, d: preference.learn_roles(marked(s, d)))
 query("preference_adjust", f"""{_PROFILE} SELECT media_id, CASE WHEN sample_count > 0 THEN 0e0 + face_bias * face_score + motion_bias * motion_intensity + stability_bias * stability + sharpness_bias * sharpness + CASE WHEN list_contains(pe, event_id) THEN 15e-2 ELSE 0e0 END + CASE WHEN list_contains(ae, event_id) THEN -2e-1 ELSE 0e0 END + CASE WHEN media_type = 'photo' THEN photo_bias ELSE 0e0 END ELSE 0e0 END AS adjustment FROM k JOIN prof USING (project_id)""")(
     lambda s, d: marked(s, d).join(preference.learn(marked(s, d)), "project_id").select("media_id", preference.adjustment().alias("adjustment"))
@@ -413,12 +447,14 @@ SELECT project_id, CASE WHEN count(d) = 0 THEN 1e0 ELSE greatest(0e0, least(1e0,
 
 # Reports.
 _ALIGNED = f"{_BEAT_D} <= 12e-2"
-# The summary is of the whole timeline; its SQL still takes the first 20 clips only, so it is no check of it until that is dropped.
 query("kpi_summary", f"""{_CLIPS}, n AS (SELECT project_id, count(DISTINCT event_id) AS ev FROM e GROUP BY 1)
 SELECT c.project_id, count(*) AS total_clips, max(end_ms) / 1000e0 AS total_duration_sec, count(DISTINCT source_id) AS unique_sources, count(DISTINCT event_id)::DOUBLE / any_value(ev) AS event_coverage, count(*) FILTER (highlight_score >= 5e-1) AS highlight_count,
-  count(*) FILTER (highlight_score >= 5e-1)::DOUBLE / count(*) AS highlight_rate, count(*) FILTER ({_ALIGNED})::DOUBLE / count(*) AS beat_alignment_rate FROM c JOIN n ON n.project_id = c.project_id WHERE clip_idx < 20 GROUP BY 1""")(lambda s, d: summary.kpi_summary(clips(s, d), sessions(s, d), TRACK.beats, F.col("t")))
+  count(*) FILTER (highlight_score >= 5e-1)::DOUBLE / count(*) AS highlight_rate, count(*) FILTER ({_ALIGNED})::DOUBLE / count(*) AS beat_alignment_rate FROM c JOIN n ON n.project_id = c.project_id GROUP BY 1""")(lambda s, d: summary.kpi_summary(clips(s, d), sessions(s, d), TRACK.beats, F.col("t")))
 query("rhythm_stats", f"{_CLIPS} SELECT project_id, count(*) AS total_cuts, count(*) FILTER ({_ALIGNED}) AS beat_aligned_cuts, count(*) FILTER ({_ALIGNED})::DOUBLE / count(*) AS beat_alignment_ratio FROM c GROUP BY 1")(lambda s, d: summary.rhythm_stats(clips(s, d), TRACK.beats, F.col("t")))
-query("section_stats", f"{_LABELLED} SELECT project_id, section, count(*) AS clip_count, {_mean('motion_intensity')} AS avg_motion FROM l WHERE section IS NOT NULL GROUP BY 1, 2")(lambda s, d: summary.section_stats(clips(s, d), TRACK.sections, F.col("t")))
+_PARTS = ", ".join(f"({i}, '{x.label}', {x.start}e0, {x.end}e0, {x.energy}e0)" for i, x in enumerate(TRACK.sections))
+query("section_stats", f"""{_CLIPS}, p AS (SELECT * FROM (VALUES {_PARTS}) v(section_idx, label, "start", "end", avg_energy)), k AS (SELECT DISTINCT project_id FROM c)
+SELECT k.project_id, CAST(section_idx AS INTEGER) AS section_idx, label, p.start, p."end", avg_energy, count(c.t) AS clip_count, coalesce({_mean('motion_intensity').replace('count(*)', 'nullif(count(c.t), 0)')}, 0e0) AS avg_motion
+FROM k CROSS JOIN p LEFT JOIN c ON c.project_id = k.project_id AND c.t >= p.start AND c.t < p."end" GROUP BY ALL""")(lambda s, d: summary.section_stats(clips(s, d), TRACK.sections, F.col("t")))
 query("section_roles", f"{_LABELLED} SELECT project_id, section, shot_role, count(*) AS n, count(*) FILTER ({_MISMATCH}) AS mismatches FROM l WHERE section IS NOT NULL GROUP BY ALL")(lambda s, d: summary.section_roles(clips(s, d), TRACK.sections, F.col("t")))
 query("section_role_stats", f"""{_LABELLED}, x AS (SELECT project_id, count(*) FILTER (section IS NOT NULL) AS clips_in_sections, count(*) FILTER (section IS NOT NULL AND {_MISMATCH}) AS mismatches,
   coalesce(count(*) FILTER (section = 'chorus' AND highlight_score >= 5e-1)::DOUBLE / nullif(count(*) FILTER (section = 'chorus'), 0), 0e0) AS a,
@@ -426,18 +462,18 @@ query("section_role_stats", f"""{_LABELLED}, x AS (SELECT project_id, count(*) F
 SELECT project_id, a AS chorus_highlight_rate, b AS non_chorus_highlight_rate, a - b AS chorus_highlight_lift, clips_in_sections, mismatches, CASE WHEN clips_in_sections > 0 THEN mismatches::DOUBLE / clips_in_sections ELSE 0e0 END AS mismatch_rate FROM x""")(lambda s, d: summary.section_role_stats(clips(s, d), TRACK.sections, F.col("t")))
 query("chapter_energy", f"{_CLIPS} SELECT project_id, chapter, count(*) AS clip_count, count(*) FILTER (highlight_score >= 5e-1) AS highlight_count, {_mean(_EMOTION)} AS avg_emotion, max({_EMOTION}) AS peak_emotion FROM c GROUP BY ALL")(lambda s, d: summary.chapter_energy(clips(s, d)))
 query("role_coverage", f"{_CLIPS}, rr AS (SELECT project_id, chapter, count(DISTINCT shot_role) AS n FROM c GROUP BY ALL) SELECT project_id, count(*) FILTER (n >= 2)::DOUBLE / count(*) AS chapter_role_coverage_rate FROM rr GROUP BY 1")(lambda s, d: summary.role_coverage(clips(s, d)))
-query("story_metrics", f"""{_LABELLED}, x AS (SELECT *, lag(source_id) OVER (PARTITION BY project_id ORDER BY clip_idx) = source_id AS same FROM l), rr AS (SELECT project_id, chapter, count(DISTINCT shot_role) AS n FROM c GROUP BY ALL), cov AS (SELECT project_id, count(*) FILTER (n >= 2)::DOUBLE / count(*) AS cr FROM rr GROUP BY 1)
-SELECT x.project_id, sum(duration_ms) / 1000e0 / 240 AS duration_achievement_rate, 1e0 AS event_coverage_rate, count(*) FILTER (same)::DOUBLE / greatest(count(*) - 1, 1) AS repeated_shot_rate, count(*) FILTER (highlight_score >= 5e-1)::DOUBLE / count(*) AS highlight_hit_rate, 1e0 AS audio_presence_rate, any_value(cr) AS chapter_role_coverage_rate,
+query("story_metrics", f"""{_LINT}, l AS (SELECT *, {_case('section')} FROM c), gv AS (SELECT project_id, count(*) AS gv FROM (SELECT project_id FROM t3 UNION ALL SELECT project_id FROM br) GROUP BY 1), x AS (SELECT *, lag(source_id) OVER (PARTITION BY project_id ORDER BY clip_idx) = source_id AS same FROM l), rr AS (SELECT project_id, chapter, count(DISTINCT shot_role) AS n FROM c GROUP BY ALL), cov AS (SELECT project_id, count(*) FILTER (n >= 2)::DOUBLE / count(*) AS cr FROM rr GROUP BY 1)
+SELECT x.project_id, sum(duration_ms) / 1000e0 / 240 AS duration_achievement_rate, 1e0 AS event_coverage_rate, count(*) FILTER (same)::DOUBLE / greatest(count(*) - 1, 1) AS repeated_shot_rate, count(*) FILTER (highlight_score >= 5e-1)::DOUBLE / count(*) AS highlight_hit_rate, 1e0 AS audio_presence_rate, coalesce(any_value(gv), 0) AS grammar_violations, any_value(cr) AS chapter_role_coverage_rate,
   coalesce(count(*) FILTER (section = 'chorus' AND highlight_score >= 5e-1)::DOUBLE / nullif(count(*) FILTER (section = 'chorus'), 0), 0e0) - coalesce(count(*) FILTER (coalesce(section, '') <> 'chorus' AND highlight_score >= 5e-1)::DOUBLE / nullif(count(*) FILTER (coalesce(section, '') <> 'chorus'), 0), 0e0) AS chorus_highlight_lift
-FROM x JOIN cov USING (project_id) GROUP BY x.project_id""")(lambda s, d: summary.story_metrics(clips(s, d), sessions(s, d), TRACK.sections, F.col("t"), 240.0))
+FROM x JOIN cov USING (project_id) LEFT JOIN gv USING (project_id) GROUP BY x.project_id""")(lambda s, d: summary.story_metrics(clips(s, d), sessions(s, d), TRACK.sections, F.col("t"), 240.0))
 _PICKED = "clip_idx % 4 = 0"
 query("rejected_anti", f"{_CLIPS} SELECT media_id, {_REASON} AS reason FROM c WHERE NOT ({_PICKED})")(lambda s, d: summary.rejected(clips(s, d).filter(_PICKED), sessions(s, d)).select("media_id", "reason"))
 query("best_alternative", f"""{_CLIPS}, best AS (SELECT project_id, event_id, media_id AS alt_media_id FROM c WHERE NOT ({_PICKED}) QUALIFY row_number() OVER (PARTITION BY project_id, event_id ORDER BY {_OVERALL} DESC, media_id) = 1)
 SELECT c.project_id, clip_idx, event_id, media_id, alt_media_id FROM c JOIN best USING (project_id, event_id) WHERE {_PICKED}""")(lambda s, d: summary.best_alternatives(clips(s, d).filter(_PICKED), sessions(s, d)).select("project_id", "clip_idx", "event_id", "media_id", "alt_media_id"))
 _FRAME = "CAST(round_even(start_ms / 1000e0 * 30, 0) AS BIGINT) AS frame"
-query("markers", f"""{_CLIPS} SELECT project_id, clip_idx, 'chapter' AS kind, chapter AS name, 'Blue' AS colour, {_FRAME} FROM c QUALIFY row_number() OVER (PARTITION BY project_id, chapter ORDER BY clip_idx) = 1
-UNION ALL (SELECT project_id, clip_idx, 'event', CAST(event_id AS VARCHAR), 'Green', {_FRAME} FROM c QUALIFY row_number() OVER (PARTITION BY project_id, event_id ORDER BY clip_idx) = 1)
-UNION ALL SELECT project_id, clip_idx, 'highlight', CAST(media_id AS VARCHAR), 'Red', {_FRAME} FROM c WHERE highlight_score >= 5e-1""")(lambda s, d: summary.markers(clips(s, d)))
+query("markers", f"""{_CLIPS} SELECT project_id, clip_idx, 'chapter' AS kind, 'Chapter: ' || chapter AS name, 'Chapter start: ' || chapter AS comment, 'Blue' AS colour, {_FRAME} FROM c QUALIFY row_number() OVER (PARTITION BY project_id, chapter ORDER BY clip_idx) = 1
+UNION ALL (SELECT project_id, clip_idx, 'event', 'Event ' || event_id, 'Event ' || event_id || ' start', 'Green', {_FRAME} FROM c QUALIFY row_number() OVER (PARTITION BY project_id, event_id ORDER BY clip_idx) = 1)
+UNION ALL SELECT project_id, clip_idx, 'highlight', 'Highlight: ' || coalesce(nullif(highlight_reason, ''), 'highlight'), source_id || ' | score=0.000 | ', 'Red', {_FRAME} FROM c WHERE highlight_score >= 5e-1""")(lambda s, d: summary.markers(clips(s, d)))
 query("story_notes", f"""{_CLIPS}, a AS (SELECT project_id, chapter, 'highlight' AS note, CAST(row_number() OVER (PARTITION BY project_id, chapter ORDER BY clip_idx) AS INTEGER) AS place, clip_idx, media_id FROM c WHERE highlight_score >= 5e-1),
 b AS (SELECT project_id, chapter, 'weak' AS note, CAST(row_number() OVER (PARTITION BY project_id, chapter ORDER BY {_OVERALL}, clip_idx) AS INTEGER) AS place, clip_idx, media_id FROM c) SELECT * FROM a WHERE place <= 3 UNION ALL SELECT * FROM b WHERE place <= 2""")(lambda s, d: summary.notes(clips(s, d)))
 query("chapter_durations", f"{_CLIPS} SELECT project_id, chapter, sum(duration_ms) / 1000e0 AS seconds FROM c GROUP BY ALL")(lambda s, d: clips(s, d).groupBy("project_id", "chapter").agg((F.sum("duration_ms") / 1000).alias("seconds")))
@@ -447,7 +483,7 @@ query("story_structure", f"{_CLIPS} SELECT project_id, chapter, count(DISTINCT e
 # Plans.
 def plan_input(s: SparkSession, d: str) -> DataFrame:
     """Shots of each project in input order: videos before stills."""
-    rows = sessions(s, d).withColumns({"overall": S.overall(), "emotion": S.emotion(), "start": F.lit(0.0), "end": F.col("duration_ms") / 1000, "hhmm": F.date_format("ts", "HH:mm"), "best_start": F.lit(None).cast("double"), "best_end": F.lit(None).cast("double"), "preference": F.lit(0.0)})
+    rows = sessions(s, d).withColumns({"overall": S.overall(), "emotion": S.emotion(), "start": F.lit(0.0), "end": F.col("duration_ms") / 1000, "hhmm": F.date_format("ts", "HH:mm"), "at": F.unix_micros(F.col("ts").cast("timestamp")), "best_start": F.lit(None).cast("double"), "best_end": F.lit(None).cast("double"), "preference": F.lit(0.0)})
     return rows.withColumn("input_idx", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.col("media_type") == "photo", "media_id"))).drop("ts")
 
 
@@ -456,8 +492,8 @@ def planned(s: SparkSession, d: str, template: str) -> DataFrame:
 
 
 def ruled(s: SparkSession, d: str, template: str = "growth") -> DataFrame:
-    """A plan after the rules: roles swapped, then transitions put in."""
-    return grammar.with_semantic_transitions(grammar.swap_roles(planned(s, d, template)))
+    """A plan after the rules."""
+    return grammar.apply(planned(s, d, template))[0]
 
 
 query("plan_growth")(lambda s, d: planned(s, d, "growth"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import shutil
+import json
+import subprocess
 from collections.abc import Callable, Sequence
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,12 +16,53 @@ from pyspark.sql.window import Window
 SUFFIXES = {"video": ("mov", "mp4", "m4v"), "photo": ("jpg", "jpeg", "heic", "png", "dng"), "music": ("mp3", "wav", "m4a")}
 SKIP = (".venv", "venv", "node_modules", "__pycache__", ".git", "output")
 PROBE = "struct<streams:array<struct<codec_type:string,width:int,height:int,r_frame_rate:string>>,format:struct<duration:string,tags:map<string,string>>>"
-TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy:MM:dd HH:mm:ss")
+TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ssXX", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXX")
+#: Seconds that a tool may take to say its version, to describe a file and to make a proxy.
+VERSION_S, PROBE_S, PROXY_S = 10, 30, 60
+
+
+def called(*command: str, seconds: int) -> subprocess.CompletedProcess | None:
+    """A tool's result; None where it is not there or takes longer."""
+    try:
+        return subprocess.run(command, capture_output=True, timeout=seconds)
+    except (FileNotFoundError, subprocess.TimeoutExpired):
+        return None
 
 
 def tools(names: Sequence[str] = ("ffmpeg", "exiftool")) -> dict[str, bool]:
-    """Which of the driver's tools for decoding are there."""
-    return {n: shutil.which(n) is not None for n in names}
+    """Which of the driver's tools for decoding answer."""
+    return {n: called(n, "-version", seconds=VERSION_S) is not None for n in names}
+
+
+def ffprobe(path: str) -> str:
+    """A file's description as JSON, ``{}`` where the tool is not there, fails or is too slow."""
+    done = called("ffprobe", "-v", "quiet", "-print_format", "json", "-show_format", "-show_streams", path.removeprefix("file:"), seconds=PROBE_S)
+    return done.stdout.decode("utf-8", "replace") if done is not None and done.returncode == 0 else "{}"
+
+
+def jpeg_proxy(path: str, folder: str) -> str | None:
+    """A JPEG for a raw photo below ``folder``, one that is there or made by ffmpeg or from the preview in it; None if none can be made."""
+    path = path.removeprefix("file:")
+    out = Path(folder) / f"{Path(path).stem}.jpg"
+    there = lambda: out.exists() and out.stat().st_size > 1000
+    out.parent.mkdir(parents=True, exist_ok=True)
+    if not there():
+        called("ffmpeg", "-y", "-i", path, "-vf", "scale=1920:-1", "-q:v", "2", str(out), seconds=PROXY_S)
+    if not there():
+        preview = called("exiftool", "-b", "-JpgFromRaw", path, seconds=PROBE_S)
+        if preview is not None and preview.returncode == 0 and len(preview.stdout) > 1000:
+            out.write_bytes(preview.stdout)
+    return str(out) if there() else None
+
+
+def with_proxies(media: DataFrame, folder: str, make: Callable[[str, str], str | None] = jpeg_proxy) -> DataFrame:
+    """``media`` with proxy_path of raw photos; ``folder`` is one that the executors share."""
+
+    @F.pandas_udf("string")
+    def proxies(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: None if p is None else make(p, folder))
+
+    return media.withColumn("proxy_path", proxies(F.when(suffix(F.col("media_path")) == "dng", F.col("media_path"))))
 
 
 def suffix(path: Column) -> Column:
@@ -39,10 +82,18 @@ def allowed(path: Column) -> Column:
     return ~F.arrays_overlap(F.split(path, "/"), F.lit(list(SKIP)))
 
 
+def below(path: Column, root: str) -> Column:
+    """The part of a path below a folder."""
+    return F.when(path.startswith(root), F.substring(path, len(root) + 1, 2**31 - 1)).otherwise(path)
+
+
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of known kinds below a folder, with size and MD5 of their content."""
+    """Files of known kinds below a folder, with size and MD5 of their content; only folders within it can be passed over."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    files = files.withColumn("media_type", media_kind(F.col("path"))).filter(F.col("media_type").isNotNull() & allowed(F.col("path")))
+    inner = below(F.regexp_replace("path", "^file:/+", "file:/"), root.replace("file:///", "file:/"))
+    files = files.withColumn("media_type", media_kind(F.col("path"))).filter(F.col("media_type").isNotNull() & allowed(inner))
     return files.select(F.col("path").alias("media_path"), "media_type", F.md5("content").alias("file_hash"), F.col("length").alias("file_size"))
 
 
@@ -67,21 +118,22 @@ def metadata(probe: Column) -> Column:
     tags = j["format"]["tags"]
     video = F.filter(j["streams"], lambda s: s["codec_type"] == "video")[0]
     rate = F.split(video["r_frame_rate"], "/")
-    place = F.coalesce(tags["com.apple.quicktime.location.ISO6709"], tags["location"], F.lit(""))
-    parts = F.size(F.filter(F.split(F.replace(place, F.lit("/"), F.lit("")), r"\+"), lambda p: p != "")) >= 2
-    pattern = r"([+-]\d+\.?\d*)([+-]\d+\.?\d*)"
-    coordinate = lambda i: F.when(parts & place.rlike(pattern), F.regexp_extract(place, pattern, i).cast("double"))
+    place = F.coalesce(tags["com.apple.quicktime.location.ISO6709"], F.lit(""))
+    bare = F.replace(place, F.lit("/"), F.lit(""))
+    several = F.size(F.filter(F.split(bare, r"\+"), lambda p: p != "")) >= 2
+    pattern = r"^([+-][0-9.]+)([+-][0-9.]+)"
+    latitude, longitude = (F.when(several, F.regexp_extract(bare, pattern, i).try_cast("double")) for i in (1, 2))
     return F.struct(
         F.coalesce(j["format"]["duration"].cast("double"), F.lit(0.0)).alias("duration_sec"),
         F.coalesce(tags["creation_time"], tags["com.apple.quicktime.creationdate"], F.lit("")).alias("creation_time"),
         F.coalesce(video["width"], F.lit(0)).alias("width"), F.coalesce(video["height"], F.lit(0)).alias("height"),
         F.coalesce(F.try_divide(F.get(rate, F.lit(0)).try_cast("double"), F.get(rate, F.lit(1)).try_cast("double")), F.lit(0.0)).alias("fps"),
-        coordinate(1).alias("gps_lat"), coordinate(2).alias("gps_lon"),
+        latitude.alias("gps_lat"), F.when(latitude.isNotNull(), longitude).alias("gps_lon"),
     )
 
 
 def creation_time(text: Column) -> Column:
-    """The first of five formats that reads it, in UTC; null if none does."""
+    """The first of TIME_FORMATS that reads it, in UTC; null if none does."""
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMATS])
 
 
@@ -102,6 +154,21 @@ def usable(media: DataFrame) -> DataFrame:
     return media.filter(~((suffix(F.col("media_path")) == "dng") & F.col("proxy_path").isNull()))
 
 
+class MusicNotFound(Exception):
+    """A profile names a music file that is not there."""
+
+
+def music_path(media: DataFrame, folder: str, named: str = "") -> str | None:
+    """The named music file, in the input folder or by its own path, else the first one scanned."""
+    if named:
+        for path in (Path(folder.removeprefix("file:")) / named, Path(named)):
+            if path.exists():
+                return str(path)
+        raise MusicNotFound(f"music file not found: {named!r}, in {folder!r} or by itself")
+    first = first_music(media).first()
+    return None if first is None else first["media_path"].removeprefix("file:")
+
+
 def first_music(media: DataFrame) -> DataFrame:
     return media.filter("media_type = 'music'").orderBy(F.split("media_path", "/")).limit(1)
 
@@ -128,3 +195,14 @@ def read_profile(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(PROFILE).json(path, multiLine=True)
     zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("face_bias", "motion_bias", "stability_bias", "sharpness_bias", "photo_bias")}
     return rows.withColumns(zero | {"sample_count": F.coalesce("sample_count", F.lit(0).cast("bigint")), "role_bias": F.coalesce("role_bias", F.create_map().cast("map<string,double>")), "preferred_events": F.coalesce("preferred_events", F.array().cast("array<bigint>")), "avoided_events": F.coalesce("avoided_events", F.array().cast("array<bigint>"))})
+
+
+def load_profile_row(spark: SparkSession, path: str):
+    """A saved profile as a row; None where the file is missing or no JSON object."""
+    try:
+        text = Path(path).read_text(encoding="utf-8")
+        if not isinstance(json.loads(text), dict):
+            return None
+    except (OSError, ValueError):
+        return None
+    return read_profile(spark, path).first()
