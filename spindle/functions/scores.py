@@ -253,6 +253,11 @@ def frames_of(seconds: Column, fps: int = 30) -> Column:
     return F.bround(seconds * fps).cast("bigint")
 
 
+def fixed(value: Column, places: int) -> Column:
+    """A number with so many decimals, of two equally near ones the even one."""
+    return F.call_function("format_number", value.cast("double"), F.lit("0." + "0" * places if places else "0"))
+
+
 def effect_name(transition: Column) -> Column:
     """The editor's name of a transition; a plain cut has none."""
     return F.when(transition.isin("fade_from_black", "fade_to_black"), "Dip to Black").when(transition != "cut", "Cross Dissolve")

@@ -164,11 +164,11 @@ def _details(swapped: DataFrame, edged: DataFrame, ruled: DataFrame, key: str) -
     jumped = swapped.withColumn("__jump", F.lag("event_id").over(_by([key])) != F.col("event_id"))
     per = jumped.groupBy(key, "chapter").agg(F.count_if("__jump").alias("n"), F.min(F.when(F.col("__jump"), F.col("clip_idx"))).alias("clip_index"), (F.max("timeline_end") - F.min("timeline_start")).alias("sec"))
     rate = F.col("n") / F.col("sec")
-    jumps = per.filter((F.col("sec") > 0) & (rate > MAX_JUMPS_PER_SEC)).select(key, F.lit(3).alias("step"), F.lit("cross_event_jump_rate").alias("rule"), "clip_index", F.concat(F.lit("Chapter '"), F.col("chapter"), F.lit("': "), F.col("n").cast("string"), F.lit(" event jumps in "), F.format_string("%.1f", "sec"), F.lit("s (rate="), F.format_string("%.2f", rate), F.lit("/s, max=0.25/s)")).alias("description"))
+    jumps = per.filter((F.col("sec") > 0) & (rate > MAX_JUMPS_PER_SEC)).select(key, F.lit(3).alias("step"), F.lit("cross_event_jump_rate").alias("rule"), "clip_index", F.concat(F.lit("Chapter '"), F.col("chapter"), F.lit("': "), F.col("n").cast("string"), F.lit(" event jumps in "), S.fixed(F.col("sec"), 1), F.lit("s (rate="), S.fixed(rate, 2), F.lit("/s, max=0.25/s)")).alias("description"))
     before = lambda c: F.lag(c).over(_by([key]))
     chapters = edged.withColumn("__before", before("chapter")).filter("edge_fixed").select(key, F.lit(4).alias("step"), F.lit("chapter_transition").alias("rule"), F.col("clip_idx").alias("clip_index"), F.concat(F.lit("Added transition between '"), F.col("__before"), F.lit("' and '"), F.col("chapter"), F.lit("'")).alias("description"))
     told = ruled.withColumns({"__gap": F.abs(F.col("shot_start") - before("shot_end")), "__delta": F.abs(S.emotion() - F.lag(S.emotion()).over(_by([key]))), "__still": before("media_type") == "photo"}).filter("rule IS NOT NULL")
-    text = F.when(F.col("rule") == "semantic_time_jump", F.concat(F.lit("Time jump "), F.format_string("%.0f", "__gap"), F.lit("s in event "), F.col("event_id").cast("string"))).when(F.col("rule") == "semantic_emotion_contrast", F.concat(F.lit("Emotion contrast "), F.format_string("%.2f", "__delta"))).otherwise(F.when(F.col("__still"), "Media switch: photo\u2192video").otherwise("Media switch: video\u2192photo"))
+    text = F.when(F.col("rule") == "semantic_time_jump", F.concat(F.lit("Time jump "), S.fixed(F.col("__gap"), 0), F.lit("s in event "), F.col("event_id").cast("string"))).when(F.col("rule") == "semantic_emotion_contrast", F.concat(F.lit("Emotion contrast "), S.fixed(F.col("__delta"), 2))).otherwise(F.when(F.col("__still"), "Media switch: photo\u2192video").otherwise("Media switch: video\u2192photo"))
     semantic = told.select(key, F.lit(5).alias("step"), "rule", F.col("clip_idx").alias("clip_index"), text.alias("description"))
     return triples.unionByName(breaths).unionByName(jumps).unionByName(chapters).unionByName(semantic)
 

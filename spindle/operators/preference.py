@@ -16,7 +16,7 @@ PREFERRED, AVOIDED, FLOOR = 0.15, -0.20, 0.9
 
 def boosted(shots: DataFrame, favourite: Column) -> DataFrame:
     """Favourites are at least 0.9 sharp, exposed and stable."""
-    return shots.withColumns({c: F.when(favourite, F.greatest(F.col(c), F.lit(FLOOR))).otherwise(F.col(c)) for c in ("sharpness", "exposure", "stability")})
+    return shots.withColumns({c: F.when(favourite, F.greatest(F.col(c), F.lit(FLOOR))).otherwise(F.col(c)) for c in ("sharpness", "exposure", "stability") if c in shots.columns})
 
 
 def apply_lists(shots: DataFrame, favourites: DataFrame, excluded: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -192,7 +192,7 @@ def markers(clips: DataFrame, keys: Sequence[str] = ("project_id",), start: Colu
     """
     start = F.col("start_ms") / 1000 if start is None else start
     lit_ = F.coalesce(F.nullif(F.col("highlight_reason"), F.lit("")), F.lit("highlight"))
-    comment = F.concat(F.col("source_id").cast("string") if source is None else source, F.lit(" | score="), F.format_string("%.3f", F.lit(0.0) if score is None else score), F.lit(" | "), F.lit("") if why is None else why)
+    comment = F.concat(F.col("source_id").cast("string") if source is None else source, F.lit(" | score="), S.fixed(F.lit(0.0) if score is None else score, 3), F.lit(" | "), F.lit("") if why is None else why)
 
     def first(by: str, kind: str, name: Column, note: Column, colour: str) -> DataFrame:
         rows = clips.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, by).orderBy("clip_idx"))).filter("__n = 1")

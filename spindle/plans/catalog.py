@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from spindle.functions import scores as S
 from spindle.operators import grammar, music, planner, preference, sequence, summary
 from spindle.plans.templates import GROWTH, PROFILES, TEMPLATES, TRACK, ShotDetect
-from spindle.sources import ingest
+from spindle.sources import ingest, reports
 from spindle.sources.views import media, media_sql, table
 
 DAY = 86_400
@@ -194,11 +194,11 @@ def parse_creation_time(s, d):
 
 
 @query("events_per_source", f"""{_SHOTS}, f AS (SELECT project_id, source_id, min(media_id) AS first_id, arg_min(CASE WHEN media_id % 7 <> 0 THEN epoch_us(ts) ELSE -1 END, media_id) AS us FROM s GROUP BY ALL),
-k AS (SELECT *, CASE WHEN us >= 0 THEN make_timestamp(us) END AS at FROM f),
-g AS (SELECT *, CASE WHEN at IS NOT NULL AND date_diff('microsecond', lag(at) OVER w, at) > {DAY * 1000000} THEN 1 ELSE 0 END AS brk, row_number() OVER w AS turn FROM k WINDOW w AS (PARTITION BY project_id, at IS NULL ORDER BY at, first_id)),
-n AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY project_id, at IS NULL ORDER BY at, first_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS id FROM g),
-x AS (SELECT *, max(CASE WHEN at IS NOT NULL THEN id END) OVER (PARTITION BY project_id) AS top FROM n)
-SELECT s.project_id, s.source_id, s.media_id, CAST(CASE WHEN at IS NOT NULL THEN id ELSE coalesce(top + turn, 0) END AS BIGINT) AS event_id FROM s JOIN x USING (project_id, source_id)""")
+k AS (SELECT *, CASE WHEN us >= 0 THEN make_timestamp(us) END AS tm FROM f),
+g AS (SELECT *, CASE WHEN tm IS NOT NULL AND date_diff('microsecond', lag(tm) OVER w, tm) > {DAY * 1000000} THEN 1 ELSE 0 END AS brk, row_number() OVER w AS turn FROM k WINDOW w AS (PARTITION BY project_id, tm IS NULL ORDER BY tm, first_id)),
+n AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY project_id, tm IS NULL ORDER BY tm, first_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS id FROM g),
+x AS (SELECT *, max(CASE WHEN tm IS NOT NULL THEN id END) OVER (PARTITION BY project_id) AS top FROM n)
+SELECT s.project_id, s.source_id, s.media_id, CAST(CASE WHEN tm IS NOT NULL THEN id ELSE coalesce(top + turn, 0) END AS BIGINT) AS event_id FROM s JOIN x USING (project_id, source_id)""")
 def events_per_source(s, d):
     """All shots of a source are of one event; the times of some sources are unknown."""
     rows = shots(s, d).withColumn("ts", F.when(F.col("media_id") % 7 != 0, F.col("ts")))
@@ -480,6 +480,49 @@ query("chapter_durations", f"{_CLIPS} SELECT project_id, chapter, sum(duration_m
 query("story_structure", f"{_CLIPS} SELECT project_id, chapter, count(DISTINCT event_id) AS events, count(*) AS clips FROM c GROUP BY ALL")(lambda s, d: summary.story_structure(clips(s, d)).select("project_id", "chapter", F.size("events").cast("bigint").alias("events"), F.aggregate("events", F.lit(0).cast("bigint"), lambda a, e: a + F.size(e["clips"])).alias("clips")))
 
 
+# Files of reports, over the timeline and over a selection of it.
+def report_shots(s: SparkSession, d: str) -> DataFrame:
+    return sessions(s, d).withColumns({"source": F.concat(F.lit("/media/"), "media_id", F.lit(".mov")), "name": F.concat("media_id", F.lit(".mov")), "start": F.lit(0.0), "end": F.col("duration_ms") / 1000})
+
+
+def timeline(s: SparkSession, d: str) -> DataFrame:
+    rows = clips(s, d).withColumns({"source": F.concat(F.lit("/media/"), "media_id", F.lit(".mov")), "name": F.concat("media_id", F.lit(".mov")), "timeline_start": F.col("start_ms") / 1000, "timeline_end": F.col("end_ms") / 1000, "in_point": F.lit(0.0), "out_point": F.col("duration_ms") / 1000})
+    return rows.withColumns({"total_score": S.overall(), "selection_reason": F.concat(F.lit("event="), "event_id"), "transition_in": F.lit("cut"), "transition_out": F.lit("cut"), "window_score": F.col("highlight_score")})
+
+
+_METRICS = ", ".join(f"printf('%.4f', {m}) AS {m}" for m in reports.METRICS)
+_FILE = "'/media/' || media_id || '.mov'"
+query("selected_clips", f"{_CLIPS} SELECT project_id, clip_idx, {_FILE} AS source, media_type, event_id, printf('%.2f', 0e0) AS in_point, printf('%.2f', duration_ms / 1000e0) AS out_point, printf('%.2f', start_ms / 1000e0) AS timeline_start, printf('%.2f', end_ms / 1000e0) AS timeline_end, chapter, printf('%.4f', {_OVERALL}) AS total_score, {_METRICS}, 'event=' || event_id AS reason FROM c")(lambda s, d: reports.selected_rows(timeline(s, d)))
+query("rejected_clips", f"{_CLIPS} SELECT project_id, media_id, {_FILE} AS source, media_type, event_id, shot_role, '0.00' AS start_sec, printf('%.2f', duration_ms / 1000e0) AS end_sec, printf('%.2f', duration_ms / 1000e0) AS duration, {_METRICS}, printf('%.4f', {_OVERALL}) AS overall_quality, {_REASON} AS rejection_reason FROM c WHERE NOT ({_PICKED})")(lambda s, d: reports.rejected_rows(timeline(s, d).filter(_PICKED), report_shots(s, d)))
+query("candidates_csv", f"{_sessions()} SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY {_OVERALL} DESC, media_id) AS INTEGER) AS place, media_id || '.mov' AS filename, media_type, event_id, shot_role, '0.00' AS start_sec, printf('%.2f', duration_ms / 1000e0) AS end_sec, printf('%.2f', duration_ms / 1000e0) AS duration, {_METRICS}, printf('%.4f', {_OVERALL}) AS overall_quality, printf('%.4f', highlight_score) AS highlight_score, highlight_reason FROM e")(lambda s, d: reports.candidate_rows(report_shots(s, d)))
+query("events_csv", f"{_EVENTS} SELECT project_id, event_id, shot_count, printf('%.1f', total_duration) AS total_duration, printf('%.3f', avg_quality) AS avg_quality, printf('%.3f', emotion_intensity) AS emotion_intensity, time_range, 'keep' AS action FROM ranked")(lambda s, d: reports.event_rows(report_shots(s, d)))
+query("story_note_lines", f"""{_EVENTS}, o AS (SELECT *, CAST(row_number() OVER (PARTITION BY project_id ORDER BY ts, media_id) - 1 AS INTEGER) AS clip_idx, count(*) OVER (PARTITION BY project_id) AS n,
+  sum(duration_ms) OVER (PARTITION BY project_id ORDER BY ts, media_id ROWS UNBOUNDED PRECEDING) AS end_ms, {_OVERALL} AS score FROM e),
+c AS (SELECT *, (end_ms - duration_ms) / 1000e0 AS t, CASE WHEN clip_idx::DOUBLE / n < 1e-1 THEN 'opening' WHEN clip_idx::DOUBLE / n < 1e-1 + 45e-2 THEN 'learning' WHEN clip_idx::DOUBLE / n < 1e-1 + 45e-2 + 3e-1 THEN 'highlights' ELSE 'closing' END AS chapter FROM o),
+tl AS (SELECT *, row_number() OVER (PARTITION BY project_id, chapter ORDER BY highlight_score < 5e-1, clip_idx) AS a, row_number() OVER (PARTITION BY project_id, chapter ORDER BY score, clip_idx) AS b FROM c),
+p AS (SELECT project_id, chapter, min(clip_idx) AS first, '## ' || chapter AS l1, '- Duration: ' || printf('%.1f', sum(duration_ms) / 1000e0) || 's, ' || count(*) || ' clips' AS l2, count(*) FILTER (highlight_score >= 5e-1) AS lit,
+  list('  - ' || media_id || '.mov @ ' || printf('%.1f', t) || 's (' || highlight_reason || ')' ORDER BY clip_idx) FILTER (highlight_score >= 5e-1 AND a <= 3) AS shown, list('  - ' || media_id || '.mov @ ' || printf('%.1f', t) || 's (score=' || printf('%.3f', score) || ')' ORDER BY score, clip_idx) FILTER (b <= 2) AS weak FROM tl GROUP BY ALL),
+ev AS (SELECT project_id, chapter, list('- Event ' || event_id || ': ' || time_range || ' (' || shot_count || ' shots)' ORDER BY event_id) AS told FROM (SELECT DISTINCT project_id, chapter, event_id FROM c) JOIN ranked USING (project_id, event_id) GROUP BY ALL),
+w AS (SELECT project_id, -1 AS first, ['# Story Notes', 'Total duration: ' || printf('%.1f', max(end_ms) / 1000e0) || 's, ' || count(*) || ' clips', ''] AS lines FROM c GROUP BY 1 UNION ALL
+  SELECT project_id, first, list_concat(list_concat([l1, l2], told), list_concat(CASE WHEN lit > 0 THEN list_concat(['- Highlights: ' || lit], shown) ELSE [] END, list_concat(list_concat(['- Suggested replacements:'], weak), ['']))) FROM p JOIN ev USING (project_id, chapter)),
+u AS (SELECT project_id, first, unnest(range(len(lines))) AS k, lines FROM w)
+SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY first, k) - 1 AS INTEGER) AS line_no, lines[k + 1] AS line FROM u""")(lambda s, d: reports.note_lines(timeline(s, d), report_shots(s, d)))
+
+
+@query("report_rows", f"""{_CLIPS}, k AS (SELECT project_id, count(*) AS total_clips, count(DISTINCT chapter) AS chapters, count(DISTINCT event_id) AS events, count(*) FILTER (highlight_score >= 5e-1) AS highlights, max(end_ms) / 1000e0 AS total_duration FROM c WHERE {_PICKED} GROUP BY 1),
+f AS (SELECT project_id, count(*) AS rejected_count, count(DISTINCT event_id) AS all_events FROM (SELECT project_id, event_id, {_PICKED} AS p FROM c) GROUP BY 1), x AS (SELECT project_id, count(*) AS n FROM c WHERE NOT ({_PICKED}) GROUP BY 1),
+ce AS (SELECT project_id, max(CAST(round({_EMOTION} * 1000000) AS BIGINT)) AS peak FROM c WHERE {_PICKED} GROUP BY 1)
+SELECT project_id, total_clips, total_duration, chapters, chapters AS story_chapters, chapters AS covered_chapters, total_clips AS selected, total_clips AS story_clips, highlights, all_events AS event_rows, {len(TRACK.sections)}::BIGINT AS sections, coalesce(n, 0) AS rejected_count FROM k JOIN f USING (project_id) LEFT JOIN x USING (project_id)""")
+def report_rows(s, d):
+    """The nested report of every project, by the sizes of its parts."""
+    found = reports.report_rows(timeline(s, d).filter(_PICKED), report_shots(s, d), TRACK)
+    size = lambda c: F.size(c).cast("bigint")
+    return found.select(
+        "project_id", "summary.total_clips", "summary.total_duration", size("summary.chapters").alias("chapters"), size("story_structure").alias("story_chapters"), size("role_coverage").alias("covered_chapters"), size("selected_clips").alias("selected"),
+        F.aggregate("story_structure", F.lit(0).cast("bigint"), lambda a, x: a + x["clip_count"]).alias("story_clips"), "kpi_summary.highlight_count", size("event_summary").alias("event_rows"), size("rhythm_alignment.sections").alias("sections"), "rejected_count",
+    ).withColumnRenamed("highlight_count", "highlights")
+
+
 # Plans.
 def plan_input(s: SparkSession, d: str) -> DataFrame:
     """Shots of each project in input order: videos before stills."""
@@ -503,11 +546,13 @@ query("plan_then_grammar")(lambda s, d: ruled(s, d))
 
 @query("comparison_before_after")
 def comparison_before_after(s, d):
-    """Violations and gradient before and after the rules, and the change."""
+    """The eight metrics of every project's plan before and after the rules, and their differences."""
+    plan = planned(s, d, "growth")
+    found = reports.comparison_rows(plan, grammar.apply(plan)[0], sessions(s, d), TRACK, PROFILES["growth"].target_duration_sec, True)
+    return found.select("project_id", *[F.col(f"{part}.{c}").alias(f"{part}_{c}") for part in ("before", "after", "delta") for c in reports.COMPARED])
 
-    def measured(frame: DataFrame, name: str) -> DataFrame:
-        both = grammar.violations(frame).join(grammar.emotion_gradient(frame), "project_id")
-        return both.select("project_id", (F.col("same_role") + F.col("needs_breath")).alias(f"{name}_violations"), F.col("emotion_gradient").alias(f"{name}_gradient"))
 
-    before, after = measured(planned(s, d, "growth"), "before"), measured(ruled(s, d), "after")
-    return before.join(after, "project_id").withColumns({"violations_delta": F.col("after_violations") - F.col("before_violations"), "gradient_delta": F.col("after_gradient") - F.col("before_gradient")})
+@query("grammar_report")
+def grammar_report(s, d):
+    """What the rules found in every project's plan."""
+    return grammar.apply(planned(s, d, "growth"))[1].withColumn("details", F.to_json("details"))

@@ -116,7 +116,7 @@ def metadata(probe: Column) -> Column:
     """Duration, time, size, rate and place from a probe's JSON."""
     j = F.from_json(probe, PROBE)
     tags = j["format"]["tags"]
-    video = F.filter(j["streams"], lambda s: s["codec_type"] == "video")[0]
+    video = F.get(F.filter(j["streams"], lambda s: s["codec_type"] == "video"), F.lit(0))
     rate = F.split(video["r_frame_rate"], "/")
     place = F.coalesce(tags["com.apple.quicktime.location.ISO6709"], F.lit(""))
     bare = F.replace(place, F.lit("/"), F.lit(""))
