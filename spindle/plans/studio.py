@@ -87,7 +87,7 @@ def analysed(media: DataFrame, frames: DataFrame, project: Project) -> DataFrame
     videos, stills = known.filter("media_type = 'video'"), known.filter("media_type = 'photo'")
     found = sequence.detect_shots(frames.join(videos.select("source"), "source"), ["source"], project.shot_detect)
     shots = found.unionByName(sequence.photo_shots(stills, ["source"], STILL_SECONDS)).join(known, "source")
-    shots = score_shots(shots, frames).withColumns({"ts": ingest.creation_time(F.col("creation_time")), "name": F.substring_index("source", "/", -1), "project_id": F.lit(0).cast("bigint")})
+    shots = score_shots(shots, frames).withColumns({"ts": ingest.creation_time(F.col("creation_time")), "name": F.substring_index("source", "/", -1), "project_id": F.lit(0).cast("bigint"), "duration_ms": (F.col("end") - F.col("start")) * 1000})
     order = Window.orderBy(F.col("media_type") == "photo", F.split("source", "/"), "shot_index")  # one project's shots
     return shots.withColumn("media_id", F.row_number().over(order).cast("bigint"))
 
