@@ -228,16 +228,6 @@ def test_toxicity_of_rows_it_has_not_seen(spark):
     assert toxic > 50 and hits / toxic > 0.85 and hits / flagged > 0.95
 
 
-def test_later_links_use_earlier_probabilities():
-    rng = np.random.default_rng(0)
-    y = (rng.random(600) < 0.4).astype(float)
-    rows = [(np.array([1, 2] if v else [3]), np.ones(2 if v else 1)) for v in y]
-    model = toxicity.fit(rows, np.column_stack([y, y]))
-    assert len(model.links) == 2 and model.links[1][1].shape == (1,) and model.links[1][1][0] > 0
-    p = model.predict(np.array([1, 2]), np.ones(2))
-    assert p[0] > 0.9 and p[1] > 0.9 and model.predict(np.empty(0, np.int64), np.empty(0)) == [0.0, 0.0]
-
-
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.MODEL)
 PIECES = sentence_pieces.loaded(LIBRARY.serialized_model_proto())
 
