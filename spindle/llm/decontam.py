@@ -46,6 +46,8 @@ PART_BYTES, STARTS, POINTS = 16_000_000, 4096, 1 << 20
 WORTH, LEAST = RADIUS // BLOCKS + 1, (RADIUS // BLOCKS + 1) * BLOCKS - RADIUS
 FOUND = "array<struct<item_id:bigint,start_word:int,n_words:int,similarity:double,hamming:int>>"
 ONES = np.array([bin(a).count("1") for a in range(256)], np.uint8)
+#: What a byte may differ by and still give points.
+NEAR = np.flatnonzero(ONES < WORTH).astype(np.uint8)
 
 
 def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -93,9 +95,10 @@ def simhash(hashes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 
 def lists(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The inverted lists of a block's bytes: where each of the 256 begins, and item * 4 + points of all."""
-    found = [np.flatnonzero(ONES[prints ^ np.uint8(v)] < WORTH) for v in range(256)]
-    points = [WORTH - ONES[prints[f] ^ np.uint8(v)].astype(np.int64) for v, f in enumerate(found)]
-    return np.concatenate([[0], np.cumsum([len(f) for f in found])]), np.concatenate([f * 4 + p for f, p in zip(found, points, strict=True)]).astype(np.int32)
+    byte = (prints[:, None] ^ NEAR).ravel()
+    entry = (np.arange(len(prints), dtype=np.int32)[:, None] * 4 + (WORTH - ONES[NEAR]).astype(np.int32)).ravel()
+    order = np.argsort(byte, kind="stable")
+    return np.searchsorted(byte[order], np.arange(257)), entry[order]
 
 
 class Items:
