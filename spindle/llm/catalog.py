@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindle.llm import chat, decontam, langid, ngram_join, pii, secrets, sentence_pieces, timestamps, topk, toxicity, url_filter
+from spindle.llm import centroids, chat, decontam, langid, ngram_join, pii, secrets, sentence_pieces, timestamps, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_sentencepiece": lambda s, d: sentence_pieces.report(table(s, d, "documents")),
     "op9_chat_format": lambda s, d: chat.report(table(s, d, "conversations")),
     "op10_exact_topk": lambda s, d: topk.report(table(s, d, "embeddings")),
+    "op11_centroids": lambda s, d: centroids.report(table(s, d, "embeddings")),
     "op13_timestamps": lambda s, d: timestamps.report(table(s, d, "stamps")),
 }
 
@@ -33,5 +34,6 @@ def oracles() -> dict[str, str]:
         "op5_ngram_jaccard": ngram_join.ORACLE,
         "op9_chat_format": chat.ORACLE,
         "op10_exact_topk": topk.ORACLE,
+        "op11_centroids": centroids.ORACLE,
         "op13_timestamps": timestamps.ORACLE,
     }

@@ -46,11 +46,16 @@ ASKED = "vec_id bigint, code bigint, dim int, v binary"
 BOUNDS = "query_id bigint, vec_id bigint, code bigint, copies int, low double, high double, score bigint"
 
 
-def finite(vectors: DataFrame) -> DataFrame:
-    """(vec_id, x): whole, finite vectors as doubles."""
+def kept(vectors: DataFrame) -> DataFrame:
+    """(vec_id, x): whole, finite vectors as doubles, ids as longs."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     good = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    return vectors.select("vec_id", x.alias("x")).filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & good)
+    return vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), x.alias("x")).filter(F.col("x").isNotNull() & good)
+
+
+def finite(vectors: DataFrame) -> DataFrame:
+    """Those of them that have an id."""
+    return kept(vectors).filter("vec_id IS NOT NULL")
 
 
 def floored(x: np.ndarray, scale: int) -> np.ndarray:
