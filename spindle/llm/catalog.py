@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindle.llm import centroids, chat, decontam, langid, ngram_join, pii, secrets, sentence_pieces, timestamps, topk, toxicity, url_filter
+from spindle.llm import centroids, chat, decontam, langid, ngram_join, pii, secrets, sentence_pieces, suffix_dedup, timestamps, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,7 @@ QUERIES = {
     "op9_chat_format": lambda s, d: chat.report(table(s, d, "conversations")),
     "op10_exact_topk": lambda s, d: topk.report(table(s, d, "embeddings")),
     "op11_centroids": lambda s, d: centroids.report(table(s, d, "embeddings")),
+    "op12_suffix_dedup": lambda s, d: suffix_dedup.report(table(s, d, "documents")),
     "op13_timestamps": lambda s, d: timestamps.report(table(s, d, "stamps")),
 }
 
