@@ -42,8 +42,9 @@ class Shard:
 def shard(text: np.ndarray, lengths: np.ndarray, rank: np.ndarray, depth: int) -> Shard:
     """The shard of strings given one after another; ``rank`` numbers bytes from 1, keeping their order.
 
-    Rotations are sorted by at least ``depth`` symbols, doubling the length that
-    is sorted in each step. Strings must be of ``depth`` bytes or more.
+    Rotations are sorted by at least ``depth`` symbols: by as many as a key
+    holds, then those that are still equal by the ranks of what follows, three
+    times as many symbols in each step. Strings must be of ``depth`` bytes or more.
     """
     sizes = np.asarray(lengths, np.int64) + 1
     ends = np.cumsum(sizes)
@@ -54,25 +55,39 @@ def shard(text: np.ndarray, lengths: np.ndarray, rank: np.ndarray, depth: int) -
     narrow = np.int32 if len(symbols) < 2**31 else np.int64
     size = np.repeat(sizes, sizes).astype(narrow)
     offset = (np.arange(len(symbols)) - np.repeat(ends - sizes, sizes)).astype(narrow)
-    place = np.arange(len(symbols), dtype=narrow)
 
-    def ahead(values: np.ndarray, n: int) -> np.ndarray:
-        return values[place + n - size * (offset + n >= size)]
+    def ahead(at: np.ndarray, n: int) -> np.ndarray:
+        own = offset[at]
+        return at - own + (own + n) % size[at]
 
+    every = np.arange(len(symbols), dtype=narrow)
     bits = int(rank.max(initial=0)).bit_length()
     known, key = 1, symbols.astype(np.uint64)
     while known * 2 * bits <= 64 and known < depth:
-        key = (key << np.uint64(known * bits)) | ahead(key, known)
+        key = (key << np.uint64(known * bits)) | key[ahead(every, known)]
         known *= 2
-    order = np.argsort(key)
-    while known < depth:
-        sorted_key = key[order]
-        new = np.empty(len(order), np.uint64)
-        new[order] = np.cumsum(np.r_[False, sorted_key[1:] != sorted_key[:-1]][: len(order)])
-        key = (new << np.uint64(32)) | ahead(new, known)
-        known *= 2
-        order = np.argsort(key)
-    return Shard(symbols, offset, size, order.astype(narrow))
+    order = np.argsort(key).astype(narrow)
+    slots, place, key = every, order, key[order]
+    first = np.empty(len(symbols), np.uint64)  # by place: the first slot of those equal to it so far
+    short = len(symbols) < 2**21
+    while len(slots):
+        new = np.r_[True, key[1:] != key[:-1]]
+        first[place] = slots[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        tied = ~new
+        tied[:-1] |= tied[1:]
+        slots = slots[tied]
+        if known >= depth or not len(slots):
+            break
+        place = order[slots]
+        if short:
+            key = (first[place] << np.uint64(42)) | (first[ahead(place, known)] << np.uint64(21)) | first[ahead(place, 2 * known)]
+        else:
+            key = (first[place] << np.uint64(32)) | first[ahead(place, known)]
+        known *= 3 if short else 2
+        by = np.argsort(key)
+        place, key = place[by], key[by]
+        order[slots] = place
+    return Shard(symbols, offset, size, order)
 
 
 def grams(shards: list[Shard], n: int, alphabet: int) -> list[np.ndarray] | None:
@@ -109,21 +124,23 @@ def merged(shards: list[Shard], depth: int, alphabet: int) -> tuple[np.ndarray,
         codes[n] = grams(shards, n, alphabet)
         if codes[n] is not None:
             steps += [n] * ((depth - sum(steps)) // n)
-    at = [(s.offset[s.order], s.size[s.order]) for s in shards]
+    byte = np.uint8 if max((int(s.size.max(initial=0)) for s in shards), default=0) < 256 else np.int64
+    at = [(s.offset[s.order].astype(byte), (s.size - s.offset)[s.order].astype(byte)) for s in shards]
 
     def rows(h: int) -> list[np.ndarray]:
-        return [s.order[(off >= depth - h) & (off < size - h)] for s, (off, size) in zip(shards, at, strict=True)]
+        return [s.order[np.flatnonzero((off >= depth - h) & (left > h))] for s, (off, left) in zip(shards, at, strict=True)]
 
     from_shard = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(r) for r in rows(0)])
     group, h = np.zeros(len(from_shard), np.int32), 0
     for n in steps:
         before = np.empty(len(from_shard), np.uint16)
         for i, own in enumerate(rows(h)):
-            before[from_shard == i] = codes[n][i][own - n]
+            before[np.flatnonzero(from_shard == i)] = codes[n][i][own - n]
         turn = np.argsort(before, kind="stable")
         from_shard, group, before = from_shard[turn], group[turn], before[turn]
         new = (group[1:] != group[:-1]) | (before[1:] != before[:-1])
-        group = np.r_[np.zeros(min(1, len(group)), np.int32), np.cumsum(new, dtype=np.int32)]
+        group = np.zeros(len(from_shard), np.int32)
+        np.cumsum(new, out=group[1:])
         h += n
     place = np.empty(len(from_shard), np.int64)
     for i, own in enumerate(rows(depth)):

@@ -42,19 +42,21 @@ from spindle.llm import bwt, shared
 
 #: Bytes of a string that counts, and of the pieces that anchors are chosen from.
 LENGTH, GRAM = 50, 25
-#: Bytes of a unit; bytes of text for each bucket of anchors and of texts; documents from which an anchor is hot; shards of a bucket.
-UNIT, ANCHOR_BUCKET, TEXT_BUCKET, HOT, SHARDS = 4_000_000, 16_000_000, 1_000_000, 20_000, 4
+#: Bytes of a unit; bytes of text for each bucket of anchors and of texts; parts of the latter, merged one after another;
+#: documents from which an anchor is hot; shards of a part.
+UNIT, ANCHOR_BUCKET, TEXT_BUCKET, PARTS, HOT, SHARDS = 4_000_000, 16_000_000, 8_000_000, 8, 20_000, 4
 #: Bytes hashed at once, and the bits of a hash; places within a piece take the other 17.
 PIECE, HASH = 1 << 16, 47
 BASE, WORD = 0x9E3779B97F4A7C15, 2**64
 UNITS = "unit bigint, n_bytes bigint, ids array<bigint>, sizes binary, text binary"
 SENT = "bucket int, unit bigint, hashes binary, documents binary"
 HEARD = "unit bigint, hashes binary, hot binary"
-TEXTS = "bucket int, unit bigint, text binary, low bigint, high bigint, places binary"
+TEXTS = "bucket int, unit bigint, texts binary"
 SHARED = "unit bigint, runs binary"
 CUT = "doc_id bigint, n_bytes bigint, starts array<bigint>, ends array<bigint>, kept binary"
 RUN = np.dtype([("document", "<u4"), ("at", "<i8"), ("n", "<u1"), ("low", "<i8")])
-PLACE = np.dtype([("document", "<u4"), ("at", "<i8")])
+#: Columns of the texts that a unit sends to a bucket; ``places`` counts the documents and starts that follow.
+SENT_TEXTS = {"part": "<u1", "size": "<u1", "low": "<i8", "high": "<i8", "places": "<u4", "document": "<u4", "at": "<i8", "text": "<u1"}
 
 
 def packed(most: int):
@@ -137,7 +139,8 @@ def anchored(unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         # A run also ends where a document does; ``good`` is false before each new one.
         first = np.flatnonzero(new)
         run = np.cumsum(new)[good] - 1
-        hashes.append(key[first] >> np.uint64(64 - HASH))
+        # The least of many hashes is small: its bits are turned over, so that buckets are even.
+        hashes.append((key[first] >> np.uint64(64 - HASH)) * np.uint64(BASE) & np.uint64(2**HASH - 1))
         at.append(first + x)
         n.append(np.bincount(run, minlength=len(first)))
     if not hashes:
@@ -203,13 +206,28 @@ def repeated(most: int):
     return run
 
 
+def sent_texts(columns: dict[str, np.ndarray]) -> bytes:
+    """SENT_TEXTS of a unit and a bucket, one column after another, compressed."""
+    head = np.array([len(columns[k]) for k in ("size", "document", "text")], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(columns[k].astype(kind).tobytes() for k, kind in SENT_TEXTS.items()))
+
+
+def got_texts(blob: bytes) -> dict[str, np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n, places, size = np.frombuffer(data, "<i8", 3).tolist()
+    out, at = {}, 24
+    for k, kind in SENT_TEXTS.items():
+        out[k] = np.frombuffer(data, kind, size if k == "text" else places if k in ("document", "at") else n, at)
+        at += out[k].nbytes
+    return out
+
+
 def around(n_buckets: int):
     """The texts around the anchors that a unit heard of, each once, with the least and the greatest id and the places."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["bucket", "unit", "text", "low", "high", "places"]
         if not len(left) or not len(right):
-            return pd.DataFrame([], columns=columns)
+            return pd.DataFrame([], columns=["bucket", "unit", "texts"])
         unit = Unit(left.iloc[0])
         h, at, n = anchored(unit)
         heard = np.concatenate([from_bytes(x) for x in right["hashes"]])
@@ -227,23 +245,24 @@ def around(n_buckets: int):
             at = np.concatenate([at[~hot], single])
         document = np.searchsorted(unit.ends, at, side="right")
         text = unit.text.tobytes()
-        which, distinct = pd.factorize(np.array([*(text[i : i + m] for i, m in zip(at.tolist(), (n + LENGTH - 1).tolist(), strict=True)), None], object)[:-1])
-        by = np.argsort(which, kind="stable")
-        first = np.flatnonzero(np.r_[True, which[by][1:] != which[by][:-1]][: len(by)])
-        ids = unit.ids[document[by]]
-        places = np.empty(len(by), PLACE)
-        places["document"], places["at"] = document[by], at[by]
-        cuts = [*first.tolist(), len(by)]
-        return pd.DataFrame(
-            {
-                "bucket": bucket_of(h[by][first], n_buckets),
-                "unit": left["unit"].iloc[0],
-                "text": distinct,
-                "low": np.minimum.reduceat(ids, first),
-                "high": np.maximum.reduceat(ids, first),
-                "places": [places[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)],
-            }
-        )
+        bucket = bucket_of(h, n_buckets * PARTS)
+        which, _ = pd.factorize(np.array([*(text[i : i + m] for i, m in zip(at.tolist(), (n + LENGTH - 1).tolist(), strict=True)), None], object)[:-1])
+        by = np.lexsort((which, bucket))  # equal texts have one anchor, so one bucket
+        which, bucket, at, n, document = which[by], bucket[by], at[by], n[by], document[by]
+        first = np.flatnonzero(np.r_[True, which[1:] != which[:-1]][: len(which)])
+        ids = unit.ids[document]
+        size = (n + LENGTH - 1)[first]
+        columns = {"part": bucket[first] % PARTS, "size": size, "low": np.minimum.reduceat(ids, first), "high": np.maximum.reduceat(ids, first), "places": np.diff(np.r_[first, len(which)])}
+        own = bucket[first] // PARTS
+        cuts = np.r_[np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)]), len(own)]
+        begins, places = at[first], np.r_[first, len(which)]
+        rows = []
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            here = slice(places[i], places[j])
+            sent = {k: v[i:j] for k, v in columns.items()} | {"document": document[here], "at": at[here]}
+            sent["text"] = unit.text[bwt.spread(begins[i:j], size[i:j])[0]]
+            rows.append((int(own[i]), left["unit"].iloc[0], sent_texts(sent)))
+        return pd.DataFrame(rows, columns=["bucket", "unit", "texts"])
 
     return run
 
@@ -281,26 +300,56 @@ def least(texts: list[bytes], low: np.ndarray, high: np.ndarray) -> tuple[np.nda
     return of_slot[first], first - begins[of_slot[first]], count, lowest[first]
 
 
+def sent_runs(runs: np.ndarray) -> bytes:
+    """Runs of RUN, one column after another, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(len(runs).to_bytes(8, "little") + b"".join(runs[k].tobytes() for k in RUN.names))
+
+
+def got_runs(blob: bytes) -> np.ndarray:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    out, at = np.empty(int.from_bytes(data[:8], "little"), RUN), 8
+    for k in RUN.names:
+        out[k] = np.frombuffer(data, RUN[k], len(out), at)
+        at += out[k].nbytes
+    return out
+
+
 def compared(part: pd.DataFrame) -> pd.DataFrame:
     """To each unit, the runs of its strings that over one document has, with the least id of such a document."""
-    which, texts = pd.factorize(part["text"].to_numpy())
+    got = [got_texts(x) for x in part["texts"]]
+    whole = {k: np.concatenate([g[k] for g in got]) for k in SENT_TEXTS}
+    whole["unit"] = np.repeat(part["unit"].to_numpy(np.int64), [len(g["size"]) for g in got])
+    del got
+    whole["from"] = np.r_[0, np.cumsum(whole["size"], dtype=np.int64)[:-1]]
+    whole["first"] = np.r_[0, np.cumsum(whole["places"], dtype=np.int64)[:-1]]
+    units, runs = zip(*(merged_part(whole, np.flatnonzero(whole["part"] == k)) for k in np.unique(whole["part"])), strict=True)
+    unit, found = np.concatenate(units), np.concatenate(runs)
+    by = np.argsort(unit, kind="stable")
+    unit, found = unit[by], found[by]
+    cuts = np.r_[np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]][: len(unit)]), len(unit)]
+    return pd.DataFrame([(int(unit[i]), sent_runs(found[i:j])) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], columns=["unit", "runs"])
+
+
+def merged_part(whole: dict[str, np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unit, RUN) of every place of the texts of one part of a bucket."""
+    data = whole["text"].tobytes() if len(rows) == len(whole["size"]) else None
+    begin, size = whole["from"][rows], whole["size"][rows].astype(np.int64)
+    if data is None:
+        own = whole["text"][bwt.spread(begin, size)[0]]
+        data, begin = own.tobytes(), np.r_[0, np.cumsum(size)[:-1]]
+    which, texts = pd.factorize(np.array([*(data[i : i + m] for i, m in zip(begin.tolist(), size.tolist(), strict=True)), None], object)[:-1])
     low, high = np.full(len(texts), np.iinfo(np.int64).max), np.full(len(texts), np.iinfo(np.int64).min)
-    np.minimum.at(low, which, part["low"].to_numpy(np.int64))
-    np.maximum.at(high, which, part["high"].to_numpy(np.int64))
+    np.minimum.at(low, which, whole["low"][rows])
+    np.maximum.at(high, which, whole["high"][rows])
     text, start, n, lowest = least(list(texts), low, high)
     first = np.searchsorted(text, np.arange(len(texts)))
     many = np.bincount(text, minlength=len(texts))
-    places = np.frombuffer(b"".join(part["places"]), PLACE)
-    row = np.repeat(np.arange(len(part)), part["places"].map(len).to_numpy() // PLACE.itemsize)
-    run, which_place = bwt.spread(first[which[row]], many[which[row]])
+    place, row = bwt.spread(whole["first"][rows], whole["places"][rows].astype(np.int64))
+    run, of = bwt.spread(first[which[row]], many[which[row]])
     found = np.empty(len(run), RUN)
-    found["document"], found["at"] = places["document"][which_place], places["at"][which_place] + start[run]
+    found["document"], found["at"] = whole["document"][place[of]], whole["at"][place[of]] + start[run]
     found["n"], found["low"] = n[run], lowest[run]
-    unit = part["unit"].to_numpy(np.int64)[row[which_place]]
-    by = np.argsort(unit, kind="stable")
-    unit, found = unit[by], found[by]
-    cuts = np.r_[np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]][: len(unit)]), len(unit)]
-    return pd.DataFrame([(int(unit[i]), found[i:j].tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], columns=["unit", "runs"])
+    return whole["unit"][rows][row[of]], found
 
 
 def cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -309,7 +358,7 @@ def cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     if not len(left):
         return pd.DataFrame([], columns=columns)
     unit = Unit(left.iloc[0])
-    runs = np.frombuffer(b"".join(right["runs"]), RUN)
+    runs = np.concatenate([np.zeros(0, RUN), *map(got_runs, right["runs"])])
     runs = runs[runs["low"] < unit.ids[runs["document"]]]
     change = np.zeros(len(unit.text) + 1, np.int32)
     np.add.at(change, runs["at"], 1)
