@@ -66,7 +66,9 @@ def change_boundaries(rms: DataFrame, keys: Sequence[str], frame: str, t: str, v
         peaks = np.empty(0, np.int64)
         if len(loud) >= 10 and wide >= 3:
             change = np.abs(np.diff(np.convolve(loud, np.ones(wide) / wide, mode="same")))
-            peaks = np.flatnonzero(change > np.percentile(change, share))
+            # Changes that are equal but for rounding are equal here: sums may be added up in any order.
+            change = np.round(change / (change.max() or 1.0), 9)
+            peaks = np.flatnonzero(change > np.round(np.percentile(change, share), 9))
         for p in peaks:
             if times[p] - bounds[-1] >= gap:
                 bounds.append(float(times[p]))

@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Points that a fold keeps before it puts them away.
+FOLDED = 128
+#: Product of two histograms' sums up to which they are not scaled (fixed value).
+EMPTY = 1.1920929e-07
+
+
 def exact_mean(value: Column) -> Column:
     """A mean over millionths, which does not depend on the order of the rows."""
     return F.sum(F.floor(value * 1000000 + 0.5).cast("bigint")).cast("double") / F.count("*") / 1000000
@@ -56,13 +62,20 @@ def islands(rows: DataFrame, keys: Sequence[str], order: Sequence[str], inside:
 
 
 def min_gap_fold(points: Column, gap: float, first: float | None = None) -> Column:
-    """Of sorted points, those at least ``gap`` after the last one kept; begins with ``first`` if given."""
+    """Of sorted points, those at least ``gap`` after the last one kept; begins with ``first`` if given.
+
+    What is kept is put away FOLDED at a time, as each addition copies the array it is added to.
+    """
+    none = F.array().cast("array<array<double>>")
+    start = F.struct(F.lit(first).cast("double").alias("last"), F.array(*([] if first is None else [F.lit(float(first))])).cast("array<double>").alias("now"), none.alias("done"))
 
-    def step(kept: Column, p: Column) -> Column:
-        return F.when((F.size(kept) == 0) | (p - F.element_at(kept, -1) >= gap), F.concat(kept, F.array(p))).otherwise(kept)
+    def step(s: Column, p: Column) -> Column:
+        full = F.size(s["now"]) >= FOLDED
+        now = F.when(full, F.array(p)).otherwise(F.concat(s["now"], F.array(p)))
+        more = F.struct(p.alias("last"), now.alias("now"), F.when(full, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"))
+        return F.when(s["last"].isNull() | (p - s["last"] >= gap), more).otherwise(s)
 
-    zero = F.array().cast("array<double>") if first is None else F.array(F.lit(float(first)))
-    return F.aggregate(points, zero, step)
+    return F.aggregate(points, start, step, lambda s: F.flatten(F.concat(s["done"], F.array(s["now"]))))
 
 
 def garbage_merge(bounds: Column, min_sec: float) -> Column:
@@ -92,10 +105,10 @@ def shots_of(bounds: Column, min_sec: float) -> Column:
 
 
 def hist_distance(a: Column, b: Column) -> Column:
-    """Bhattacharyya distance of two histograms; 0 if one of them is empty."""
+    """Bhattacharyya distance of two histograms; 1 if one of them is empty, as then nothing is in common."""
     add = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    both = add(F.zip_with(a, b, lambda x, y: F.sqrt(x * y)))
-    return F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - F.coalesce(F.try_divide(both, F.sqrt(add(a) * add(b))), F.lit(1.0))))
+    both, product = add(F.zip_with(a, b, lambda x, y: F.sqrt(x * y))), add(a) * add(b)
+    return F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - F.when(product > EMPTY, both / F.sqrt(product)).otherwise(both)))
 
 
 def is_boundary(hist: Column, flow: Column, jump: Column, hist_at: float = 0.4, flow_at: float = 12.0, jump_at: float = 30.0) -> Column:

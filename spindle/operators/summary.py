@@ -207,8 +207,9 @@ def markers(clips: DataFrame, keys: Sequence[str] = ("project_id",), start: Colu
 
 
 def notes(clips: DataFrame, keys: Sequence[str] = ("project_id",), top: int = 3, weak: int = 2) -> DataFrame:
-    """Per chapter the first highlights and the weakest clips."""
+    """Per chapter the first highlights and the weakest clips, by the planner's total_score, or by quality where clips weren't planned."""
+    worth = F.col("total_score") if "total_score" in clips.columns else S.overall()
     per = Window.partitionBy(*keys, "chapter")
     lit = clips.filter(F.col("highlight_score") >= HIGHLIGHT).withColumn("place", F.row_number().over(per.orderBy("clip_idx"))).filter(F.col("place") <= top).withColumn("note", F.lit("highlight"))
-    low = clips.withColumn("place", F.row_number().over(per.orderBy(S.overall(), "clip_idx"))).filter(F.col("place") <= weak).withColumn("note", F.lit("weak"))
+    low = clips.withColumn("place", F.row_number().over(per.orderBy(worth, "clip_idx"))).filter(F.col("place") <= weak).withColumn("note", F.lit("weak"))
     return lit.unionByName(low).select(*keys, "chapter", "note", "place", "clip_idx", "media_id")

@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from spindle.functions import scores as S
 from spindle.operators import grammar, music, planner, preference, sequence, summary
 from spindle.plans.templates import Music, Output, Project, Section, load_profile
-from spindle.sources import ingest, reports, sinks
+from spindle.sources import ingest, reports, sinks, store
 
 logger = logging.getLogger(__name__)
 #: Exit codes (fixed values).
@@ -117,7 +117,7 @@ def taken_in(spark: SparkSession, folder: str, features: str, out: Path, project
     files = ingest.probed(ingest.scan(spark, folder), probe).withColumn("m", ingest.metadata(F.col("probe"))).select("media_path", "media_type", "file_hash", "file_size", "m.*")
     plain = files.withColumn("media_path", F.regexp_replace("media_path", "^file:/+", "/"))
     out.mkdir(parents=True, exist_ok=True)
-    media = kept(ingest.deduplicate(ingest.with_proxies(plain, str(out / "proxies"), proxy)), out, "media")
+    media = store.written(ingest.deduplicate(ingest.with_proxies(plain, store.proxies(spark, str(out)), proxy)), "media")
     index = reports.index_rows(media).orderBy(F.split("path", "/"))
     _json(out / "media_index.json", [json.loads(r[0]) for r in index.select(F.to_json(F.struct("*"))).collect()])  # a folder's files
     usable = ingest.usable(media)
@@ -125,14 +125,7 @@ def taken_in(spark: SparkSession, folder: str, features: str, out: Path, project
     if usable.filter("media_type IN ('video', 'photo')").isEmpty():
         raise NoMedia(folder)
     frames = feature(spark, features, "frames", root)
-    return Material(media, kept(analysed(usable, frames, project), out, "analysed"), frames), skipped
-
-
-def kept(frame: DataFrame, out: Path, name: str) -> DataFrame:
-    """``frame`` as a table below the output folder, which all executors see: each step's plan begins with the last one's table."""
-    path = (out / "work" / name).resolve().as_uri()
-    frame.write.mode("overwrite").parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    return Material(media, store.written(analysed(usable, frames, project), "analysed"), frames), skipped
 
 
 def _json(path: Path, value: object) -> None:
@@ -168,7 +161,7 @@ def review(spark: SparkSession, folder: str, features: str, output: str, project
     """Candidates, events and lists to fill in, as files below output/review."""
     out = Path(output)
     material, _ = taken_in(spark, folder, features, out, project, probe)
-    shots = kept(told(sequence.assign_events(material.shots, KEYS, "source", "ts", "media_id")), out, "shots")
+    shots = store.written(told(sequence.assign_events(material.shots, KEYS, "source", "ts", "media_id")), "shots")
     _csv(out / "review" / "candidates.csv", reports.candidate_rows(shots), "place")
     _csv(out / "review" / "events.csv", reports.event_rows(shots), "event_id")
     for name, title in (("favorites", "Favorites: uncomment items to force-include them"), ("exclude", "Exclude: uncomment items to force-exclude them")):
@@ -202,13 +195,13 @@ def run(spark: SparkSession, folder: str, features: str, output: str, project: P
     every = material.shots.withColumn("event_id", F.lit(-1).cast("bigint"))
     # Events are not known yet, so here the lists' names count; events count in what is learned.
     shots = preference.apply_lists(every, liked.withColumn("event_id", F.lit(None).cast("bigint")), unliked.withColumn("event_id", F.lit(None).cast("bigint")), ["name", "event_id"]).drop("event_id", "is_favourite") if lists else every.drop("event_id")
-    shots = kept(told(sequence.assign_events(shots, KEYS, "source", "ts", "media_id")), out, "told")
+    shots = store.written(told(sequence.assign_events(shots, KEYS, "source", "ts", "media_id")), "told")
     frames = material.frames.select("source", "frame_idx", "fps", S.frame_quality(S.sharpness_of(F.col("laplacian_var")), S.exposure_of(F.col("luma_mean")), F.col("n_faces")).alias("frame_score"))
     shots = shots.withColumn("overall", S.overall())
     rate = frames.groupBy("source").agg(F.max("fps").alias("fps"))
     seen = frames.drop("fps").join(shots.select("source", "media_id"), "source").select("media_id", "frame_idx", "frame_score")
     shots = sequence.best_window(shots.join(rate, "source", "left"), seen, fps=F.coalesce("fps", F.lit(30.0))).drop("fps")
-    shots = kept(shots, out, "shots")
+    shots = store.written(shots, "shots")
     structure = structure_of(spark, features, str(Path(folder).resolve()), track)
     saved = out / "user_profile.json"
     wanted = shots.withColumn("preference", F.lit(0.0))
@@ -225,12 +218,12 @@ def run(spark: SparkSession, folder: str, features: str, output: str, project: P
     ready = wanted.withColumns({"input_idx": F.col("media_id").cast("int"), "emotion": S.emotion(), "at": F.unix_micros(F.col("ts")), "hhmm": F.date_format("ts", "HH:mm")})
     numbers = shots.select("source").distinct().withColumn("source_id", F.dense_rank().over(Window.orderBy("source")).cast("bigint"))
     ready = ready.join(numbers, "source")
-    planned = kept(planner.plan(ready, project, structure), out, "planned")
+    planned = store.written(planner.plan(ready, project, structure), "planned")
     clips, told_rules = grammar.apply(planned)
-    clips, told_rules = kept(clips, out, "clips"), kept(told_rules, out, "rules")
+    clips, told_rules = store.written(clips, "clips"), store.written(told_rules, "rules")
     for r in sequence.timeline_issues(clips.withColumns({"start_ms": F.col("timeline_start") * 1000, "end_ms": F.col("timeline_end") * 1000}), KEYS, ["clip_idx"]).collect():
         logger.warning("%s of %.2f s before clip %d", r["issue"], abs(r["gap_ms"]) / 1000, r["clip_idx"])
-    timeline, before = kept(timeline_of(clips, shots), out, "timeline"), kept(timeline_of(planned, shots), out, "before")
+    timeline, before = store.written(timeline_of(clips, shots), "timeline"), store.written(timeline_of(planned, shots), "before")
     sources = material.media.withColumnRenamed("media_path", "source")
     why = {"start": F.col("timeline_start"), "score": F.col("total_score"), "why": F.col("selection_reason"), "source": F.col("name")}
     marks = summary.markers(timeline, KEYS, **why)

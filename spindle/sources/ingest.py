@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import subprocess
 from collections.abc import Callable, Sequence
 from pathlib import Path
+from typing import IO
+from urllib.parse import quote
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 # Suffixes by kind and folders that a scan passes over.
@@ -17,6 +23,8 @@ SUFFIXES = {"video": ("mov", "mp4", "m4v"), "photo": ("jpg", "jpeg", "heic", "pn
 SKIP = (".venv", "venv", "node_modules", "__pycache__", ".git", "output")
 PROBE = "struct<streams:array<struct<codec_type:string,width:int,height:int,r_frame_rate:string>>,format:struct<duration:string,tags:map<string,string>>>"
 TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ssXX", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXX")
+#: Bytes of a file read at once when it is hashed, and up to which Spark's own reader hashes it whole.
+CHUNK, WHOLE = 8 << 20, 32 << 20
 #: Seconds that a tool may take to say its version, to describe a file and to make a proxy.
 VERSION_S, PROBE_S, PROXY_S = 10, 30, 60
 
@@ -87,14 +95,51 @@ def below(path: Column, root: str) -> Column:
     return F.when(path.startswith(root), F.substring(path, len(root) + 1, 2**31 - 1)).otherwise(path)
 
 
+def opened(path: str) -> IO[bytes]:
+    """A file to be read from its start, in whatever store its path names."""
+    if "://" not in path or path.startswith("file:"):
+        return open(re.sub("^file:/*", "/", path), "rb")
+    system, inner = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return system.open_input_stream(inner)
+
+
+def file_hash(path: str, chunk: int = CHUNK) -> str:
+    """MD5 of a file of any size, ``chunk`` bytes of which are in memory at a time."""
+    done = hashlib.md5(usedforsecurity=False)
+    with opened(path) as file:
+        while part := file.read(chunk):
+            done.update(part)
+    return done.hexdigest()
+
+
+@F.pandas_udf(T.StringType())
+def hash_in_chunks(paths: pd.Series) -> pd.Series:
+    return paths.map(file_hash)
+
+
+def with_hashes(files: DataFrame) -> DataFrame:
+    """``files`` of the reader of binary files (path, length, content), with the MD5 of each in place of its content.
+
+    Small files are hashed where Spark reads them. Of others the content is not
+    read as a value, which would hold it in memory and ends at 2 GB: the executor
+    that has the row streams the file.
+    """
+    small = files.filter(F.col("length") <= WHOLE).select("path", "length", F.md5("content").alias("file_hash"))
+    large = files.filter(F.col("length") > WHOLE).select("path", "length").withColumn("file_hash", hash_in_chunks("path"))
+    return small.unionByName(large)
+
+
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of known kinds below a folder, with size and MD5 of their content; only folders within it can be passed over."""
+    """Files of known kinds below a folder, with size and MD5 of their content; only folders within it can be passed over.
+
+    Files are listed as rows, and each is its own unit of work, of whatever size. Files without content are passed over.
+    """
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     root = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     inner = below(F.regexp_replace("path", "^file:/+", "file:/"), root.replace("file:///", "file:/"))
-    files = files.withColumn("media_type", media_kind(F.col("path"))).filter(F.col("media_type").isNotNull() & allowed(inner))
-    return files.select(F.col("path").alias("media_path"), "media_type", F.md5("content").alias("file_hash"), F.col("length").alias("file_size"))
+    found = with_hashes(files.filter(media_kind(F.col("path")).isNotNull() & allowed(inner)))
+    return found.select(F.col("path").alias("media_path"), media_kind(F.col("path")).alias("media_type"), "file_hash", F.col("length").alias("file_size"))
 
 
 def probed(files: DataFrame, probe: Callable[[str], str], path: str = "media_path") -> DataFrame:

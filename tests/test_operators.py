@@ -212,3 +212,60 @@ def test_sessions_of_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["n"] for r in spark.table("sessions_out").collect()) == [1, 2]
+
+
+def test_hist_distance_of_empty_histograms_is_one(spark):
+    one_, empty = doubles([1.0, 2.0]), doubles([0.0, 0.0])
+    got = spark.range(1).select(sequence.hist_distance(one_, empty).alias("a"), sequence.hist_distance(empty, empty).alias("b"), sequence.hist_distance(one_, one_).alias("c")).first()
+    assert tuple(got) == (1.0, 1.0, 0.0)
+
+
+def test_fold_keeps_long_arrays_in_order(spark):
+    points = [i * 1.5 for i in range(1000)]
+    assert one(spark, sequence.min_gap_fold(doubles(points), 1.5, 0.0)) == points
+    assert one(spark, sequence.min_gap_fold(doubles(points), 3.0)) == points[::2]
+
+
+def test_large_files_are_hashed_in_chunks(spark, tmp_path):
+    """2.2 GB, most of it a hole, beside small files; a worker holds a chunk, not a file."""
+    import hashlib
+    import resource
+
+    big = tmp_path / "a b%20.mp4"
+    with big.open("wb") as f:
+        f.write(b"start")
+        f.seek(2_200_000_000)
+        f.write(b"end")
+    (tmp_path / "small.jpg").write_bytes(b"x" * 1000)
+    (tmp_path / "empty.jpg").write_bytes(b"")
+    done = hashlib.md5()
+    with big.open("rb") as f:
+        while part := f.read(1 << 24):
+            done.update(part)
+    want = {"a b%20.mp4": done.hexdigest(), "small.jpg": hashlib.md5(b"x" * 1000).hexdigest()}  # an empty file is none
+    got = {r["media_path"].split("/")[-1]: (r["file_hash"], r["file_size"]) for r in ingest.scan(spark, str(tmp_path)).collect()}
+    assert {k: v[0] for k, v in got.items()} == want and got["a b%20.mp4"][1] == 2_200_000_003
+
+    @F.udf("long")
+    def most(path):
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        assert ingest.file_hash(path) == want["a b%20.mp4"]
+        return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before
+
+    assert spark.createDataFrame([(str(big),)], "p string").select(most("p").alias("kb")).first()["kb"] < 64_000
+
+
+def test_store_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from spindle.sources import store
+
+    session = lambda master, named: SimpleNamespace(conf=SimpleNamespace(get=lambda key, other: named or other), sparkContext=SimpleNamespace(master=master, applicationId="x"))
+    for master in ("spark://h:1", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            store.root(session(master, None))
+        assert store.root(session(master, "hdfs://n/shared/")) == "hdfs://n/shared"
+        with pytest.raises(ValueError, match="mounted"):
+            store.proxies(session(master, "hdfs://n/shared"), "/out")
+        assert store.proxies(session(master, "file:///shared"), "/out") == "/shared/proxies"
+    assert store.root(session("local[4]", None)).startswith("file:///") and store.proxies(session("local[4]", None), "/out") == "/out/proxies"

@@ -430,7 +430,7 @@ def test_shots_of_frames_are_those_of_a_plain_loop(spark):
         for _, f, t, h, flow, luma, _ in frames[:: c.sample_interval]:
             if last is not None and t - bounds[-1] >= c.min_duration:
                 top = math.sqrt(sum(h) * sum(last[0]))
-                apart = math.sqrt(max(0.0, 1 - sum(math.sqrt(x * y) for x, y in zip(h, last[0], strict=True)) / top)) if top else 0.0
+                apart = math.sqrt(max(0.0, 1 - sum(math.sqrt(x * y) for x, y in zip(h, last[0], strict=True)) / top)) if top * top > 1.1920929e-07 else 1.0
                 votes = (apart > c.histogram_threshold) + (flow > c.optical_flow_threshold) + (abs(luma - last[1]) > c.luminance_threshold)
                 if apart > 1.5 * c.histogram_threshold or votes >= 2:
                     bounds.append(t)
@@ -481,7 +481,7 @@ def test_windows_are_those_of_a_plain_loop(spark):
 def test_sections_by_loudness_are_those_of_a_plain_loop(spark):
     rng, rows, want = random.Random(7), [], {}
     for track, n in enumerate((1, 9, 11, 13, 60, 200, 400)):
-        loud = [rng.choice((0.1, 0.5, 1.0)) if rng.random() < 0.1 else 0.3 + 0.01 * (i % 3) for i in range(n)]
+        loud = [rng.random() * (1.0 if i // 17 % 2 else 0.3) for i in range(n)]
         times = [i * 0.5 for i in range(n)]
         rows += [(track, i, t, v, n / 2) for i, (t, v) in enumerate(zip(times, loud, strict=True))]
         wide = min(50, n // 4)
@@ -499,7 +499,7 @@ def test_sections_by_loudness_are_those_of_a_plain_loop(spark):
         want[track] = bounds
     rms = spark.createDataFrame(rows, "track bigint, frame int, t double, v double, dur double")
     got = {r["track"]: r["bounds"] for r in music.change_boundaries(rms, ["track"], "frame", "t", "v", "dur").collect()}
-    assert got[0] == want[0] and got[1] == want[1] and sum(got[k] == want[k] for k in want) >= 6  # a change at the bar itself may fall to either side
+    assert got == want and any(len(b) > 2 for b in want.values())
     named = music.detect_sections(rms, ["track"], "frame", "t", "v", duration="dur").collect()
     assert {r["track"] for r in named} == set(want) and [r["label"] for r in named if r["track"] == 0] == ["verse"]
     points = spark.createDataFrame([(5, [3.0, 20.0, 22.0, 60.0])], "track bigint, points array<double>")
@@ -507,6 +507,23 @@ def test_sections_by_loudness_are_those_of_a_plain_loop(spark):
     assert [r["start"] for r in cut] == [0.0, 20.0, 60.0]
 
 
+def test_changes_equal_but_for_rounding_are_equal(spark):
+    """Three steady levels: all changes from one to another are the same, and none is above the bar by rounding alone."""
+    loud = [(0.1, 0.5, 0.9)[i // 20 % 3] for i in range(600)]
+    change = np.abs(np.diff(np.convolve(loud, np.ones(50) / 50, mode="same")))
+    level = np.unique(np.round(change / change.max(), 9))
+    bar = np.percentile(np.round(change / change.max(), 9), 85)
+    bounds = [0.0]
+    for i in np.flatnonzero(np.round(change / change.max(), 9) > np.round(bar, 9)):
+        if i * 0.5 - bounds[-1] >= 8:
+            bounds.append(i * 0.5)
+    want = bounds
+    for noise in (0.0, 1e-16, -1e-16):
+        rows = [(1, i, i * 0.5, v + noise * (i % 7), 300.0) for i, v in enumerate(loud)]
+        got = music.change_boundaries(spark.createDataFrame(rows, "track int, frame int, t double, v double, dur double"), ["track"], "frame", "t", "v", "dur").first()["bounds"]
+        assert got == want and len(level) < 20
+
+
 def test_merged_bounds_and_choruses(spark):
     for points in ([], [4.0], [0.0, 3.0, 6.0, 9.5, 12.0], [i * 6.5 for i in range(20)]):
         kept = [0.0]
