@@ -10,9 +10,11 @@ never a corpus; one project can't be split.
 
 from __future__ import annotations
 
+import json
 import math
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from spindle.functions import scores as S
 from spindle.functions.scores import ARC, ROLES
-from spindle.plans.templates import PROFILES, RETAIN, TEMPLATES, Music, Project, Template
+from spindle.plans.templates import PROFILES, RETAIN, TEMPLATES, Music, Project, Section, Template
 
 CLOSING = {"reaction", "detail"}
 SHOT = ["media_id", "source_id", "media_type", "event_id", "shot_role", "highlight_score", "sharpness", "exposure", "stability", "face_score", "motion_intensity"]
@@ -32,8 +34,6 @@ OUT = (
     "in_point double, out_point double, shot_start double, shot_end double, transition_in string, transition_out string, transition_duration double, "
     "chapter string, selection_reason string, total_score double"
 )
-#: Bundles of projects for each shuffle partition.
-BUNDLES = 4
 
 
 class Track:
@@ -345,20 +345,30 @@ def scored(shots: DataFrame, template: Template, labels: list[str]) -> DataFrame
     })
 
 
-def plan(shots: DataFrame, project: Project | str = "growth", music: Music = Music()) -> DataFrame:
+def music_of(row: dict) -> Music:
+    """A track's structure from a row of ``structure.track_structure``; what is null or left out is not known."""
+    pairs = lambda name, *keys: tuple(tuple(x[k] for k in keys) for x in row.get(name) or ())
+    return Music(tuple(row.get("beats") or ()), pairs("high", "start", "end"), tuple(Section(*x) for x in pairs("sections", "label", "start", "end", "energy")), pairs("curve", "t", "energy"))
+
+
+def plan(shots: DataFrame, project: Project | str = "growth", music: Music = Music(), tracks: DataFrame | None = None) -> DataFrame:
     """Clips of every project. ``shots``: project_id, input_idx, media_id, source_id, media_type, width, height, start, end, the five
     metrics, overall, emotion, highlight_score, shot_role, event_id, at (time in microseconds), hhmm, best_start, best_end, preference.
 
-    A shot is known by its source and start: of equal ones the first chosen is used.
+    Rows without a project are in no plan. ``tracks`` has the track of each project: project_id, beats, sections (label, start, end, energy), high (start, end) and
+    curve (t, energy), a row each; projects without one take ``music``. A shot is known by its source and start: of equal ones
+    the first chosen is used. Partitions are sorted by project and read as streams, so a task holds one project's shots at a time.
     """
     project = PROFILES[project] if isinstance(project, str) else project
     template = TEMPLATES[project.template]
     bare = replace(template, story=None)  # its fits are columns already
-    labels = sorted({x.label for x in music.sections})
-    track = Track(music, project)
+    labels = sorted({x.label for x in music.sections} | (set(S.PREFERRED) if tracks is not None else set()))
+    usual = Track(music, project)
     names = ["project_id", "input_idx", *SHOT, "start", "end", "overall", "emotion", "at", "hhmm", "best_start", "best_end", "preference", "base", "penalty", "story", "section"]
+    may_lack = {"hhmm", "best_start", "best_end", "at"}
+    structure = ["beats", "sections", "high", "curve"]
 
-    def one(project_id: int, s: dict[str, list]) -> pd.DataFrame:
+    def one(project_id: int, s: dict[str, list], track: Track) -> pd.DataFrame:
         clips = Planner(s, project, bare, track, labels).plan()
         out: dict[str, list] = {"project_id": [project_id] * len(clips), "clip_idx": list(range(len(clips)))}
         out |= {c: [s[c][x.row] for x in clips] for c in SHOT}
@@ -368,14 +378,39 @@ def plan(shots: DataFrame, project: Project | str = "growth", music: Music = Mus
         out |= {name: [e[k] for e in edges] for k, name in enumerate(("transition_in", "transition_out", "transition_duration"))}
         return pd.DataFrame(out | {"chapter": [c.chapter for c in clips], "selection_reason": [c.reason for c in clips], "total_score": [c.score for c in clips]})
 
-    def bundle(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["project_id", "input_idx"], ignore_index=True)
-        columns = {c: [None if x is None or x != x else x for x in part[c].tolist()] if c in ("hhmm", "best_start", "best_end", "at") else part[c].tolist() for c in names}
-        ids = part["project_id"].to_numpy()
-        edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
-        return pd.concat([one(int(ids[a]), {c: v[a:b] for c, v in columns.items()}) for a, b in zip(edges, edges[1:], strict=False)])
+    def planned(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A project's clips; nothing for a track without shots."""
+        part = pd.concat(held, ignore_index=True)
+        own = part["__track"].dropna().tolist() if "__track" in part else []
+        part = part[part["__track"].isna()] if own else part
+        if not len(part):
+            return
+        columns = {c: [None if x is None or x != x else x for x in part[c].tolist()] if c in may_lack else part[c].tolist() for c in names}
+        clips = one(int(part["project_id"].iloc[0]), columns, Track(music_of(json.loads(own[0])), project) if own else usual)
+        if len(clips):
+            yield clips
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Projects one after another; a project may go on in the next batch."""
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            ids = b["project_id"].to_numpy()
+            edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if held and len(ids) and held[-1]["project_id"].iloc[0] != ids[i]:
+                    yield from planned(held)
+                    held = []
+                if j > i:
+                    held.append(b.iloc[i:j])
+        if held:
+            yield from planned(held)
 
     # Planning is work of the processor, not of bytes: partitions aren't put together by their size.
     parts = int(shots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = scored(shots, template, labels).select(*names, F.pmod(F.xxhash64("project_id"), F.lit(parts * BUNDLES)).alias("__bundle"))
-    return rows.repartition(parts, "__bundle").groupBy("__bundle").applyInPandas(bundle, OUT)
+    rows = scored(shots.filter("project_id IS NOT NULL"), template, labels).select(*names)
+    if tracks is not None:
+        # A track's row comes before its project's shots; its whole numbers are no nulls, which pandas would make doubles of all.
+        blank = [F.lit(0).cast(rows.schema[c].dataType).alias(c) for c in ("media_id", "source_id", "event_id")]
+        first = F.lit(-1).cast(rows.schema["input_idx"].dataType).alias("input_idx")
+        rows = rows.unionByName(tracks.select("project_id", first, *blank, F.to_json(F.struct(*structure)).alias("__track")), allowMissingColumns=True)
+    return rows.repartition(parts, "project_id").sortWithinPartitions("project_id", "input_idx").mapInPandas(stream, OUT)
