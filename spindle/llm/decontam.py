@@ -207,8 +207,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those that hold a benchmark item."""
+    items = shared.fresh(docs, "__items")
     for part in parts_of(benchmark):
-        docs = docs.withColumn("__items", finder(part, threshold)(F.col("text"))).filter(F.size("__items") == 0).drop("__items")
+        docs = docs.withColumn(items, finder(part, threshold)(F.col("text"))).filter(F.size(items) == 0).drop(items)
     return docs
 
 

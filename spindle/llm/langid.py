@@ -194,7 +194,8 @@ def predictor(model: Model, docs: DataFrame):
 def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``docs`` without those that are rejected."""
     predict = predictor(model or train(docs), docs)
-    return docs.withColumn("__lang", predict(F.col("text"))).filter(~F.col("__lang.rejected")).drop("__lang")
+    found = shared.fresh(docs, "__lang")
+    return docs.withColumn(found, predict(F.col("text"))).filter(~F.col(found)["rejected"]).drop(found)
 
 
 def report(docs: DataFrame) -> DataFrame:

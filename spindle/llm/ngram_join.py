@@ -276,12 +276,13 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     found = classes(docs, **options)
     first = found.filter("key IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "hash")).alias("m")).select("m.doc_id", "m.hash", F.lit(False).alias("__alone"))
     alone = found.filter("key IS NULL").select("doc_id", "hash").distinct().select("doc_id", "hash", F.col("doc_id").isNull().alias("__alone"))
-    kept = first.unionByName(alone).withColumnsRenamed({"doc_id": "__kept_id", "hash": "__kept_hash"})
-    rows = docs.withColumns({"__id": F.col("doc_id").cast("bigint"), "__hash": F.unhex(F.sha2("text", 256))})
-    rows = rows.join(kept, F.col("__id").eqNullSafe(F.col("__kept_id")) & F.col("__hash").eqNullSafe(F.col("__kept_hash")))
+    own_id, own_hash, kept_id, kept_hash, alone_, turn = (shared.fresh(docs, c) for c in ("__id", "__hash", "__kept_id", "__kept_hash", "__alone", "__turn"))
+    kept = first.unionByName(alone).withColumnsRenamed({"doc_id": kept_id, "hash": kept_hash, "__alone": alone_})
+    rows = docs.withColumns({own_id: F.col("doc_id").cast("bigint"), own_hash: F.unhex(F.sha2("text", 256))})
+    rows = rows.join(kept, F.col(own_id).eqNullSafe(F.col(kept_id)) & F.col(own_hash).eqNullSafe(F.col(kept_hash)))
     # Equal rows are one, but for those without an id and a word, of which each stays.
-    rows = rows.withColumn("__turn", F.when(F.col("__alone"), F.monotonically_increasing_id()).otherwise(0))
-    return rows.dropDuplicates(["__id", "__hash", "__turn"]).select(docs.columns)
+    rows = rows.withColumn(turn, F.when(F.col(alone_), F.monotonically_increasing_id()).otherwise(0))
+    return rows.dropDuplicates([own_id, own_hash, turn]).select(docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
