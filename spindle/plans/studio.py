@@ -1,7 +1,8 @@
 """From a folder of media to a plan, its sequence and its reports; and the review before it.
 
-Decoding is an input boundary: what is seen and heard in the files is read from
-a folder of features, Parquet tables by the path below the input folder:
+What is seen and heard in uncompressed files is read from them (``sources.frames``).
+For others decoding is an input boundary, and a folder of features has it, Parquet
+tables by the path below the input folder:
 ``frames`` (path, frame_idx, fps, ts_sec, end_sec, hist, flow_mag, luma_mean,
 laplacian_var, face_ratio, n_faces, flow_next, diff_next; a still is one frame)
 and, where there is music, ``rms`` (path, frame, t, value) and ``beats`` (path,
@@ -22,7 +23,9 @@ from pyspark.sql.window import Window
 
 from spindle.functions import scores as S
 from spindle.operators import grammar, music, planner, preference, sequence, summary
+from spindle.operators.structure import track_beats
 from spindle.plans.templates import Music, Output, Project, Section, load_profile
+from spindle.sources import frames as reader
 from spindle.sources import ingest, reports, sinks, store
 
 logger = logging.getLogger(__name__)
@@ -74,9 +77,9 @@ class Material:
     structure: Music = Music()
 
 
-def feature(spark: SparkSession, features: str, name: str, root: str) -> DataFrame | None:
-    """A table of features with the file's whole path as source."""
-    if not Path(features, f"{name}.parquet").exists():
+def feature(spark: SparkSession, features: str | None, name: str, root: str) -> DataFrame | None:
+    """A table of features with the file's whole path as source; None where there is no such table."""
+    if features is None or not Path(features, f"{name}.parquet").exists():
         return None
     return spark.read.parquet(f"{features}/{name}.parquet").withColumn("source", F.concat(F.lit(root.rstrip("/") + "/"), "path")).drop("path")
 
@@ -101,13 +104,19 @@ def told(shots: DataFrame) -> DataFrame:
 def structure_of(spark: SparkSession, features: str, root: str, path: str | None) -> Music:
     """The structure of the chosen track, from its loudness and beats."""
     rms, beats = feature(spark, features, "rms", root), feature(spark, features, "beats", root)
-    if path is None or rms is None:
+    if path is None:
         return Music()
-    own = rms.filter(F.col("source") == path).withColumn("track", F.lit(0))
+    if rms is None:
+        rms = reader.rms_rows(spark.createDataFrame([(path,)], "path string")).withColumnRenamed("path", "source")
+    own = store.written(rms.filter(F.col("source") == path).withColumn("track", F.lit(0)), "rms")
     labelled = music.detect_sections(own, ["track"], "frame", "t", "value").orderBy("idx").collect()  # a track's sections, high ranges, seconds and beats
     high = music.high_energy_ranges(own, ["track"], "frame", "t", "value").orderBy("start").collect()
     curve = music.energy_curve(own, ["track"], "frame", "t", "value").orderBy("block").collect()
-    at = [] if beats is None else beats.filter(F.col("source") == path).orderBy("t").collect()
+    if beats is None:
+        beats = track_beats(own, ["track"], "frame", "t", "value").select(F.explode("beats").alias("t"))
+    else:
+        beats = beats.filter(F.col("source") == path)
+    at = beats.orderBy("t").collect()
     return Music(tuple(r["t"] for r in at), tuple((r["start"], r["end"]) for r in high), tuple(Section(r["label"], r["start"], r["end"], r["avg_energy"]) for r in labelled), tuple((r["t"], r["energy"]) for r in curve))
 
 
@@ -125,6 +134,9 @@ def taken_in(spark: SparkSession, folder: str, features: str, out: Path, project
     if usable.filter("media_type IN ('video', 'photo')").isEmpty():
         raise NoMedia(folder)
     frames = feature(spark, features, "frames", root)
+    if frames is None:
+        read = reader.frame_rows(usable.select(F.col("media_path").alias("path")), project.shot_detect.sample_interval)
+        frames = store.written(read.withColumnRenamed("path", "source"), "frames")
     return Material(media, store.written(analysed(usable, frames, project), "analysed"), frames), skipped
 
 

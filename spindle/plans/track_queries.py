@@ -1,15 +1,20 @@
 """Queries over two tables: clips and the intervals, beats, curves and tracks of their projects.
 
 Times are seconds, and a project's track is derived from its own events, so each
-project has another.
+project has another. Vectors serve as frames of a track, and as small pictures.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spindle.functions import pixels
 from spindle.operators import joins, music, planner, structure
 from spindle.plans import catalog
 from spindle.plans.catalog import KEY, query
@@ -102,3 +107,36 @@ def plan_of_tracks(s: SparkSession, d: str) -> DataFrame:
     """Plans of all projects, each on its own track."""
     tracks = structure.track_structure(loudness(s, d), KEY, "frame", "t", "v")
     return planner.plan(catalog.plan_input(s, d), PROFILES["growth"], tracks=tracks)
+
+
+# Vectors as pictures of 8 x 8.
+def picture_kernels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges and brightness of a grey picture, and the shares of colours of one whose channels are the picture, turned and mirrored."""
+    for b in batches:
+        rows = []
+        for i, v in zip(b["vec_id"], b["embedding"], strict=True):
+            grey = np.floor(np.minimum(np.abs(np.asarray(v, np.float64)), 1.0) * 255).astype(np.uint8).reshape(8, 8)
+            hist = pixels.histogram(np.stack([grey, grey.T, grey[:, ::-1]], axis=2))
+            rows.append((i, pixels.laplacian_variance(grey), float(grey.mean()), np.flatnonzero(hist).astype(np.int32), float(hist.max())))
+        yield pd.DataFrame(rows, columns=["vec_id", "laplacian_var", "luma_mean", "bins", "most"])
+
+
+@query("picture_colours")
+def picture_colours(s: SparkSession, d: str) -> DataFrame:
+    """The bins of hue and saturation that each vector's coloured picture fills, and the share of the fullest."""
+    return pictures(s, d).select("vec_id", F.array_join("bins", ",").alias("bins"), F.round("most", 6).alias("most"))
+
+
+def pictures(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "embeddings").filter(F.size("embedding") == 64).select("vec_id", "embedding")
+    return rows.mapInPandas(picture_kernels, "vec_id bigint, laplacian_var double, luma_mean double, bins array<int>, most double")
+
+
+_BESIDE = "(CASE WHEN k {0} < 0 THEN 1 WHEN k {0} > 7 THEN 6 ELSE k {0} END)"
+_CELL = lambda r, c: f"a[({_BESIDE.format(r).replace('k', 'y')} * 8 + {_BESIDE.format(c).replace('k', 'x')}) + 1]"
+query("picture_edges", f"""WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(least(abs(x::DOUBLE), 1e0) * 255) AS BIGINT)) AS a FROM embeddings WHERE len(embedding) = 64),
+g AS (SELECT vec_id, a, i // 8 AS y, i % 8 AS x FROM p, (SELECT unnest(range(64)) AS i)),
+e AS (SELECT vec_id, {_CELL('- 0', '- 0')} AS own, {_CELL('- 1', '- 0')} + {_CELL('+ 1', '- 0')} + {_CELL('- 0', '- 1')} + {_CELL('- 0', '+ 1')} - 4 * {_CELL('- 0', '- 0')} AS d FROM g)
+SELECT vec_id, round((64 * sum(d * d) - sum(d) * sum(d)) / 4096e0, 6) AS laplacian_var, round(sum(own) / 64e0, 6) AS luma_mean FROM e GROUP BY vec_id""")(
+    lambda s, d: pictures(s, d).select("vec_id", F.round("laplacian_var", 6).alias("laplacian_var"), F.round("luma_mean", 6).alias("luma_mean"))
+)
