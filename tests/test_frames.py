@@ -175,7 +175,8 @@ def test_run_needs_no_tables_of_features(spark, tmp_path):
     root = tmp_path / "media"
     root.mkdir()
     for k in range(3):
-        write_mov(root / f"v{k}.mov", [picture(10 * k + (i >= 20), 60, 80) for i in range(40)])
+        blue, red = ((picture(10 * k + i, 60, 80) * np.array(tint)).astype(np.uint8) for i, tint in enumerate(((1.0, 0.2, 0.1), (0.1, 0.2, 1.0))))
+        write_mov(root / f"v{k}.mov", [blue] * 20 + [red] * 20)
     write_png(root / "still.png", picture(99, 40, 40))
     clicks = np.zeros(22050 * 30)
     for i in range(59):
