@@ -45,7 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced by its kind; n_chars, if there is such a column, follows.
 
-    A null text becomes an empty one. Every row stays, repeated ones too.
+    A null text stays null, with a null n_chars. Every row stays, repeated ones too.
     """
     columns, spans = docs.columns, shared.fresh(docs, "pii_spans")
     found = pii.with_spans(docs, out=spans)
