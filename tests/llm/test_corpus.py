@@ -11,7 +11,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spindle.llm import decontam, langid, ngram_join, sentence_pieces, shared, toxicity
+import test_spans
+from spindle.llm import decontam, langid, ngram_join, pii, sentence_pieces, shared, toxicity
 from spindle.llm.shingles import WORD
 
 SMALL = "/root/testdata/sf0.001"
@@ -273,3 +274,64 @@ def test_the_pipeline_does_what_its_stages_say(spark):
     for i, r in got.items():
         text = PIECES.decode(np.asarray(r["token_ids"], "<i4").tobytes())
         assert r["n_chars"] == len(text) and (text == left[i] or "[" in text)
+
+
+def plain_redaction(text, spans):
+    """``text`` with each run of overlapping spans (kind, start, end) as [KIND] of its first."""
+    out, reach = "", 0
+    for kind, a, b in sorted(spans, key=lambda s: s[1]):
+        if a >= reach:
+            out += text[reach:a] + f"[{kind.upper()}]"
+        reach = max(reach, b)
+    return out + text[reach:]
+
+
+def test_personal_data_is_a_plain_redaction(spark):
+    odd = test_spans.ODD + ["mail a@b.cd or c@d.ef, card 4111111111111111", "1.2.3.4.5@x.yz", "a@b.cd" * 3, "+1 415 555 0100 4111 1111 1111 1111"]
+    given = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "n_chars")
+    docs = given.unionByName(spark.createDataFrame([(10_000 + i, t, len(t or "")) for i, t in enumerate(odd)], "doc_id bigint, text string, n_chars bigint").withColumn("n_chars", F.col("n_chars").cast(given.schema["n_chars"].dataType)))
+    found = {r["doc_id"]: [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r["spans"].split(",") if s)] for r in pii.report(docs).collect()}
+    changed = 0
+    for r in corpus_pipeline.personal_data(spark, docs.withColumn("before", F.col("text")), SMALL).collect():
+        spans, text = found[r["doc_id"]], r["before"]
+        if text is None:
+            assert r["text"] is r["n_chars"] is None and not spans
+            continue
+        assert r["text"] == plain_redaction(text, spans) and r["n_chars"] == len(r["text"])
+        base = [s for s in spans if s[0] in ("email", "ip", "card", "phone")]
+        if len(text) < 20000:
+            assert sorted(base) == sorted(test_spans.brute_pii(text))
+        changed += r["text"] != text
+    assert changed > 20
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_keep_callers_columns_and_take_odd_rows(spark, stage):
+    """Columns named as a stage's own ones, nulls in any column, empty, very long and repeated texts, an empty table."""
+    run = dict(corpus_pipeline.STAGES)[stage]
+    good = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").filter("length(text) > 300").orderBy("doc_id").limit(30).collect()]
+    langs = [r["lang"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").filter("length(text) > 300").orderBy("doc_id").limit(30).collect()]
+    names = ["__lang", "__items", "pii_spans", "raw", "__id", "__hash", "__turn", "__alone", "__kept_id", "__kept_hash", "token_ids", "n_tokens", "hash", "key", "root", "f", "p"]
+    rows = [(i, t, lang, "s", len(t)) for i, (t, lang) in enumerate(zip(good, langs, strict=True))]
+    rows += [(100, None, None, None, None), (101, "", "en", "s", 0), (102, "  \n", "en", "s", 3), (None, good[0], langs[0], "s", 5), (None, None, None, None, None), (103, good[1] * 400, langs[1], "s", 9), (3, good[3], langs[3], "s", len(good[3])), (104, "1234 5678", "en", "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for n in names:
+        docs = docs.withColumn(n, F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    out = run(spark, docs, SMALL)
+    kept = {c: c for c in docs.columns if c != "text"}
+    if stage == "tokens":
+        kept |= {"token_ids": "token_ids_input", "n_tokens": "n_tokens_input"}
+    else:
+        assert out.columns == docs.columns
+    got = out.collect()
+    assert got and all(r[kept[n]] == f"{n} of {'none' if r['doc_id'] is None else r['doc_id']}" for r in got for n in names)
+    ids = Counter(r["doc_id"] for r in got)
+    if stage in ("personal_data", "tokens"):
+        assert ids == Counter(r[0] for r in rows)
+    if stage == "near_duplicates":
+        assert ids[3] == 1 and ids[100] == ids[101] == ids[102] == 1 and ids[None] == 1  # the null text without an id; the copy of 0 goes
+    if stage == "language_id":
+        assert not set(ids) & {100, 101, 102, 104} and ids[3] in (0, 2)
+    if stage == "decontamination":
+        assert ids[100] == ids[101] == ids[102] == 1 and ids[3] in (0, 2)
+    assert run(spark, docs.limit(0), SMALL).count() == 0
