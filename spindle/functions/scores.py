@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spindle.plans.templates import Chapter, Music, Rhythm, Section, Template
+from spindle.plans.templates import GROWTH, Chapter, Music, Rhythm, Section, Template
 
 ROLES = ("establishing", "action", "reaction", "detail")
 #: Shares of a chapter up to which, these included, each role is wanted; then the last (fixed values, added up from left to right).
@@ -152,11 +152,15 @@ def penalties() -> Column:
 
 #: Roles that a section of a track prefers (fixed values).
 PREFERRED = {"intro": ("establishing", "detail"), "verse": ("establishing", "detail", "reaction"), "chorus": ("action", "reaction"), "bridge": ("reaction", "detail"), "outro": ("detail", "establishing", "reaction")}
-MISMATCH = 0.15
 
 
-def section_fit(label: Column, shot_role: Column) -> Column:
-    """How well a shot suits a section of the track; 0.5 without one."""
+def preferred_roles(template: Template | None = None) -> dict[str, tuple[str, ...]]:
+    """The template's own preferences of sections, else PREFERRED."""
+    return PREFERRED if template is None or template.preferred is None else dict(template.preferred)
+
+
+def section_fit(label: Column, shot_role: Column, template: Template = GROWTH) -> Column:
+    """How well a shot suits a section of the track; 0.5 without one. The template says which roles a section prefers and what others cost."""
     is_ = lambda *names: shot_role.isin(*names)
     value = (
         F.when(label == "chorus", total(F.lit(0.3) * q("m"), F.lit(0.4) * q("h"), F.lit(0.1) * (F.lit(1.0) - q("st")), F.when(is_("action"), F.lit(0.35)).when(is_("reaction") & (q("h") >= 0.5), F.lit(0.2)).otherwise(F.lit(0.0)), bonus(q("h") >= 0.6, 0.15)))
@@ -165,8 +169,8 @@ def section_fit(label: Column, shot_role: Column) -> Column:
         .when(label == "outro", total(weighted(st=0.3, ex=0.2), bonus(photo(), 0.3), bonus(is_("detail", "establishing"), 0.25)))
         .when(label == "bridge", weighted(st=0.2, sh=0.2) + F.when(is_("reaction"), F.lit(0.3)).when(is_("detail"), F.lit(0.2)).otherwise(F.lit(0.0)))
     )
-    liked = reduce(lambda a, b: a | b, [(label == k) & is_(*v) for k, v in PREFERRED.items()])
-    value = value - F.when((shot_role != "") & ~liked, F.lit(MISMATCH)).otherwise(F.lit(0.0))
+    liked = reduce(lambda a, b: a | b, [(label == k) & is_(*v) for k, v in preferred_roles(template).items()], F.lit(False))
+    value = value - F.when((shot_role != "") & ~liked, F.lit(template.mismatch)).otherwise(F.lit(0.0))
     return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), F.lit(0.5))
 
 
@@ -230,7 +234,7 @@ def shot_score(template: Template, chapter: Column, label: Column, rhythm: Colum
     wq, wf, wm, ws, wr, wx = template.weights
     base = total(
         F.lit(wq) * ((q("sh") + q("ex") + q("st")) / 3.0), F.lit(wf) * q("f"), F.lit(wm) * q("m"),
-        F.lit(ws) * story_fit(chapter), F.lit(wr) * rhythm, F.lit(wx) * section_fit(label, F.col("shot_role")),
+        F.lit(ws) * story_fit(chapter), F.lit(wr) * rhythm, F.lit(wx) * section_fit(label, F.col("shot_role"), template),
     )
     chorus = F.coalesce(label == "chorus", F.lit(False))
     lift = F.lit(0.1) * q("h")

@@ -341,7 +341,7 @@ def scored(shots: DataFrame, template: Template, labels: list[str]) -> DataFrame
         "base": base,
         "penalty": S.penalties(),
         "story": doubles([S.story_of(template, c.name) for c in template.chapters]),
-        "section": doubles([S.section_fit(F.lit(label), F.col("shot_role")) for label in labels]),
+        "section": doubles([S.section_fit(F.lit(label), F.col("shot_role"), template) for label in labels]),
     })
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from spindle.functions import scores as S
 from spindle.operators import grammar
 from spindle.operators.sequence import exact_mean
+from spindle.plans.templates import Template
 
 HIGHLIGHT = 0.5
 BEAT_TOLERANCE = 0.12  # of reports, whatever the profile
@@ -103,12 +104,12 @@ def section_stats(clips: DataFrame, sections, t: Column, keys: Sequence[str] = (
     return every.join(found, [*keys, "section_idx"], "left").withColumns({"clip_count": F.coalesce("clip_count", F.lit(0).cast("bigint")), "avg_motion": F.coalesce("avg_motion", F.lit(0.0))})
 
 
-def section_roles(clips: DataFrame, sections, t: Column, keys: Sequence[str] = ("project_id",)) -> DataFrame:
+def section_roles(clips: DataFrame, sections, t: Column, keys: Sequence[str] = ("project_id",), template: Template | None = None) -> DataFrame:
     """Clips by section and role, with how many of them suit it."""
     role = F.when(F.coalesce(F.col("shot_role"), F.lit("")) == "", "unknown").otherwise(F.col("shot_role"))
     placed = clips.withColumns({"section": S.section_at(sections, t), "shot_role": role}).filter("section IS NOT NULL")
     liked = F.lit(False)
-    for label, roles in S.PREFERRED.items():
+    for label, roles in S.preferred_roles(template).items():
         liked = liked | ((F.col("section") == label) & F.col("shot_role").isin(*roles))
     return placed.groupBy(*keys, "section", "shot_role").agg(F.count("*").alias("n"), F.count_if(~liked).alias("mismatches"))
 

@@ -461,6 +461,12 @@ query("section_role_stats", f"""{_LABELLED}, x AS (SELECT project_id, count(*) F
   coalesce(count(*) FILTER (coalesce(section, '') <> 'chorus' AND highlight_score >= 5e-1)::DOUBLE / nullif(count(*) FILTER (coalesce(section, '') <> 'chorus'), 0), 0e0) AS b FROM l GROUP BY 1)
 SELECT project_id, a AS chorus_highlight_rate, b AS non_chorus_highlight_rate, a - b AS chorus_highlight_lift, clips_in_sections, mismatches, CASE WHEN clips_in_sections > 0 THEN mismatches::DOUBLE / clips_in_sections ELSE 0e0 END AS mismatch_rate FROM x""")(lambda s, d: summary.section_role_stats(clips(s, d), TRACK.sections, F.col("t")))
 query("chapter_energy", f"{_CLIPS} SELECT project_id, chapter, count(*) AS clip_count, count(*) FILTER (highlight_score >= 5e-1) AS highlight_count, {_mean(_EMOTION)} AS avg_emotion, max({_EMOTION}) AS peak_emotion FROM c GROUP BY ALL")(lambda s, d: summary.chapter_energy(clips(s, d)))
+query("kpi_selected", f"""{_CLIPS}, n AS (SELECT project_id, count(DISTINCT event_id) AS ev FROM e GROUP BY 1)
+SELECT c.project_id, count(*) AS total_clips, max(end_ms) / 1000e0 AS total_duration_sec, count(DISTINCT source_id) AS unique_sources, count(DISTINCT event_id)::DOUBLE / any_value(ev) AS event_coverage, count(*) FILTER (highlight_score >= 5e-1) AS highlight_count,
+  count(*) FILTER (highlight_score >= 5e-1)::DOUBLE / count(*) AS highlight_rate, count(*) FILTER ({_ALIGNED})::DOUBLE / count(*) AS beat_alignment_rate FROM c JOIN n ON n.project_id = c.project_id WHERE clip_idx % 9 = 0 GROUP BY 1""")(
+    lambda s, d: summary.kpi_summary(clips(s, d).filter("clip_idx % 9 = 0"), sessions(s, d), TRACK.beats, F.col("t"))
+)
+query("mean_qualities", f"{_SHOTS} SELECT {', '.join(f'{_mean(q)} AS {q}' for q in preference.BIASES.values())} FROM s")(lambda s, d: preference.mean_qualities(shots(s, d)))
 query("role_coverage", f"{_CLIPS}, rr AS (SELECT project_id, chapter, count(DISTINCT shot_role) AS n FROM c GROUP BY ALL) SELECT project_id, count(*) FILTER (n >= 2)::DOUBLE / count(*) AS chapter_role_coverage_rate FROM rr GROUP BY 1")(lambda s, d: summary.role_coverage(clips(s, d)))
 query("story_metrics", f"""{_LINT}, l AS (SELECT *, {_case('section')} FROM c), gv AS (SELECT project_id, count(*) AS gv FROM (SELECT project_id FROM t3 UNION ALL SELECT project_id FROM br) GROUP BY 1), x AS (SELECT *, lag(source_id) OVER (PARTITION BY project_id ORDER BY clip_idx) = source_id AS same FROM l), rr AS (SELECT project_id, chapter, count(DISTINCT shot_role) AS n FROM c GROUP BY ALL), cov AS (SELECT project_id, count(*) FILTER (n >= 2)::DOUBLE / count(*) AS cr FROM rr GROUP BY 1)
 SELECT x.project_id, sum(duration_ms) / 1000e0 / 240 AS duration_achievement_rate, 1e0 AS event_coverage_rate, count(*) FILTER (same)::DOUBLE / greatest(count(*) - 1, 1) AS repeated_shot_rate, count(*) FILTER (highlight_score >= 5e-1)::DOUBLE / count(*) AS highlight_hit_rate, 1e0 AS audio_presence_rate, coalesce(any_value(gv), 0) AS grammar_violations, any_value(cr) AS chapter_role_coverage_rate,

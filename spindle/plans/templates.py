@@ -30,6 +30,9 @@ class Template:
     weights: tuple[float, float, float, float, float, float]
     #: How well a shot suits a chapter, as a function of its name that gives a column; None for the rules of the two given here.
     story: Callable[[str], Column] | None = None
+    #: Roles that a section of a track prefers, as (label, roles) pairs, and what another role costs; None for those given in ``scores``.
+    preferred: tuple[tuple[str, tuple[str, ...]], ...] | None = None
+    mismatch: float = 0.15
 
 
 GROWTH = Template(

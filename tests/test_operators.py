@@ -269,3 +269,20 @@ def test_store_needs_a_shared_folder_on_a_cluster():
             store.proxies(session(master, "hdfs://n/shared"), "/out")
         assert store.proxies(session(master, "file:///shared"), "/out") == "/shared/proxies"
     assert store.root(session("local[4]", None)).startswith("file:///") and store.proxies(session("local[4]", None), "/out") == "/out/proxies"
+
+
+def test_a_template_has_its_own_section_map(spark):
+    """A template's preferred roles and penalty count in fits, plans and section statistics."""
+    from dataclasses import replace
+
+    own = replace(templates.GROWTH, preferred=(("verse", ("action",)),), mismatch=0.4)
+    rows = catalog.clips(spark, SF).filter("project_id = 1")
+    usual, other = S.section_fit(F.lit("verse"), F.col("shot_role")), S.section_fit(F.lit("verse"), F.col("shot_role"), own)
+    for r in rows.select("shot_role", usual.alias("a"), other.alias("b")).collect():
+        bare = r["a"] + (0.15 if r["shot_role"] == "action" else 0.0)  # as PREFERRED has it, but where the least value cuts it off
+        want = max(0.0, bare - (0.0 if r["shot_role"] == "action" else 0.4))
+        assert r["b"] == pytest.approx(want) or 0.0 in (r["a"], r["b"])
+    found = summary.section_roles(rows, templates.TRACK.sections, F.col("t"), template=own).filter("section = 'verse'").collect()
+    assert found and all(r["mismatches"] == (0 if r["shot_role"] == "action" else r["n"]) for r in found)
+    got = planner.scored(catalog.plan_input(spark, SF).filter("project_id = 1"), own, ["verse"]).select("shot_role", F.get("section", F.lit(0)).alias("b"), F.col("section")).collect()
+    assert got and len({r["b"] for r in got}) > 1
