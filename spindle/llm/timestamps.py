@@ -49,46 +49,52 @@ STAMP = rf"\A({DATES})(?:[T ]({TWO}:{TWO}(?::{TWO})?)(?: ?([AP]M))?(?: ?(Z|[+-]{
 LONGEST = 40
 
 
-def parsed(raw: Column) -> Column:
-    """struct(kind, utc, wall, day_first, month_first, off) of a stamp, in microseconds.
+def parsed(rows: DataFrame, raw: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: struct(kind, vote, utc, wall, day_first, month_first, off) of a stamp, in microseconds.
 
     ``kind`` is bad, epoch, plain or open (both orders possible, dates differ);
     ``vote`` is 1 for day first, -1 for month first, else 0. ``off`` is null
-    without an offset, ``utc`` is that of epochs.
+    without an offset, ``utc`` is that of epochs. Each step's parts are columns, so each is worked out once.
     """
-    text = F.btrim(raw.cast("string"), F.lit(BLANKS))
-    text = F.when(F.length(text) <= LONGEST, text)
-    date, clock, half, offset = (F.regexp_extract(text, STAMP, i) for i in range(1, 5))
-    clock = F.when(clock == "", F.lit("00:00:00")).when(F.length(clock) == 5, F.concat(clock, F.lit(":00"))).otherwise(clock)
+    names = {c: shared.fresh(rows, f"__{c}") for c in ("text", "date", "clock", "half", "offset", "suffix", "wall", "day", "month", "off", "sound", "utc")}
+    col = {k: F.col(v) for k, v in names.items()}
+    text = F.btrim(F.col(f"`{raw}`").cast("string"), F.lit(BLANKS))
+    rows = rows.withColumn(names["text"], F.when(F.length(text) <= LONGEST, text))
+    rows = rows.withColumns({names[k]: F.regexp_extract(col["text"], STAMP, i) for i, k in enumerate(("date", "clock", "half", "offset"), 1)})
+    clock = F.when(col["clock"] == "", F.lit("00:00:00")).when(F.length(col["clock"]) == 5, F.concat(col["clock"], F.lit(":00"))).otherwise(col["clock"])
+    digits = F.regexp_replace(col["offset"], "[+:-]", "")
+    hours, minutes = F.substring(digits, 1, 2).try_cast("int"), F.substring(digits, 3, 2).try_cast("int")
+    sign = F.when(col["offset"].startswith("-"), -1).otherwise(1)
+    off = F.when(col["offset"] == "Z", F.lit(0).cast("bigint")).when(col["offset"] != "", sign * (hours * 60 + minutes).cast("bigint") * MINUTE)
+    # What can't be a time is no text to parse: a failed parse costs many times a good one.
+    hour, half = F.substring(clock, 1, 2).try_cast("int"), col["half"] != ""
+    possible = F.when(half, hour.between(1, 12)).otherwise(hour <= 23) & (F.substring(clock, 4, 2) < "60") & (F.substring(clock, 7, 2) < "60")
+    sound = possible & F.coalesce((hours <= 14) & (minutes <= 59), F.lit(True))
+    rows = rows.withColumns({
+        names["suffix"]: F.concat(F.lit(" "), clock, F.when(half, F.concat(F.lit(" "), col["half"])).otherwise(F.lit("")), F.lit("Z")),
+        names["off"]: off,
+        names["sound"]: (col["date"] != "") & sound,
+        names["utc"]: F.when(col["text"].rlike(r"\A[0-9]{10}\z"), col["text"].cast("bigint") * SECOND).when(col["text"].rlike(r"\A[0-9]{13}\z"), col["text"].cast("bigint") * 1000),
+    })
 
     def read(pattern: str) -> Column:
-        plain = F.try_to_timestamp(F.concat(date, F.lit(" "), clock, F.lit("Z")), F.lit(f"{pattern} HH:mm:ssX"))
-        halved = F.try_to_timestamp(F.concat(date, F.lit(" "), clock, F.lit(" "), half, F.lit("Z")), F.lit(f"{pattern} hh:mm:ss aX"))
-        return F.unix_micros(F.when(half == "", plain).otherwise(halved))
-
-    digits = F.regexp_replace(offset, "[+:-]", "")
-    hours, minutes = F.substring(digits, 1, 2).cast("int"), F.substring(digits, 3, 2).cast("int")
-    sign = F.when(offset.startswith("-"), -1).otherwise(1)
-    off = F.when(offset == "Z", F.lit(0).cast("bigint")).when(offset != "", sign * (hours * 60 + minutes).cast("bigint") * MINUTE)
-    sound = (offset == "") | (offset == "Z") | ((hours <= 14) & (minutes <= 59))
-    epoch = F.when(text.rlike(r"\A[0-9]{10}\z"), text.cast("bigint") * SECOND).when(text.rlike(r"\A[0-9]{13}\z"), text.cast("bigint") * 1000)
-    slashed = date.rlike(SLASHED)
-    wall = F.coalesce(*(F.when(sound & date.rlike(rf"\A{guard}\z"), read(pattern)) for guard, pattern in LAYOUTS.values()))
-    one = F.struct(
-        epoch.alias("utc"),
-        wall.alias("wall"),
-        F.when(sound & slashed, read("dd/MM/yyyy")).alias("day_first"),
-        F.when(sound & slashed, read("MM/dd/yyyy")).alias("month_first"),
-        off.alias("off"),
-    )
-
-    def judged(p: Column) -> Column:
-        d, m = p["day_first"], p["month_first"]
-        kind = F.when(p["utc"].isNotNull(), "epoch").when(d != m, "open").when(F.coalesce(p["wall"], d, m).isNotNull(), "plain").otherwise("bad")
-        vote = F.when(d.isNotNull() & m.isNull(), 1).when(m.isNotNull() & d.isNull(), -1).otherwise(0)
-        return F.struct(kind.alias("kind"), vote.alias("vote"), p["utc"].alias("utc"), F.coalesce(p["wall"], d, m).alias("wall"), d.alias("day_first"), m.alias("month_first"), p["off"].alias("off"))
-
-    return F.transform(F.array(one), judged)[0]
+        stamp = F.concat(col["date"], col["suffix"])
+        plain, halved = (F.try_to_timestamp(stamp, F.lit(f"{pattern} {p}")) for p in ("HH:mm:ssX", "hh:mm:ss aX"))
+        return F.unix_micros(F.when(half, halved).otherwise(plain))
+
+    slashed = col["sound"] & (F.substring(col["date"], 3, 1) == "/")
+    first, second = F.substring(col["date"], 1, 2), F.substring(col["date"], 4, 2)
+    wall = F.coalesce(*(F.when(col["sound"] & col["date"].rlike(rf"\A{guard}\z"), read(pattern)) for guard, pattern in LAYOUTS.values()))
+    rows = rows.withColumns({
+        names["wall"]: wall,
+        names["day"]: F.when(slashed & second.between("01", "12"), read("dd/MM/yyyy")),
+        names["month"]: F.when(slashed & first.between("01", "12"), read("MM/dd/yyyy")),
+    })
+    d, m = col["day"], col["month"]
+    kind = F.when(col["utc"].isNotNull(), "epoch").when(d != m, "open").when(F.coalesce(col["wall"], d, m).isNotNull(), "plain").otherwise("bad")
+    vote = F.when(d.isNotNull() & m.isNull(), 1).when(m.isNotNull() & d.isNull(), -1).otherwise(0)
+    found = F.struct(kind.alias("kind"), vote.alias("vote"), col["utc"].alias("utc"), F.coalesce(col["wall"], d, m).alias("wall"), d.alias("day_first"), m.alias("month_first"), col["off"].alias("off"))
+    return rows.withColumn(out, found).drop(*names.values())
 
 
 def known_zones(spark: SparkSession) -> list[str]:
@@ -141,7 +147,7 @@ def normalized(stamps: DataFrame, raw: str = "raw", zone: str = "zone", source:
     def tagged(name: str) -> Column:
         return F.coalesce(F.concat(F.lit("="), F.col(f"`{name}`").cast("string")), F.lit(""))
 
-    rows = stamps.withColumn(p, parsed(F.col(f"`{raw}`"))).withColumn(key, tagged(source))
+    rows = parsed(stamps, raw, p).withColumn(key, tagged(source))
     rows = shared.written(rows.withColumn(place, F.coalesce(F.col(f"`{zone}`").cast("string"), F.lit(""))), "stamps")
     kind, off = F.col(f"{p}.kind"), F.col(f"{p}.off")
 
