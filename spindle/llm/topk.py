@@ -1,6 +1,6 @@
 """Exact top-k by inner product with vector-approximation files.
 
-Every vector is quantised into cells: a whole number of -127 to 127 for each
+Every vector is quantised into cells: a whole number of -31 to 31 for each
 component, the cells' width (1 at least) and the length of what the cells leave
 out. Only these approximations, a byte a component, are sent to the query
 blocks. There a scan of the cells bounds each score from above and below (by
@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 from spindle.llm import shared
 
 #: Rows of a block of candidates and of queries, queries scanned at once, steps of a component's cells to either side.
-CANDIDATE_BLOCK, QUERY_BLOCK, AT_ONCE, STEPS = 32_768, 4096, 32, 127
+CANDIDATE_BLOCK, QUERY_BLOCK, AT_ONCE, STEPS = 32_768, 4096, 32, 31
 LONG = 2**63 - 1
 #: Components from which a vector's bounds are left open, and sums below which doubles are exact.
 GIANT, EXACT = 2.0**480, 2.0**52
