@@ -9,12 +9,15 @@
    byte of each, and only pairs that outlive the pruning tie. Buckets of more
    than CROWD sets are parted by a second band first. Buckets and groups move as
    rows, nothing is collected.
-3. A group's sets are dealt into blocks of bounded size; two blocks meet in one
-   task. There every pair's MinHash values are compared a few at a time, and a
-   pair goes when, for what was seen so far, the posterior probability of its
-   similarity reaching the threshold falls below the tolerance. What is left is
+3. A group's signatures, without texts, meet in one task. There every pair's
+   MinHash values are compared a few at a time, and a pair goes when, for what was
+   seen so far, the posterior probability of its similarity reaching the threshold
+   falls below the tolerance. Sets without a pair left need no text; pairs that are
+   left tie the others to smaller groups.
+4. These groups' sets are dealt into blocks of bounded size, and texts are sent for
+   them alone; two blocks meet in one task, where pairs that outlive the pruning are
    counted exactly, on shingle sets.
-4. Tasks give back, per set, its number of links and a spanning tie, never
+5. Tasks give back, per set, its number of links and a spanning tie, never
    pairs, so the rows stay in proportion to the input.
 
 Two texts of similarity 0.8 miss each other in all 32 bands of 4 with a
@@ -48,6 +51,7 @@ LOOSE, BUCKET_BLOCK, CROWD, NEXT = 2048, 1024, 16_384, 8
 SPREAD = 10_000
 SETS = "doc_id bigint, hash binary, key binary, n int, sig binary"
 LINKS = "key binary, links bigint, texts bigint, root binary, whole boolean"
+MEMBER = "key binary, root binary, copies bigint, hash binary, n int, sig binary"
 
 
 def sign(batches):
@@ -221,6 +225,39 @@ def groups_of(kinds: DataFrame, threshold: float = THRESHOLD, tolerance: float =
     return shared.written(groups.join(large, "root", "left_anti").select("node", "root").unionByName(new), "groups")
 
 
+def survivor(threshold: float, tolerance: float):
+    """Of a bundle of whole groups, the sets with a pair that outlives the pruning, in the groups that such pairs tie."""
+    needed = least_matches(threshold, tolerance)
+
+    def alive(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["root", "key"], ignore_index=True)
+        sigs = np.frombuffer(b"".join(part["sig"]), np.uint32).reshape(len(part), -1)
+        sizes, keys, roots = part["n"].to_numpy(), part["key"].to_numpy(), part["root"].to_numpy()
+        edges = np.flatnonzero(roots[1:] != roots[:-1]) + 1
+        root, kept = np.arange(len(part)), np.zeros(len(part), bool)
+        for lo, hi in zip([0, *edges], [*edges, len(part)], strict=True):
+            at = np.arange(lo, hi)
+            a, b = pruned(sigs, sizes, at, at, threshold, needed)
+            kept[a] = kept[b] = True
+            root[lo:hi] = lo + tied(hi - lo, a - lo, b - lo)
+        return part.assign(root=keys[root])[kept]
+
+    return alive
+
+
+def members(kinds: DataFrame, groups: DataFrame, threshold: float, tolerance: float, loose: int) -> DataFrame:
+    """(key, root, copies, hash, n, sig) of the sets whose texts are to be compared, by group.
+
+    Groups of up to ``loose`` sets are looked at whole, by signatures alone;
+    larger ones stay as pairs that outlive the pruning have tied them.
+    """
+    large = shared.written(groups.groupBy("root").agg(F.count("*").alias("m")).filter(F.col("m") > loose).select("root"), "large")
+    rows = lambda how: groups.join(large, "root", how).withColumnRenamed("node", "key").join(kinds, "key").select("key", "root", "copies", "hash", "n", "sig")
+    bundles = max(1, groups.count() // (4 * BUCKET_BLOCK))
+    bundle = F.pmod(F.xxhash64("root"), F.lit(bundles))
+    return rows("left_anti").groupBy(bundle).applyInPandas(survivor(threshold, tolerance), MEMBER).unionByName(rows("left_semi"))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES, **grouping: int) -> DataFrame:
     """(doc_id, hash, key, root, class_id, n_links, n_link_texts), a row for each of ``docs`` (doc_id, text).
 
@@ -235,15 +272,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "n", "sig")).alias("m")
     kinds = shared.written(sets.filter(F.col("key").isNotNull()).groupBy("key").agg(first, F.count("*").alias("copies")).select("key", "copies", "m.doc_id", "m.hash", "m.n", "m.sig"), "kinds")
     groups = groups_of(kinds, threshold, tolerance, **grouping)
-    member = groups.withColumnRenamed("node", "key").join(kinds, "key")
+    alive = shared.written(members(kinds, groups, threshold, tolerance, grouping.get("loose", LOOSE)), "alive")
     # Blocks of a group are counted by its sets and its shingles. Only groups of
     # several blocks are looked up, over salts, as one may hold a third of all sets.
-    sizes = shared.written(member.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("all_n")), "sizes")
+    sizes = shared.written(alive.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("all_n")), "sizes")
     blocks = F.greatest(F.ceil(F.col("m") / block_sets), F.ceil(F.col("all_n") / block_shingles))
     blocks = F.least(F.col("m"), blocks).cast("int").alias("blocks")
     salts = max(1, (sizes.agg(F.max("m")).first()[0] or 0) // SPREAD)
     several = sizes.select("root", blocks).filter("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    member = member.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(several, ["root", "salt"], "left")
+    member = alive.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(several, ["root", "salt"], "left")
     member = shared.written(member.select("key", "root", "copies", "hash", "n", "sig", F.coalesce("blocks", F.lit(1)).alias("blocks")), "members")
     small = member.filter("blocks = 1").agg(F.sum("n")).first()[0] or 0
     bundles = max(1, small // (block_shingles // 4))
@@ -255,7 +292,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     # Equal texts are put together before they are sent, and go by their hash: an id may be null or stand for many texts.
     texts = hashed.groupBy("hash").agg(F.first("text").alias("text")).join(dealt, "hash")
     links = shared.written(texts.groupBy("bundle", "big", "i", "j").applyInPandas(linker(threshold, tolerance), LINKS), "links")
-    shared.drop(member, sizes, groups)
+    shared.drop(member, alive, sizes, groups)
     counts = links.groupBy("key").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"), F.min("root").alias("root"), F.min("whole").alias("whole"))
     roots = shared.components(links.filter("NOT whole").select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "key", "root": "far"})
     linked = counts.join(roots, "key", "left").select("key", "links", "texts", F.coalesce("far", "root").alias("root"))
