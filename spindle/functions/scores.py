@@ -174,16 +174,27 @@ def section_fit(label: Column, shot_role: Column, template: Template = GROWTH) -
     return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), F.lit(0.5))
 
 
+def around(points: Sequence[float], t: Column) -> Column:
+    """The last of sorted points below ``t`` and the next one, found by halving: one or two (distance, point)."""
+    at, n = F.lit(sorted(map(float, points))), len(points)
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        lower = F.get(at, mid) < t
+        return F.when(s["lo"] < s["hi"], F.struct(F.when(lower, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(lower, s["hi"]).otherwise(mid).alias("hi"))).otherwise(s)
+
+    below = F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi")), halve, lambda s: s["lo"])
+    return F.transform(F.slice(at, F.greatest(below, F.lit(1)), F.lit(2)), lambda p: F.struct(F.abs(p - t).alias("d"), p.alias("p")))
+
+
 def distance_to(points: Sequence[float], t: Column) -> Column:
     """Least distance to sorted points; null without any."""
-    return F.array_min(F.transform(F.lit(list(points)), lambda p: F.abs(p - t))) if points else F.lit(None).cast("double")
+    return F.array_min(around(points, t))["d"] if points else F.lit(None).cast("double")
 
 
 def nearest(points: Sequence[float], t: Column) -> Column:
     """The nearest point, the first of equals."""
-    if not points:
-        return F.lit(None).cast("double")
-    return F.array_min(F.transform(F.lit(list(points)), lambda p: F.struct(F.abs(p - t).alias("d"), p.alias("p"))))["p"]
+    return F.array_min(around(points, t))["p"] if points else F.lit(None).cast("double")
 
 
 def rhythm_fit(music: Music, t: Column, rhythm: Rhythm = Rhythm()) -> Column:

@@ -286,3 +286,15 @@ def test_a_template_has_its_own_section_map(spark):
     assert found and all(r["mismatches"] == (0 if r["shot_role"] == "action" else r["n"]) for r in found)
     got = planner.scored(catalog.plan_input(spark, SF).filter("project_id = 1"), own, ["verse"]).select("shot_role", F.get("section", F.lit(0)).alias("b"), F.col("section")).collect()
     assert got and len({r["b"] for r in got}) > 1
+
+
+def test_nearest_points_are_those_of_a_plain_search(spark):
+    """Ties go to the earlier point; before the first, after the last, on a point, and without a time."""
+    rows = [None, -3.0, 0.0, 0.5, 1.0, 1.4, 1.5, 2.0, 2.75, 7.9, 8.0, 8.1, 50.0, *[i / 7 for i in range(100)]]
+    for points in ((), (1.0,), (1.0, 2.0), (0.0, 1.0, 2.0, 3.5, 8.0), tuple(i * 0.47 for i in range(33))):
+        found = spark.createDataFrame([(x,) for x in rows], "t double").select("t", S.nearest(points, F.col("t")).alias("p"), S.distance_to(points, F.col("t")).alias("d")).collect()
+        for r in found:
+            if r["t"] is None or not points:
+                assert r["d"] is None
+            else:
+                assert (r["d"], r["p"]) == min((abs(p - r["t"]), p) for p in points)
