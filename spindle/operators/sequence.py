@@ -148,16 +148,17 @@ def best_window(shots: DataFrame, frames: DataFrame, fps: float = 30.0, size_max
 
     ``shots``: media_id, start, end, media_type, highlight_score, overall;
     ``frames``: media_id, frame_idx, frame_score. Stills and shots shorter than
-    twice the least size are taken whole.
+    twice the least size are taken whole. Frames and windows are many times what
+    the planner takes their tables' sizes for, so they are sorted, never broadcast.
     """
     dur = F.col("end") - F.col("start")
     whole = (F.col("media_type") == "photo") | (dur < 2 * size_min)
     size = F.greatest(F.least(F.lit(size_max), dur * 0.6), F.lit(size_min))
     k = F.greatest(F.floor((dur + 0.01 - size) / step).cast("int"), F.lit(0))
     tried = shots.filter(~whole).withColumn("__size", size).withColumn("__k", F.explode(F.sequence(F.lit(0), k))).withColumn("__at", F.col("start") + F.col("__k") * step)
-    tried = tried.withColumn("frame_idx", ((F.col("__at") + F.col("__size") / 2) * fps).cast("bigint")).join(frames.select("media_id", "frame_idx", "frame_score"), ["media_id", "frame_idx"])
+    tried = tried.withColumn("frame_idx", ((F.col("__at") + F.col("__size") / 2) * fps).cast("bigint")).join(frames.select("media_id", "frame_idx", "frame_score").hint("merge"), ["media_id", "frame_idx"])
     best = tried.groupBy("media_id", "start").agg(F.max(F.struct(F.col("frame_score"), (-F.col("__k")).alias("turn"), F.col("__at"), F.col("__size"))).alias("b"))
-    out = shots.join(best, ["media_id", "start"], "left")
+    out = shots.join(best.hint("merge"), ["media_id", "start"], "left")
     fallback = F.when(F.col("media_type") == "photo", F.col("highlight_score")).otherwise(F.col("overall"))
     return out.select(*shots.columns, F.coalesce("b.__at", "start").alias("best_start"), F.coalesce(F.least(F.col("b.__at") + F.col("b.__size"), F.col("end")), F.col("end")).alias("best_end"), F.coalesce("b.frame_score", fallback).alias("window_score"))
 

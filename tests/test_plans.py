@@ -478,6 +478,13 @@ def test_windows_are_those_of_a_plain_loop(spark):
     assert {r["media_id"]: (r["best_start"], r["best_end"], r["window_score"]) for r in got} == {i: pytest.approx(w) for i, w in want.items()}
 
 
+def test_windows_are_joined_without_a_broadcast(spark):
+    shots = spark.createDataFrame([(1, 0.0, 6.0, "video", 0.5, 0.5)], "media_id bigint, start double, end double, media_type string, highlight_score double, overall double")
+    frames = spark.range(60).selectExpr("1L AS media_id", "id AS frame_idx", "id % 7 / 6D AS frame_score")
+    plan = sequence.best_window(shots, frames, fps=10.0)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_sections_by_loudness_are_those_of_a_plain_loop(spark):
     rng, rows, want = random.Random(7), [], {}
     for track, n in enumerate((1, 9, 11, 13, 60, 200, 400)):
