@@ -14,22 +14,21 @@ import json
 import math
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindle.functions import scores as S
 from spindle.functions.scores import ARC, ROLES
+from spindle.operators import streams
 from spindle.plans.templates import PROFILES, RETAIN, TEMPLATES, Music, Project, Section, Template
 
 CLOSING = {"reaction", "detail"}
 SHOT = ["media_id", "source_id", "media_type", "event_id", "shot_role", "highlight_score", "sharpness", "exposure", "stability", "face_score", "motion_intensity"]
 OUT = (
-    "project_id bigint, clip_idx int, media_id bigint, source_id bigint, media_type string, event_id bigint, shot_role string, highlight_score double, "
+    "clip_idx int, media_id bigint, source_id bigint, media_type string, event_id bigint, shot_role string, highlight_score double, "
     "sharpness double, exposure double, stability double, face_score double, motion_intensity double, timeline_start double, timeline_end double, "
     "in_point double, out_point double, shot_start double, shot_end double, transition_in string, transition_out string, transition_duration double, "
     "chapter string, selection_reason string, total_score double"
@@ -119,16 +118,21 @@ class Planner:
         pool = [int(i) for i in np.argsort(-h, kind="stable") if h[i] >= 0.3]
         taken: set[tuple] = set()
         seen: set[int] = set()
+        fresh = pool  # shots of events that no chorus before has
         for section in (x for x in self.track.music.sections if x.label == "chorus"):
             wanted = max(2, int((section.end - section.start) / 3))
             picky = len(pool) > 2 * wanted
             own: list[int] = []
-            for strict in (True, False):
-                for i in pool:
-                    if len(own) < wanted and self.keys[i] not in taken and not (strict and picky and events[i] in seen):
+            for part in (fresh if picky else pool, pool):
+                for i in part:
+                    if len(own) >= wanted:
+                        break
+                    if self.keys[i] not in taken:
                         own.append(i)
                         taken.add(self.keys[i])
-            seen |= {events[i] for i in own}
+            new = {events[i] for i in own} - seen
+            seen |= new
+            fresh = [i for i in fresh if events[i] not in new] if new else fresh
         return taken
 
     def scores(self, chapter: str, t: float) -> np.ndarray:
@@ -163,11 +167,12 @@ class Planner:
         out: dict[str, list[int]] = {}
         for c in chapters:
             middle = sum(c.emotion) / 2
-            fits = [x for x in left if c.emotion[0] <= x[1] <= c.emotion[1]]
-            near = sorted((x for x in left if x not in fits), key=lambda x: abs(x[1] - middle)) if len(fits) < each else []
-            taken = (fits + near)[:each]
-            out[c.name] = [i for i, _ in taken]
-            left = [x for x in left if x not in taken]
+            inside = lambda x: c.emotion[0] <= x[1] <= c.emotion[1]  # noqa: B023, E731
+            fits = [x for x in left if inside(x)]
+            near = sorted((x for x in left if not inside(x)), key=lambda x: abs(x[1] - middle)) if len(fits) < each else []
+            out[c.name] = [i for i, _ in (fits + near)[:each]]
+            taken = set(out[c.name])
+            left = [x for x in left if x[0] not in taken]
         for event, emotion in left:
             out[min(chapters, key=lambda c: abs(emotion - sum(c.emotion) / 2)).name].append(event)
         return out
@@ -357,7 +362,7 @@ def plan(shots: DataFrame, project: Project | str = "growth", music: Music = Mus
 
     Rows without a project are in no plan. ``tracks`` has the track of each project: project_id, beats, sections (label, start, end, energy), high (start, end) and
     curve (t, energy), a row each; projects without one take ``music``. A shot is known by its source and start: of equal ones
-    the first chosen is used. Partitions are sorted by project and read as streams, so a task holds one project's shots at a time.
+    the first chosen is used. Partitions are sorted by project and read as streams, so a task holds a batch and one project's shots at a time.
     """
     project = PROFILES[project] if isinstance(project, str) else project
     template = TEMPLATES[project.template]
@@ -368,49 +373,31 @@ def plan(shots: DataFrame, project: Project | str = "growth", music: Music = Mus
     may_lack = {"hhmm", "best_start", "best_end", "at"}
     structure = ["beats", "sections", "high", "curve"]
 
-    def one(project_id: int, s: dict[str, list], track: Track) -> pd.DataFrame:
-        clips = Planner(s, project, bare, track, labels).plan()
-        out: dict[str, list] = {"project_id": [project_id] * len(clips), "clip_idx": list(range(len(clips)))}
+    def one(s: dict) -> dict[str, list] | None:
+        """A project's clips; nothing for a track without shots."""
+        rows = {c: v.tolist() if isinstance(v, np.ndarray) else v for c, v in s.items()}
+        own = [x for x in rows.get("__track", ()) if x is not None]
+        if own:
+            kept = [i for i, x in enumerate(rows["__track"]) if x is None]
+            rows = {c: [v[i] for i in kept] for c, v in rows.items()}
+        if not rows["media_id"]:
+            return None
+        s = {c: [None if x is None or x != x else x for x in v] if c in may_lack else v for c, v in rows.items()}
+        clips = Planner(s, project, bare, Track(music_of(json.loads(own[0])), project) if own else usual, labels).plan()
+        if not clips:
+            return None
+        out: dict[str, list] = {"clip_idx": list(range(len(clips)))}
         out |= {c: [s[c][x.row] for x in clips] for c in SHOT}
         out |= {"timeline_start": [c.start for c in clips], "timeline_end": [c.end for c in clips], "in_point": [c.in_point for c in clips], "out_point": [c.out_point for c in clips]}
         out |= {"shot_start": [s["start"][c.row] for c in clips], "shot_end": [s["end"][c.row] for c in clips]}
         edges = transitions([c.chapter for c in clips])
         out |= {name: [e[k] for e in edges] for k, name in enumerate(("transition_in", "transition_out", "transition_duration"))}
-        return pd.DataFrame(out | {"chapter": [c.chapter for c in clips], "selection_reason": [c.reason for c in clips], "total_score": [c.score for c in clips]})
+        return out | {"chapter": [c.chapter for c in clips], "selection_reason": [c.reason for c in clips], "total_score": [c.score for c in clips]}
 
-    def planned(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A project's clips; nothing for a track without shots."""
-        part = pd.concat(held, ignore_index=True)
-        own = part["__track"].dropna().tolist() if "__track" in part else []
-        part = part[part["__track"].isna()] if own else part
-        if not len(part):
-            return
-        columns = {c: [None if x is None or x != x else x for x in part[c].tolist()] if c in may_lack else part[c].tolist() for c in names}
-        clips = one(int(part["project_id"].iloc[0]), columns, Track(music_of(json.loads(own[0])), project) if own else usual)
-        if len(clips):
-            yield clips
-
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Projects one after another; a project may go on in the next batch."""
-        held: list[pd.DataFrame] = []
-        for b in batches:
-            ids = b["project_id"].to_numpy()
-            edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
-            for i, j in zip(edges, edges[1:], strict=False):
-                if held and len(ids) and held[-1]["project_id"].iloc[0] != ids[i]:
-                    yield from planned(held)
-                    held = []
-                if j > i:
-                    held.append(b.iloc[i:j])
-        if held:
-            yield from planned(held)
-
-    # Planning is work of the processor, not of bytes: partitions aren't put together by their size.
-    parts = int(shots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = scored(shots.filter("project_id IS NOT NULL"), template, labels).select(*names)
+    rows = scored(shots.filter("project_id IS NOT NULL"), template, labels).select(*names).withColumn("project_id", F.col("project_id").cast("bigint"))
     if tracks is not None:
-        # A track's row comes before its project's shots; its whole numbers are no nulls, which pandas would make doubles of all.
+        # A track's row comes before its project's shots; its whole numbers are no nulls, which would make doubles of all.
         blank = [F.lit(0).cast(rows.schema[c].dataType).alias(c) for c in ("media_id", "source_id", "event_id")]
         first = F.lit(-1).cast(rows.schema["input_idx"].dataType).alias("input_idx")
         rows = rows.unionByName(tracks.select("project_id", first, *blank, F.to_json(F.struct(*structure)).alias("__track")), allowMissingColumns=True)
-    return rows.repartition(parts, "project_id").sortWithinPartitions("project_id", "input_idx").mapInPandas(stream, OUT)
+    return streams.per_key(rows, ["project_id"], ["input_idx"], one, OUT)
