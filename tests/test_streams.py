@@ -37,3 +37,21 @@ def test_plans_of_both_profiles_are_made_in_batches_of_projects(spark):
     for profile in ("growth", "travel"):
         made = planner.plan(rows, profile, templates.TRACK)
         assert "MapInArrow" in plan_of(made) and "MapInPandas" not in plan_of(made) and made.count() > 100
+
+
+def test_events_go_to_chapters_as_a_plain_search_says(spark):
+    rng = random.Random(5)
+    for n in (1, 3, 9, 40):
+        s = {c: [rng.random() for _ in range(n)] for c in ("overall", "emotion", "highlight_score", "base", "penalty", "preference")}
+        s |= {"event_id": list(range(n)), "source_id": list(range(n)), "start": [0.0] * n, "at": list(range(n)), "hhmm": ["10:00"] * n, "story": [[0.5] * 4] * n, "section": [[0.5]] * n}
+        template = templates.TEMPLATES["growth"]
+        p = planner.Planner(s, templates.PROFILES["growth"], template, planner.Track(templates.Music(), templates.PROFILES["growth"]), ["verse"])
+        left, want = p.events(), {}
+        each = max(1, n // len(template.chapters))
+        for c in template.chapters:
+            fits = [x for x in left if c.emotion[0] <= x[1] <= c.emotion[1]]
+            near = sorted((x for x in left if x not in fits), key=lambda x: abs(x[1] - sum(c.emotion) / 2)) if len(fits) < each else []  # noqa: B023
+            want[c.name] = [x[0] for x in (fits + near)[:each]]
+            left = [x for x in left if x[0] not in want[c.name]]
+        got = p.allocate()
+        assert all(got[c][: len(want[c])] == want[c] for c in want) and sorted(e for x in got.values() for e in x) == list(range(n))
