@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from spindle.functions import scores as S
+from spindle.operators import streams
+from spindle.sources import store
 
 MAX_JUMPS_PER_SEC = 0.25
 CONTENT = ["media_id", "source_id", "media_type", "event_id", "shot_role", "highlight_score", "sharpness", "exposure", "stability", "face_score", "motion_intensity", "in_point", "out_point", "shot_start", "shot_end", "total_score", "selection_reason"]
@@ -129,13 +132,11 @@ def swap_roles(clips: DataFrame, key: str = "project_id", reach: int = 8, told:
     A pass per project, as each swap changes what the next step sees. With
     ``told`` a project's first clip has the threes that were met, in __triples.
     """
-    content = [c for c in CONTENT if c in clips.columns]
+    names, content = clips.columns, [c for c in CONTENT if c in clips.columns]
     triples = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("role", T.StringType())]))
 
-    def repair(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("clip_idx", ignore_index=True)
-        order, roles, chapters, met = list(range(len(part))), part["shot_role"].tolist(), part["chapter"].tolist(), []
-        at = 0
+    def repaired(roles: list, chapters: list) -> tuple[list[int], list[tuple[int, str]]]:
+        order, met, at = list(range(len(roles))), [], 0
         while at + 2 < len(order):
             three = {roles[order[at + d]] for d in range(3)}
             step = 1
@@ -148,13 +149,24 @@ def swap_roles(clips: DataFrame, key: str = "project_id", reach: int = 8, told:
                 else:
                     order[third], order[partner] = order[partner], order[third]
             at += step
-        part[content] = part[content].iloc[order].reset_index(drop=True)
-        if told:
-            part["__triples"] = [met if i == 0 else [] for i in range(len(part))]
-        return part
-
+        return order, met
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, edges in streams.whole_groups(batches):
+            roles, chapters = table["shot_role"].to_pylist(), table["chapter"].to_pylist()
+            order, threes = [], [[] for _ in roles]
+            for i, j in zip(edges, edges[1:], strict=False):
+                own, threes[i] = repaired(roles[i:j], chapters[i:j])
+                order += [i + k for k in own]
+            moved = table.take(pa.array(order, pa.int64()))
+            columns = [(moved if c in content else table)[c] for c in names]
+            if told:
+                columns.append(pa.array([[{"at": at, "role": role} for at, role in x] for x in threes], arrow))
+            yield from pa.Table.from_arrays(columns, names=[*names, *(['__triples'] if told else [])]).combine_chunks().to_batches()
+
+    arrow = to_arrow_type(triples)
     schema = T.StructType([*clips.schema.fields, T.StructField("__triples", triples)]) if told else clips.schema
-    return clips.groupBy(key).applyInPandas(repair, schema)
+    return streams.marked(clips, [key], ["clip_idx"]).mapInArrow(stream, schema)
 
 
 def _details(swapped: DataFrame, edged: DataFrame, ruled: DataFrame, key: str) -> DataFrame:
@@ -179,10 +191,12 @@ def apply(clips: DataFrame, key: str = "project_id") -> tuple[DataFrame, DataFra
     Threes of a role are broken up, breathless runs marked in the reason, jumps
     between events counted, then transitions put in at chapters and within them.
     Projects of under three clips stay as they are, their report is all zeros.
+    ``clips`` are read some times: a plan should be a table first. What was
+    broken up is one, as all later rules read it.
     """
     clips = clips.withColumn("__n", F.count("*").over(Window.partitionBy(key)))
     few, many = clips.filter("__n < 3").drop("__n"), clips.filter("__n >= 3").drop("__n")
-    swapped = swap_roles(many, key, told=True)
+    swapped = store.written(swap_roles(many, key, told=True), "swapped")
     breath = breathless(swapped, [key]).select(key, "clip_idx", F.lit(" [grammar:needs_breath]").alias("__mark"))
     marked = swapped.join(breath, [key, "clip_idx"], "left").withColumn("selection_reason", F.concat("selection_reason", F.coalesce("__mark", F.lit("")))).drop("__mark", "__triples")
     edged = chapter_edges(marked, [key])

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from spindle.functions import scores as S
 from spindle.operators import grammar, music, planner, preference, sequence, summary
 from spindle.plans.templates import GROWTH, PROFILES, TEMPLATES, TRACK, ShotDetect
-from spindle.sources import ingest, reports
+from spindle.sources import ingest, reports, store
 from spindle.sources.views import media, media_sql, table
 
 DAY = 86_400
@@ -540,6 +540,11 @@ def planned(s: SparkSession, d: str, template: str) -> DataFrame:
     return planner.plan(plan_input(s, d), PROFILES[template], TRACK)
 
 
+def plan_table(s: SparkSession, d: str, template: str) -> DataFrame:
+    """A plan that is read more than once: made once, as a table."""
+    return store.written(planned(s, d, template), "planned")
+
+
 def ruled(s: SparkSession, d: str, template: str = "growth") -> DataFrame:
     """A plan after the rules."""
     return grammar.apply(planned(s, d, template))[0]
@@ -561,4 +566,4 @@ def comparison_before_after(s, d):
 @query("grammar_report")
 def grammar_report(s, d):
     """What the rules found in every project's plan."""
-    return grammar.apply(planned(s, d, "growth"))[1].withColumn("details", F.to_json("details"))
+    return grammar.apply(plan_table(s, d, "growth"))[1].withColumn("details", F.to_json("details"))

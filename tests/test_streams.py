@@ -55,3 +55,9 @@ def test_events_go_to_chapters_as_a_plain_search_says(spark):
             left = [x for x in left if x[0] not in want[c.name]]
         got = p.allocate()
         assert all(got[c][: len(want[c])] == want[c] for c in want) and sorted(e for x in got.values() for e in x) == list(range(n))
+
+
+def test_rules_read_tables_not_passes(spark):
+    plan = planner.plan(catalog.plan_input(spark, SF), "growth", templates.TRACK)
+    for frame in grammar.apply(catalog.store.written(plan, "plan")):
+        assert "MapIn" not in plan_of(frame) and "FlatMapGroups" not in plan_of(frame)
