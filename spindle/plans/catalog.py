@@ -558,7 +558,7 @@ query("plan_then_grammar")(lambda s, d: ruled(s, d))
 @query("comparison_before_after")
 def comparison_before_after(s, d):
     """The eight metrics of every project's plan before and after the rules, and their differences."""
-    plan = planned(s, d, "growth")
+    plan = plan_table(s, d, "growth")
     found = reports.comparison_rows(plan, grammar.apply(plan)[0], sessions(s, d), TRACK, PROFILES["growth"].target_duration_sec, True)
     return found.select("project_id", *[F.col(f"{part}.{c}").alias(f"{part}_{c}") for part in ("before", "after", "delta") for c in reports.COMPARED])
 
