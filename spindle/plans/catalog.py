@@ -547,7 +547,7 @@ def plan_table(s: SparkSession, d: str, template: str) -> DataFrame:
 
 def ruled(s: SparkSession, d: str, template: str = "growth") -> DataFrame:
     """A plan after the rules."""
-    return grammar.apply(planned(s, d, template))[0]
+    return grammar.apply(plan_table(s, d, template))[0]
 
 
 query("plan_growth")(lambda s, d: planned(s, d, "growth"))

@@ -61,3 +61,8 @@ def test_rules_read_tables_not_passes(spark):
     plan = planner.plan(catalog.plan_input(spark, SF), "growth", templates.TRACK)
     for frame in grammar.apply(catalog.store.written(plan, "plan")):
         assert "MapIn" not in plan_of(frame) and "FlatMapGroups" not in plan_of(frame)
+
+
+def test_queries_of_rules_make_their_plan_once(spark):
+    for name in ("comparison_before_after", "plan_then_grammar", "grammar_report"):
+        assert "MapIn" not in plan_of(catalog.QUERIES[name](spark, SF))
