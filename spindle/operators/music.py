@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spindle.operators import streams
 from spindle.operators.sequence import exact_mean, islands, min_gap_fold
 
 
@@ -59,9 +59,8 @@ def change_boundaries(rms: DataFrame, keys: Sequence[str], frame: str, t: str, v
     length = F.col(duration) if duration else F.max(t).over(Window.partitionBy(*keys))
     rows = rms.select(*keys, F.col(frame).alias("__frame"), F.col(t).cast("double").alias("__t"), F.col(value).cast("double").alias("__v"), length.cast("double").alias("duration"))
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("__frame", ignore_index=True)
-        loud, times, end = part["__v"].to_numpy(), part["__t"].to_numpy(), float(part["duration"].iloc[0])
+    def one(part: dict) -> dict[str, list]:
+        loud, times, end = np.asarray(part["__v"], float), part["__t"], float(part["duration"][0])
         wide, bounds = min(window, len(loud) // 4), [0.0]
         peaks = np.empty(0, np.int64)
         if len(loud) >= 10 and wide >= 3:
@@ -72,10 +71,9 @@ def change_boundaries(rms: DataFrame, keys: Sequence[str], frame: str, t: str, v
         for p in peaks:
             if times[p] - bounds[-1] >= gap:
                 bounds.append(float(times[p]))
-        return pd.DataFrame([{**{k: part[k].iloc[0] for k in keys}, "bounds": bounds if len(peaks) else [0.0, end], "duration": end}])
+        return {"bounds": [bounds if len(peaks) else [0.0, end]], "duration": [end]}
 
-    types = {f.name: f.dataType.simpleString() for f in rms.schema.fields}
-    return rows.groupBy(*keys).applyInPandas(one, ", ".join(f"{k} {types[k]}" for k in keys) + ", bounds array<double>, duration double")
+    return streams.per_key(rows, keys, [F.col("__frame").asc_nulls_last(), "__t"], one, "bounds array<double>, duration double")
 
 
 def detect_sections(rms: DataFrame, keys: Sequence[str], frame: str, t: str, value: str, points: DataFrame | None = None, duration: str | None = None) -> DataFrame:
@@ -121,10 +119,13 @@ def sections(bounds: DataFrame, rms: DataFrame, keys: Sequence[str], t: str, val
     cut = cut.select(*keys, "s.start", "s.end", "s.only")
     top = F.max(value).over(Window.partitionBy(*keys))
     share = rms.select(*keys, t, F.floor(F.when(top > 0, F.col(value) / top).otherwise(F.col(value)) * 1000000 + 0.5).cast("bigint").alias("__v"))
-    # A track has few sections: each row finds its own in an array, so rows meet no more than one.
-    arrays = cut.groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("__sections"))
-    placed = share.join(arrays, list(keys)).withColumn("__mine", F.get(F.filter("__sections", lambda s: (s["start"] <= F.col(t)) & (F.col(t) < s["end"])), F.lit(0)))
-    energy = placed.filter("__mine IS NOT NULL").groupBy(*keys, F.col("__mine.start").alias("start")).agg((F.sum("__v").cast("double") / F.count("*") / 1000000).alias("avg_energy"))
+    # Sections don't overlap: a row's own is the last that begins at or before it, if that goes on so long.
+    span = F.struct("start", "end")
+    begins = cut.select(*keys, F.col("start").alias("__at"), F.lit(0).alias("__kind"), span.alias("__begun"), F.lit(None).cast("bigint").alias("__v"))
+    placed = begins.unionByName(share.select(*keys, F.col(t).cast("double").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(begins.schema["__begun"].dataType).alias("__begun"), "__v"))
+    before = Window.partitionBy(*keys).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("__mine", F.last("__begun", ignorenulls=True).over(before)).filter((F.col("__kind") == 1) & (F.col("__at") < F.col("__mine.end")))
+    energy = placed.groupBy(*keys, F.col("__mine.start").alias("start")).agg((F.sum("__v").cast("double") / F.count("*") / 1000000).alias("avg_energy"))
     out = cut.join(energy, [*keys, "start"], "left").withColumn("avg_energy", F.when(F.col("only"), F.lit(0.5)).otherwise(F.coalesce("avg_energy", F.lit(0.5))))
     return out.withColumn("idx", F.row_number().over(Window.partitionBy(*keys).orderBy("start")) - 1)
 
@@ -141,17 +142,15 @@ def label_sections(found: DataFrame, keys: Sequence[str]) -> DataFrame:
         .when(F.col("avg_energy") < F.col("__mid") * 0.85, "verse")
         .otherwise("bridge")
     )
-    rows = found.join(middle, list(keys)).withColumn("__raw", raw)
-    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "start", "end", "avg_energy", F.col("__raw").alias("label")))).alias("__s"))
-
-    def step(done: Column, s: Column) -> Column:
-        before = F.element_at(done, -1)["label"]
-        swap = (F.size(done) > 0) & s["label"].isin("verse", "bridge") & F.coalesce(before == s["label"], F.lit(False))
-        label = F.when(swap & (before == "verse"), "bridge").when(swap, "verse").otherwise(s["label"])
-        return F.concat(done, F.array(F.struct(s["idx"].alias("idx"), s["start"].alias("start"), s["end"].alias("end"), s["avg_energy"].alias("avg_energy"), label.alias("label"))))
-
-    zero = F.array().cast("array<struct<idx:int,start:double,end:double,avg_energy:double,label:string>>")
-    return packed.select(*keys, F.explode(F.aggregate(F.col("__s"), zero, step)).alias("s")).select(*keys, "s.*")
+    # Within a run of verses and bridges labels alternate from its first one on, whatever the others were.
+    w = Window.partitionBy(*keys).orderBy("idx")
+    plain = F.col("__raw").isin("verse", "bridge")
+    rows = found.join(middle, list(keys)).withColumn("__raw", raw).withColumns({"__plain": plain, "__n": F.row_number().over(w)})
+    rows = rows.withColumn("__run", F.col("__n") - F.row_number().over(Window.partitionBy(*keys, "__plain").orderBy("idx")))
+    run = Window.partitionBy(*keys, "__plain", "__run").orderBy("idx")
+    first, odd = F.first("__raw").over(run), F.row_number().over(run) % 2 == 1
+    label = F.when(~F.col("__plain"), F.col("__raw")).when(odd, first).when(first == "verse", "bridge").otherwise("verse")
+    return rows.select(*keys, F.col("idx").cast("int").alias("idx"), "start", "end", "avg_energy", label.alias("label"))
 
 
 def leader_groups(vectors: Column, bar: float = 0.85) -> Column:

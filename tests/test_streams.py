@@ -66,3 +66,33 @@ def test_rules_read_tables_not_passes(spark):
 def test_queries_of_rules_make_their_plan_once(spark):
     for name in ("comparison_before_after", "plan_then_grammar", "grammar_report"):
         assert "MapIn" not in plan_of(catalog.QUERIES[name](spark, SF))
+
+
+def test_labels_of_a_long_track_are_those_of_a_plain_loop(spark):
+    rng, n = random.Random(9), 3000
+    rows = [(k, i, i * 20.0, i * 20.0 + 16, rng.choice((0.2, 0.5, 0.5, 0.9)), False) for k in (1, 2) for i in range(n)]
+    made = music.label_sections(spark.createDataFrame(rows, "track int, idx int, start double, end double, avg_energy double, only boolean"), ["track"])
+    assert "aggregate(" not in plan_of(made)
+    got = {(r["track"], r["idx"]): r["label"] for r in made.collect()}
+    before, want = None, {}
+    for k, i, _, _, e, _ in rows:
+        raw = "chorus" if e > 0.5 * 1.15 else "verse" if e < 0.5 * 0.85 else "bridge"
+        label = {"verse": "bridge", "bridge": "verse"}[raw] if i and raw == before and raw != "chorus" else raw
+        want[k, i], before = label, label
+    assert got == want
+
+
+def test_energy_of_many_sections_is_that_of_a_plain_loop(spark):
+    rng, n = random.Random(11), 600
+    loud = [rng.randrange(1, 100) / 100 for _ in range(n * 4)]
+    frames = spark.createDataFrame([(1, i / 4, v) for i, v in enumerate(loud)] + [(1, None, 0.5)], "track int, t double, v double")
+    bounds = spark.createDataFrame([(1, [float(x) for x in range(n) if x % 7 < 5] + [3.5], float(n))], "track int, bounds array<double>, duration double")
+    made = music.sections(bounds, frames, ["track"], "t", "v")
+    places = sorted({float(x) for x in range(n) if x % 7 < 5} | {3.5, float(n)})
+    want = []
+    for a, b in zip(places, places[1:], strict=False):
+        own = [int(v / max(loud) * 1000000 + 0.5) for i, v in enumerate(loud) if a <= i / 4 < b]
+        if b - a >= 1:
+            want.append((a, b, round(sum(own) / len(own) / 1000000, 9)))
+    assert sorted((r["start"], r["end"], round(r["avg_energy"], 9)) for r in made.collect()) == want
+    assert "filter(__sections" not in plan_of(made)
