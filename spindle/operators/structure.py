@@ -9,11 +9,10 @@ import heapq
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindle.operators import music
+from spindle.operators import music, streams
 
 # Fixed values of beat tracking: decibels below the loudest that count, prior of the tempo (beats a minute, octaves),
 # longest lag in seconds, weight of an even period, share of the strongest onset and of the median score that count as a beat.
@@ -85,11 +84,6 @@ def beat_frames(onset: np.ndarray, rate: float, bpm: float) -> np.ndarray:
     return found[strong[0] : strong[-1] + 1] if len(strong) else found[:0]
 
 
-def _schema(rows: DataFrame, keys: Sequence[str]) -> str:
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return ", ".join(f"{k} {types[k]}" for k in keys)
-
-
 def track_beats(rms: DataFrame, keys: Sequence[str], frame: str, t: str, value: str) -> DataFrame:
     """(keys, tempo, beats) of each track from its loudness; ``beats`` are times.
 
@@ -97,16 +91,15 @@ def track_beats(rms: DataFrame, keys: Sequence[str], frame: str, t: str, value:
     """
     rows = rms.select(*keys, F.col(frame).alias("__frame"), F.col(t).cast("double").alias("__t"), F.col(value).cast("double").alias("__v"))
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["__frame", "__t"], ignore_index=True)
-        times = part["__t"].to_numpy()
+    def one(part: dict) -> dict[str, list]:
+        times = np.asarray(part["__t"], float)
         hop = times[1] - times[0] if len(times) > 1 else 0.0
-        onset = onset_strength(part["__v"].to_numpy())
+        onset = onset_strength(part["__v"])
         bpm = tempo(onset, 1.0 / hop) if hop > 0 else 0.0
         at = beat_frames(onset, 1.0 / hop, bpm) if hop > 0 else np.zeros(0, np.int64)
-        return pd.DataFrame([{**{k: part[k].iloc[0] for k in keys}, "tempo": bpm, "beats": times[at].tolist()}])
+        return {"tempo": [bpm], "beats": [times[at].tolist()]}
 
-    return rows.groupBy(*keys).applyInPandas(one, f"{_schema(rms, keys)}, tempo double, beats array<double>")
+    return streams.per_key(rows, keys, [F.col("__frame").asc_nulls_last(), "__t"], one, "tempo double, beats array<double>")
 
 
 def segments(vectors: np.ndarray, k: int) -> list[int]:
@@ -157,14 +150,12 @@ def structural_points(frames: DataFrame, keys: Sequence[str], frame: str, t: str
     known = frames.filter(" AND ".join(f"`{v}` IS NOT NULL" for v in vectors))
     rows = known.select(*keys, F.col(frame).alias("__frame"), F.col(t).cast("double").alias("__t"), F.col(duration).cast("double").alias("__end"), *[F.col(v).cast("array<double>").alias(n) for v, n in zip(vectors, names, strict=True)])
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["__frame", "__t"], ignore_index=True)
+    def one(part: dict) -> dict[str, list]:
         stacked = np.array([np.concatenate([peak_scaled(np.asarray(v, float)) for v in row]) for row in zip(*(part[n] for n in names), strict=True)])
-        k = max(4, min(8, int(part["__end"].iloc[0] / 20)))
-        times = sorted({float(x) for x in part["__t"].to_numpy()[segments(stacked, k)]})
-        return pd.DataFrame([{**{c: part[c].iloc[0] for c in keys}, "points": times}])
+        k = max(4, min(8, int(part["__end"][0] / 20)))
+        return {"points": [sorted({float(part["__t"][i]) for i in segments(stacked, k)})]}
 
-    return rows.groupBy(*keys).applyInPandas(one, f"{_schema(frames, keys)}, points array<double>")
+    return streams.per_key(rows, keys, [F.col("__frame").asc_nulls_last(), "__t"], one, "points array<double>")
 
 
 def track_structure(rms: DataFrame, keys: Sequence[str], frame: str, t: str, value: str, beats: DataFrame | None = None, points: DataFrame | None = None, duration: str | None = None) -> DataFrame:

@@ -96,3 +96,8 @@ def test_energy_of_many_sections_is_that_of_a_plain_loop(spark):
             want.append((a, b, round(sum(own) / len(own) / 1000000, 9)))
     assert sorted((r["start"], r["end"], round(r["avg_energy"], 9)) for r in made.collect()) == want
     assert "filter(__sections" not in plan_of(made)
+
+
+def test_tracks_are_passed_in_batches(spark):
+    made = structure.track_structure(track_queries.loudness(spark, SF), ["project_id"], "frame", "t", "v")
+    assert "FlatMapGroupsInPandas" not in plan_of(made) and made.filter(F.size("beats") > 0).count() > 0
