@@ -26,6 +26,9 @@ from spindle.operators import streams
 from spindle.plans.templates import PROFILES, RETAIN, TEMPLATES, Music, Project, Section, Template
 
 CLOSING = {"reaction", "detail"}
+RANK = {role: k for k, role in enumerate(ROLES)}
+#: Columns that the planner takes as arrays, not as lists.
+ARRAYS = {"base", "penalty", "preference", "story", "section"}
 SHOT = ["media_id", "source_id", "media_type", "event_id", "shot_role", "highlight_score", "sharpness", "exposure", "stability", "face_score", "motion_intensity"]
 OUT = (
     "clip_idx int, media_id bigint, source_id bigint, media_type string, event_id bigint, shot_role string, highlight_score double, "
@@ -109,6 +112,9 @@ class Planner:
         self.by_event: dict[int, list[int]] = defaultdict(list)
         for i, e in enumerate(s["event_id"]):
             self.by_event[e].append(i)
+        lit, tenth = self.highlight >= 0.5, self.highlight * 0.1
+        more = np.where(self.reserved, -0.1, 0.0) if self.track.music.sections else 0.0
+        self.lift = {True: np.where(lit, tenth + 0.25, 0.0), False: np.where(lit, tenth + more, 0.0)}
         self.clips: list[Clip] = []
         self.now, self.used, self.source_uses = 0.0, set(), Counter()
 
@@ -136,11 +142,10 @@ class Planner:
         return taken
 
     def scores(self, chapter: str, t: float) -> np.ndarray:
-        w, label, h = self.template.weights, self.track.label(t), self.highlight
+        w, label = self.template.weights, self.track.label(t)
         fit = self.section[:, self.places[label]] if label in self.places else 0.5
         value = self.base + w[3] * self.story[:, self.places[chapter]] + w[4] * self.track.fit(t) + w[5] * fit
-        more = (0.25 if label == "chorus" else np.where(self.reserved, -0.1, 0.0)) if self.track.music.sections else 0.0
-        return np.maximum(0.0, value + np.where(h >= 0.5, h * 0.1 + more, 0.0) + self.preference - self.penalty)
+        return np.maximum(0.0, value + self.lift[label == "chorus"] + self.preference - self.penalty)
 
     def events(self) -> list[tuple[int, float]]:
         """(event, emotion) in narrative order."""
@@ -177,64 +182,91 @@ class Planner:
             out[min(chapters, key=lambda c: abs(emotion - sum(c.emotion) / 2)).name].append(event)
         return out
 
-    def candidates(self, chapter: str, own: list[int]) -> list[tuple[float, int, str]]:
-        """(score, row, arc role), best first: the chapter's events in the order of the arc, then all other shots at 0.7."""
-        scores, roles, overall = self.scores(chapter, self.now).tolist(), self.s["shot_role"], self.s["overall"]
-        found = []
-        for event in own:
-            rows = sorted(self.by_event.get(event, []), key=lambda i: -overall[i])
-            found += [(scores[i], i, role) for role in ROLES for i in rows if (roles[i] if roles[i] in ROLES else "detail") == role]
-        for event, rows in self.by_event.items():
-            if event not in own:
-                found += [(scores[i] * 0.7, i, roles[i] or "detail") for i in rows]
-        return sorted(found, key=lambda c: -c[0])
-
-    def fill(self, chapter, own: list[int]) -> None:
+    def arcs(self) -> dict[int, list[int]]:
+        """Rows of each event in the order of the arc, each role's best first."""
+        overall, roles = self.s["overall"], self.s["shot_role"]
+        rank = [RANK.get(r, RANK["detail"]) for r in roles]
+        return {event: sorted(sorted(rows, key=lambda i: -overall[i]), key=rank.__getitem__) for event, rows in self.by_event.items()}
+
+    def candidates(self, chapter: str, own: list[int], arcs: dict[int, list[int]]) -> list[tuple[float, int, bool]]:
+        """(score, row, whether of the chapter's events), best first: its events in the order of the arc, then all other shots at 0.7."""
+        mine = set(own)
+        rows = [i for event in own for i in arcs.get(event, ())]
+        n = len(rows)
+        rows += [i for event, others in self.by_event.items() if event not in mine for i in others]
+        scores = self.scores(chapter, self.now)[rows]
+        scores[n:] *= 0.7
+        values, falling = scores.tolist(), (-scores).tolist()
+        return [(values[k], rows[k], k < n) for k in sorted(range(len(rows)), key=falling.__getitem__)]
+
+    def fill(self, chapter, own: list[int], arcs: dict[int, list[int]]) -> None:
         cfg, div, s = self.project, self.project.diversity, self.s
         length, begin = cfg.target_duration_sec * chapter.ratio, self.now
         until = begin + length
         caps = {still: length * part / sum(cfg.video_photo_ratio) * 1.2 for still, part in zip((False, True), cfg.video_photo_ratio, strict=True)}
         spent, roles, sources = {False: 0.0, True: 0.0}, set(), set()
-        last = {"source": None, "event": -1, "role": ""}
-        runs, streak, jumps = {"source": 0, "event": 0, "role": 0}, 0.0, 0
-        limits = {"source": div.max_consecutive_same_source, "event": div.max_consecutive_same_event, "role": div.max_consecutive_same_role}
-        shortest = cfg.clip_duration_sec.min
-        for score, i, arc in self.candidates(chapter.name, own):
-            if self.now >= until:
-                break
+        last_source, last_event, last_role = None, -1, ""
+        same_source = same_event = same_role = jumps = 0
+        streak, shortest = 0.0, cfg.clip_duration_sec.min
+        starts, ends, all_sources, all_events, all_roles, kinds, motions = (s[c] for c in ("start", "end", "source_id", "event_id", "shot_role", "media_type", "motion_intensity"))
+        timed = not np.isnan(np.subtract(ends, starts)).any()  # a shot of unknown length fits whatever is left
+        put = None  # what follows from the time is worked out after each clip
+        for score, i, mine in self.candidates(chapter.name, own, arcs):
+            if put != self.now:
+                put, left, gone = self.now, until - self.now, self.now - begin
+                if left <= 0 or (timed and left < shortest):
+                    break
+                most, loud = min(self.track.longest(put), left), self.track.loud(put)
+                wanted = RANK[next((r for upto, r in ARC if gone / max(length, 0.1) <= upto), ROLES[-1])]
             if self.keys[i] in self.used:
                 continue
-            start, end, left = s["start"][i], s["end"][i], until - self.now
-            seconds = max(min(end - start, self.track.longest(self.now), left), shortest)
+            start, end, source, event, role = starts[i], ends[i], all_sources[i], all_events[i], all_roles[i] or "unknown"
+            seconds = max(min(end - start, most), shortest)
             if seconds > left:
                 continue
-            here = {"source": s["source_id"][i], "event": s["event_id"][i], "role": s["shot_role"][i] or "unknown"}
             # Runs are counted in this order and stay counted when a later check turns the shot away.
-            turned_away = False
-            for kind in ("source", "streak", "event", "role"):
-                if kind == "streak":
-                    streak = streak + seconds if here["source"] == last["source"] else seconds
-                    turned_away = here["source"] == last["source"] and streak > cfg.max_same_event_streak_sec
-                elif here[kind] == last[kind]:
-                    runs[kind] += 1
-                    turned_away = runs[kind] >= limits[kind]
-                else:
-                    runs[kind] = 0
-                    jumps += kind == "event" and last["event"] >= 0
-                if turned_away:
-                    break
-            gone = self.now - begin
-            if turned_away or (jumps and gone > 0 and jumps / max(gone, 1.0) > 0.25 and here["event"] != last["event"]):
+            if source == last_source:
+                same_source += 1
+                if same_source >= div.max_consecutive_same_source:
+                    continue
+                streak += seconds
+                if streak > cfg.max_same_event_streak_sec:
+                    continue
+            else:
+                same_source, streak = 0, seconds
+            if event == last_event:
+                same_event += 1
+                if same_event >= div.max_consecutive_same_event:
+                    continue
+            else:
+                same_event = 0
+                jumps += last_event >= 0
+            if role == last_role:
+                same_role += 1
+                if same_role >= div.max_consecutive_same_role:
+                    continue
+            else:
+                same_role = 0
+            if jumps and gone > 0 and jumps / max(gone, 1.0) > 0.25 and event != last_event:
+                continue
+            still = kinds[i] == "photo"
+            if spent[still] >= caps[still] or (loud and not still and motions[i] < 0.3):
                 continue
-            value = score - (div.same_source_penalty * self.source_uses[here["source"]])
-            value -= div.chapter_repeat_penalty if here["source"] in sources else 0.0
-            value -= div.same_angle_penalty if here["role"] == last["role"] else 0.0
-            value += 0.05 if here["event"] in own else 0.0
-            wanted = next((r for upto, r in ARC if gone / max(length, 0.1) <= upto), ROLES[-1])
-            value += 0.08 if arc == wanted else 0.03 if arc in ROLES and ROLES.index(arc) <= ROLES.index(wanted) else 0.0
-            value += 0.10 if len(roles) < 2 and arc not in roles else 0.0
-            still = s["media_type"][i] == "photo"
-            if value < 0.05 or (not still and s["motion_intensity"][i] < 0.3 and self.track.loud(self.now)) or spent[still] >= caps[still]:
+            arc = all_roles[i] or "detail"
+            if mine and arc not in RANK:
+                arc = "detail"
+            value = score - (div.same_source_penalty * self.source_uses[source])
+            if source in sources:
+                value -= div.chapter_repeat_penalty
+            if role == last_role:
+                value -= div.same_angle_penalty
+            if mine:
+                value += 0.05
+            rank = RANK.get(arc, len(RANK))
+            value += 0.08 if rank == wanted else 0.03 if rank < wanted else 0.0
+            if len(roles) < 2 and arc not in roles:
+                value += 0.10
+            if value < 0.05:
                 continue
             self.now = self.track.snapped(self.now)
             a, b = start, min(start + seconds, end)
@@ -243,15 +275,15 @@ class Planner:
             if windowed:
                 wb = min(best[0] + seconds, best[1], end)
                 a, b = (best[0], wb) if wb - best[0] >= shortest else (a, b)
-            reason = f"event={here['event']} arc={arc} score={value:.3f}"
+            reason = f"event={event} arc={arc} score={value:.3f}"
             if windowed and best[0] != start:
                 reason += f" window={best[0]:.1f}-{best[1]:.1f}"
             self.put(i, a, b, chapter.name, reason, value)
-            self.source_uses[here["source"]] += 1
-            sources.add(here["source"])
-            roles.add(here["role"])
+            self.source_uses[source] += 1
+            sources.add(source)
+            roles.add(role)
             spent[still] += b - a
-            last = here
+            last_source, last_event, last_role = source, event, role
 
     def put(self, row: int, a: float, b: float, chapter: str, reason: str, score: float) -> None:
         self.clips.append(Clip(row, self.now, self.now + (b - a), a, b, chapter, reason, float(score)))
@@ -271,7 +303,7 @@ class Planner:
         scores = self.scores(chapter, self.now)
         for i in np.argsort(-scores, kind="stable").tolist():
             left, start, end = goal - self.now, self.s["start"][i], self.s["end"][i]
-            if left <= 0:
+            if left <= 0 or left < clip.min:
                 break
             seconds = max(min(end - start, clip.max, left), clip.min)
             if self.keys[i] not in self.used and seconds <= left:
@@ -317,9 +349,9 @@ class Planner:
                     setattr(b, name, x)
 
     def plan(self) -> list[Clip]:
-        own = self.allocate()
+        own, arcs = self.allocate(), self.arcs()
         for chapter in self.template.chapters:
-            self.fill(chapter, own[chapter.name])
+            self.fill(chapter, own[chapter.name], arcs)
         self.backfill()
         self.trim()
         self.close_chapters()
@@ -375,11 +407,11 @@ def plan(shots: DataFrame, project: Project | str = "growth", music: Music = Mus
 
     def one(s: dict) -> dict[str, list] | None:
         """A project's clips; nothing for a track without shots."""
-        rows = {c: v.tolist() if isinstance(v, np.ndarray) else v for c, v in s.items()}
-        own = [x for x in rows.get("__track", ()) if x is not None]
+        own = [x for x in s.get("__track", ()) if x is not None]
         if own:
-            kept = [i for i, x in enumerate(rows["__track"]) if x is None]
-            rows = {c: [v[i] for i in kept] for c, v in rows.items()}
+            kept = [i for i, x in enumerate(s["__track"]) if x is None]
+            s = {c: v[kept] if isinstance(v, np.ndarray) else [v[i] for i in kept] for c, v in s.items()}
+        rows = {c: v.tolist() if isinstance(v, np.ndarray) and c not in ARRAYS else v for c, v in s.items()}
         if not rows["media_id"]:
             return None
         s = {c: [None if x is None or x != x else x for x in v] if c in may_lack else v for c, v in rows.items()}
@@ -396,8 +428,9 @@ def plan(shots: DataFrame, project: Project | str = "growth", music: Music = Mus
 
     rows = scored(shots.filter("project_id IS NOT NULL"), template, labels).select(*names).withColumn("project_id", F.col("project_id").cast("bigint"))
     if tracks is not None:
-        # A track's row comes before its project's shots; its whole numbers are no nulls, which would make doubles of all.
-        blank = [F.lit(0).cast(rows.schema[c].dataType).alias(c) for c in ("media_id", "source_id", "event_id")]
+        # A track's row comes before its project's shots; its whole numbers and lists are no nulls, which would make doubles and lists of lists of all.
+        blank = [F.lit(0).cast(rows.schema[c].dataType).alias(c) for c in ("media_id", "source_id", "event_id", "at")]
+        blank += [F.array_repeat(F.lit(0.0), n).alias(c) for c, n in (("story", len(template.chapters)), ("section", len(labels)))]
         first = F.lit(-1).cast(rows.schema["input_idx"].dataType).alias("input_idx")
         rows = rows.unionByName(tracks.select("project_id", first, *blank, F.to_json(F.struct(*structure)).alias("__track")), allowMissingColumns=True)
     return streams.per_key(rows, ["project_id"], ["input_idx"], one, OUT)

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -42,20 +43,30 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
 
 
 def values(column: pa.ChunkedArray) -> np.ndarray | list:
-    """Numbers with nan for null, other values with None; whole numbers stay whole beside nulls."""
+    """Numbers with nan for null, other values with None; whole numbers stay whole beside nulls. Lists of one length are rows of an array."""
     if pa.types.is_floating(column.type) or (pa.types.is_integer(column.type) and not column.null_count):
         return column.to_numpy()
+    if pa.types.is_string(column.type):
+        return column.to_numpy().tolist()
+    if pa.types.is_list(column.type) and pa.types.is_floating(column.type.value_type) and len(column) and not column.null_count:
+        sizes = pc.unique(pc.list_value_length(column))
+        if len(sizes) == 1 and sizes[0].as_py():
+            return pc.list_flatten(column).to_numpy().reshape(len(column), -1)
     rows = column.to_pylist()
     return [float("nan") if x is None else x for x in rows] if pa.types.is_integer(column.type) else rows
 
 
-def marked(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Rows dealt out by key and sorted within it, each key's first one marked.
+def dealt(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows dealt out by key. Rows that are dealt so before their windows by the key are moved once only, by ``marked`` too.
 
     The work is the processor's, not of bytes: partitions aren't put together by their size.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *keys).withColumn(FIRST, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def marked(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows dealt out by key and sorted within it, each key's first one marked."""
+    return dealt(rows, keys).withColumn(FIRST, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)
 
 
 def per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str], one: Callable[[dict], dict[str, list] | None], schema: str) -> DataFrame:

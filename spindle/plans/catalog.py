@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindle.functions import scores as S
-from spindle.operators import grammar, music, planner, preference, sequence, summary
+from spindle.operators import grammar, music, planner, preference, sequence, streams, summary
 from spindle.plans.templates import GROWTH, PROFILES, TEMPLATES, TRACK, ShotDetect
 from spindle.sources import ingest, reports, store
 from spindle.sources.views import media, media_sql, table
@@ -20,14 +20,14 @@ DAY = 86_400
 KEY = ["project_id"]
 
 
-def shots(spark: SparkSession, d: str) -> DataFrame:
+def shots(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
     """Media with role and highlight."""
-    rows = media(spark, d).withColumn("shot_role", S.role()).withColumn("__h", S.highlight())
+    rows = media(spark, d, events).withColumn("shot_role", S.role()).withColumn("__h", S.highlight())
     return rows.withColumns({"highlight_score": F.col("__h.score"), "highlight_reason": F.col("__h.reason")}).drop("__h")
 
 
-def sessions(spark: SparkSession, d: str, gap: int = DAY) -> DataFrame:
-    return sequence.sessionize(shots(spark, d), KEY, "ts", ["media_id"], gap)
+def sessions(spark: SparkSession, d: str, gap: int = DAY, events: DataFrame | None = None) -> DataFrame:
+    return sequence.sessionize(shots(spark, d, events), KEY, "ts", ["media_id"], gap)
 
 
 def clips(spark: SparkSession, d: str) -> DataFrame:
@@ -531,8 +531,8 @@ def report_rows(s, d):
 
 # Plans.
 def plan_input(s: SparkSession, d: str) -> DataFrame:
-    """Shots of each project in input order: videos before stills."""
-    rows = sessions(s, d).withColumns({"overall": S.overall(), "emotion": S.emotion(), "start": F.lit(0.0), "end": F.col("duration_ms") / 1000, "hhmm": F.date_format("ts", "HH:mm"), "at": F.unix_micros(F.col("ts").cast("timestamp")), "best_start": F.lit(None).cast("double"), "best_end": F.lit(None).cast("double"), "preference": F.lit(0.0)})
+    """Shots of each project in input order: videos before stills. Events are dealt out once, as they are read, for all windows and the planner."""
+    rows = sessions(s, d, events=streams.dealt(table(s, d, "events"), ["user_id"])).withColumns({"overall": S.overall(), "emotion": S.emotion(), "start": F.lit(0.0), "end": F.col("duration_ms") / 1000, "hhmm": F.date_format("ts", "HH:mm"), "at": F.unix_micros(F.col("ts").cast("timestamp")), "best_start": F.lit(None).cast("double"), "best_end": F.lit(None).cast("double"), "preference": F.lit(0.0)})
     return rows.withColumn("input_idx", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.col("media_type") == "photo", "media_id"))).drop("ts")
 
 

@@ -30,8 +30,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(*[f"{e} AS {n}" for n, e in MEDIA.items()])
+def media(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """``events``: the table's rows, where they were dealt out beforehand."""
+    return (table(spark, sf_dir, "events") if events is None else events).selectExpr(*[f"{e} AS {n}" for n, e in MEDIA.items()])
 
 
 def media_sql() -> str:

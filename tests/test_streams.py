@@ -3,6 +3,9 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from spindle.operators import grammar, music, planner, streams, structure
@@ -101,3 +104,39 @@ def test_energy_of_many_sections_is_that_of_a_plain_loop(spark):
 def test_tracks_are_passed_in_batches(spark):
     made = structure.track_structure(track_queries.loudness(spark, SF), ["project_id"], "frame", "t", "v")
     assert "FlatMapGroupsInPandas" not in plan_of(made) and made.filter(F.size("beats") > 0).count() > 0
+
+
+@pytest.mark.parametrize("name", ["plan_growth", "plan_travel"])
+def test_events_of_a_plan_are_moved_once(spark, name):
+    made = catalog.QUERIES[name](spark, SF)
+    assert plan_of(made).count("Exchange ") == 1 and "hashpartitioning(user_id" in plan_of(made)
+
+
+def test_what_follows_from_the_time_is_looked_up_once_a_clip(monkeypatch):
+    rng, n, asked = random.Random(21), 800, []
+    s = {c: [rng.random() for _ in range(n)] for c in ("overall", "emotion", "highlight_score", "base", "penalty", "motion_intensity")}
+    s |= {"event_id": [i % 20 for i in range(n)], "source_id": [i % 50 for i in range(n)], "start": [float(i) for i in range(n)], "end": [i + 1.0 for i in range(n)], "at": list(range(n)), "hhmm": ["10:00"] * n}
+    s |= {"shot_role": [rng.choice(("action", "detail", "other", "")) for _ in range(n)], "media_type": ["video"] * n, "preference": [0.0] * n, "best_start": [None] * n, "best_end": [None] * n, "story": np.full((n, 4), 0.5), "section": np.full((n, 1), 0.5)}
+    project = templates.PROFILES["travel"]
+    track = planner.Track(templates.Music(), project)
+    monkeypatch.setattr(track, "longest", lambda t, found=track.longest: (asked.append(t), found(t))[1])
+    clips = planner.Planner(s, project, templates.TEMPLATES["travel"], track, ["verse"]).plan()
+    assert len(clips) > 50 and len(asked) <= len(clips) + 4
+
+
+def test_shots_of_unknown_length_fill_no_gap():
+    n, nan = 6, float("nan")
+    s = {c: [0.5] * n for c in ("overall", "emotion", "highlight_score", "base", "penalty", "preference")}
+    s |= {"event_id": [0] * n, "source_id": list(range(n)), "start": [0.0] * n, "end": [nan, 3.0, nan, 3.0, 3.0, nan], "media_type": ["video"] * n, "story": np.full((n, 4), 0.5), "section": np.full((n, 1), 0.5)}
+    project = templates.PROFILES["travel"]
+    p = planner.Planner(s, project, templates.TEMPLATES["travel"], planner.Track(templates.Music(), project), ["verse"])
+    p.backfill()
+    assert [c.row for c in p.clips] == [1, 3, 4] and p.now == 9.0
+
+
+def test_lists_of_one_length_come_as_an_array():
+    told = lambda rows: streams.values(pa.chunked_array([pa.array(rows[:1], pa.list_(pa.float64())), pa.array([[0.0, 0.0], *rows[1:]], pa.list_(pa.float64())).slice(1)]))
+    assert isinstance(told([[1.0, 2.0], [3.0, None]]), np.ndarray) and np.array_equal(told([[1.0, 2.0], [3.0, None]]), [[1.0, 2.0], [3.0, np.nan]], equal_nan=True)
+    for rows in ([[1.0], [2.0, 3.0]], [[1.0, 2.0], None], [[], []]):
+        assert told(rows) == rows
+    assert streams.values(pa.chunked_array([pa.array(["a", None, "b"])])) == ["a", None, "b"]
